@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sevlake.functions.parse import strip_ws
 from sevlake.schema import DOMAIN_TYPES, PARAMS_SCHEMES
 
 URL_PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
@@ -18,7 +19,7 @@ URL_PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
 
 def url_parts(value: Column) -> tuple[Column, Column, Column]:
     """(scheme lower, netloc lower, path) of a URL text."""
-    text = F.regexp_replace(F.trim(value), r"[\t\r\n]", "")
+    text = F.regexp_replace(F.regexp_replace(value, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
     scheme = F.lower(F.regexp_extract(text, URL_PATTERN, 1))
     netloc = F.lower(F.regexp_extract(text, URL_PATTERN, 2))
     path = F.regexp_extract(text, URL_PATTERN, 3)
@@ -35,7 +36,7 @@ def canonical_value(ioc_type: Column, value: Column) -> Column:
     """Trim + lower; domain/hostname lose trailing dots; URLs become
     scheme://netloc/path with trailing '/' removed (query, fragment, params
     dropped).  The type test is case-sensitive, as in the reference."""
-    v = F.lower(F.trim(F.coalesce(value.cast("string"), F.lit("None"))))
+    v = F.lower(strip_ws(F.coalesce(value.cast("string"), F.lit("None"))))
     scheme, netloc, path = url_parts(v)
     url_form = F.regexp_replace(F.concat(scheme, F.lit("://"), netloc, path), "/+$", "")
     return (

@@ -223,3 +223,177 @@ def classified_cte(src: str, rules: RuleSet = PY_RULES, name: str = "scored") ->
     {observation_bucket_sql('obs')} AS observation_bucket
   FROM {name}_1
 )"""
+
+
+# ---------------------------------------------------------------------------
+# normalisation and enrichment (DuckDB dialect)
+# ---------------------------------------------------------------------------
+from sevlake.functions.ip import IPV4_PATTERN  # noqa: E402
+from sevlake.functions.urls import URL_PATTERN  # noqa: E402
+from sevlake.schema import DOMAIN_TYPES, HASH_TYPES, IP_TYPES, PARAMS_SCHEMES  # noqa: E402
+
+
+def strip_ws_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def strip_dots_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\.+|\\.+$', '', 'g')"
+
+
+def inlist(xs) -> str:
+    return "(" + ", ".join(q(x) for x in xs) + ")"
+
+
+def url_parts_sql(x: str) -> tuple[str, str, str]:
+    t = f"regexp_replace(regexp_replace({x}, '^[\\x00-\\x20]+', ''), '[\\t\\r\\n]', '', 'g')"
+    scheme = f"lower(regexp_extract({t}, {q(URL_PATTERN)}, 1))"
+    netloc = f"lower(regexp_extract({t}, {q(URL_PATTERN)}, 2))"
+    path0 = f"regexp_extract({t}, {q(URL_PATTERN)}, 3)"
+    path = f"(CASE WHEN {scheme} IN {inlist(PARAMS_SCHEMES)} THEN regexp_replace({path0}, ';[^/]*$', '') ELSE {path0} END)"
+    return scheme, netloc, path
+
+
+def canonical_sql(typ: str, value: str) -> str:
+    v = f"lower({strip_ws_sql(f"coalesce(CAST({value} AS VARCHAR), 'None')")})"
+    scheme, netloc, path = url_parts_sql(v)
+    return (
+        f"(CASE WHEN {typ} IN {inlist(DOMAIN_TYPES)} THEN regexp_replace({v}, '\\.+$', '') "
+        f"WHEN {typ} = 'url' AND {scheme} <> '' AND {netloc} <> '' "
+        f"THEN regexp_replace({scheme} || '://' || {netloc} || {path}, '/+$', '') ELSE {v} END)"
+    )
+
+
+def key_sql(typ: str, value: str) -> str:
+    return f"(lower({typ}) || '||' || {canonical_sql(typ, value)})"
+
+
+def depth_tld_sql(host: str) -> tuple[str, str]:
+    parts = f"string_split(lower({host}), '.')"
+    return f"(len({parts}) - 1)", f"(CASE WHEN len({parts}) > 1 THEN {parts}[len({parts})] ELSE '' END)"
+
+
+def ts_sql(x: str) -> str:
+    return f"TRY_CAST({x} AS TIMESTAMPTZ)"
+
+
+def ipv4_int_sql(x: str) -> str:
+    s = " + ".join(f"CAST(split_part({x}, '.', {i + 1}) AS BIGINT) * {256 ** (3 - i)}" for i in range(4))
+    return f"(CASE WHEN regexp_full_match({x}, {q(IPV4_PATTERN)}) THEN {s} END)"
+
+
+def mask_sql(p: str) -> str:
+    return f"xor(4294967295, (CAST(1 AS BIGINT) << (32 - {p})) - 1)"
+
+
+NORM_CTE = f"""
+norm AS (
+  SELECT *, {tags_list_sql('tags')} AS tags_list,
+    {key_sql('type', 'value')} AS indicator_key,
+    {ts_sql('firstSeen')} AS firstSeen_dt, {ts_sql('lastSeen')} AS lastSeen_dt,
+    lower(severity) AS severity_label,
+    CASE lower(severity) WHEN 'medium' THEN 0 WHEN 'high' THEN 1 WHEN 'critical' THEN 2 END AS severity_id
+  FROM ind
+)"""
+
+_SCHEME, _NETLOC, _PATH = url_parts_sql("coalesce(value, '')")
+_DD_DOM, _TLD_DOM = depth_tld_sql("coalesce(value, '')")
+_DD_HOST, _TLD_HOST = depth_tld_sql(_NETLOC)
+_IS_DOM = f"type IN {inlist(DOMAIN_TYPES)}"
+_DAYS = "coalesce((epoch_us({a}) - epoch_us({b})) / CAST(86400000000.0 AS DOUBLE), CAST(0.0 AS DOUBLE))"
+_OBS = f"coalesce({obs_sql('observedCount')}, CAST(0.0 AS DOUBLE))"
+
+ROWFEAT_CTE = f"""
+rowfeat0 AS (
+  SELECT *,
+    'type: ' || coalesce(type, '') || ' | source: ' || coalesce(source, '') || ' | value: ' || coalesce(value, '')
+      || ' | description: ' || coalesce(description, '') || ' | tags: ' || array_to_string(tags_list, ' ') AS text_input,
+    length(coalesce(description, '')) AS desc_len,
+    len(tags_list) AS tag_count,
+    length(coalesce(value, '')) AS value_len,
+    {_DAYS.format(a='lastSeen_dt', b='firstSeen_dt')} AS age_days,
+    {_DAYS.format(a='(SELECT max(lastSeen_dt) FROM norm)', b='lastSeen_dt')} AS recency_days,
+    {_OBS} AS observedCount_num,
+    ln(1 + {_OBS}) AS log_observedCount,
+    CAST(coalesce(type IN {inlist(HASH_TYPES)}, false) AS INTEGER) AS is_hash_like,
+    CAST(coalesce(type = 'url', false) AS INTEGER) AS is_url,
+    CAST(coalesce({_IS_DOM}, false) AS INTEGER) AS is_domain,
+    CAST(coalesce(type IN {inlist(IP_TYPES)}, false) AS INTEGER) AS is_ip,
+    CASE WHEN {_IS_DOM} THEN {_DD_DOM} WHEN type = 'url' AND {_NETLOC} <> '' THEN {_DD_HOST} ELSE 0 END AS domain_depth,
+    CASE WHEN {_IS_DOM} THEN {_TLD_DOM} WHEN type = 'url' AND {_NETLOC} <> '' THEN {_TLD_HOST} ELSE '' END AS tld,
+    CASE WHEN type = 'url' THEN {_SCHEME} ELSE '' END AS url_scheme,
+    CASE WHEN {_IS_DOM} THEN lower(coalesce(value, '')) WHEN type = 'url' THEN {_NETLOC} ELSE '' END AS url_host,
+    CASE WHEN type = 'url' THEN len(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')) ELSE 0 END AS url_path_depth
+  FROM norm
+),
+rowfeat AS (
+  SELECT *, CASE WHEN {_IS_DOM} THEN {strip_dots_sql("lower(coalesce(value, ''))")}
+                 WHEN type = 'url' THEN {strip_dots_sql('url_host')} ELSE '' END AS normalized_domain
+  FROM rowfeat0
+)"""
+
+IP_LISTS_CTE = f"""
+ip_parsed AS (
+  SELECT line_no, v, instr(v, '/') > 0 AS has_slash,
+         {strip_ws_sql("regexp_extract(v, '^(.*)/[^/]*$', 1)")} AS base,
+         TRY_CAST({strip_ws_sql("regexp_extract(v, '/([^/]*)$', 1)")} AS INTEGER) AS prefix
+  FROM (SELECT line_no, {strip_ws_sql('line')} AS v FROM ip_lines) WHERE v <> ''
+),
+ip_cls AS (
+  SELECT *, coalesce(has_slash AND prefix BETWEEN 0 AND 32 AND regexp_full_match(base, {q(IPV4_PATTERN)}), false) AS is_cidr
+  FROM ip_parsed WHERE NOT (has_slash AND base = '')
+),
+ip_exact AS (SELECT DISTINCT v AS ip FROM ip_cls WHERE NOT is_cidr),
+ip_cidr AS (
+  SELECT network_int, arg_max(prefix, line_no) AS prefix_len, min(line_no) AS line_no
+  FROM (SELECT line_no, prefix, {ipv4_int_sql('base')} & {mask_sql('prefix')} AS network_int FROM ip_cls WHERE is_cidr)
+  GROUP BY network_int
+),
+ip_cidr_named AS (
+  SELECT CAST(network_int >> 24 AS VARCHAR) || '.' || CAST((network_int >> 16) & 255 AS VARCHAR) || '.'
+         || CAST((network_int >> 8) & 255 AS VARCHAR) || '.' || CAST(network_int & 255 AS VARCHAR) AS network,
+         network_int, CAST(prefix_len AS INTEGER) AS prefix_len, line_no
+  FROM ip_cidr
+)"""
+
+IPFEAT_CTE = """
+ipvals AS (SELECT DISTINCT value FROM rowfeat WHERE value IS NOT NULL),
+ip_contain AS (
+  SELECT i.value, arg_min(c.prefix_len, c.line_no) AS contain_prefix
+  FROM (SELECT value, {ipint} AS ip_int FROM ipvals) i
+  JOIN ip_cidr_named c ON (i.ip_int & {mask}) = c.network_int
+  GROUP BY i.value
+),
+ipfeat AS (
+  SELECT r.*,
+    CASE WHEN e.ip IS NOT NULL THEN 1 ELSE 0 END AS is_in_ip_txt,
+    CASE WHEN coalesce(b.prefix_len, ic.contain_prefix) IS NOT NULL THEN 1 ELSE 0 END AS is_in_spamhaus_cidr,
+    coalesce(b.prefix_len, ic.contain_prefix, 0) AS cidr_prefix_len,
+    CASE WHEN coalesce(b.prefix_len, ic.contain_prefix) IS NOT NULL THEN 1 ELSE 0 END AS cidr_base_match
+  FROM rowfeat r
+  LEFT JOIN ip_exact e ON r.value = e.ip
+  LEFT JOIN ip_cidr_named b ON r.value = b.network
+  LEFT JOIN ip_contain ic ON r.value = ic.value
+)""".format(ipint=ipv4_int_sql("value"), mask=mask_sql("c.prefix_len"))
+
+PHISH_DIM_CTE = f"""
+phish_norm AS (
+  SELECT *, {strip_dots_sql("lower(coalesce(domain, 'nan'))")} AS domain_norm,
+         {strip_dots_sql("lower(coalesce(host, 'nan'))")} AS host_norm
+  FROM phish
+),
+phish_tc AS (SELECT domain_norm, target, count(*) AS c FROM phish_norm WHERE target IS NOT NULL GROUP BY 1, 2),
+phish_dim AS (
+  SELECT n.domain_norm, n.cnt AS phish_domain_seen_count,
+         coalesce((SELECT first(t.target ORDER BY t.c DESC, t.target) FROM phish_tc t WHERE t.domain_norm = n.domain_norm), '')
+           AS phish_target_mode
+  FROM (SELECT domain_norm, count(*) AS cnt FROM phish_norm GROUP BY 1) n
+),
+feat AS (
+  SELECT f.*, CAST(coalesce(d.phish_domain_seen_count, 0) AS BIGINT) AS phish_domain_seen_count,
+         coalesce(d.phish_target_mode, '') AS phish_target_mode,
+         CASE WHEN coalesce(d.phish_domain_seen_count, 0) > 0 THEN 1 ELSE 0 END AS phish_domain_seen_flag
+  FROM ipfeat f LEFT JOIN phish_dim d ON f.normalized_domain = d.domain_norm
+)"""
+
+FEAT_SQL = with_ctes(IND_CTES, IP_LINES_CTE, PHISH_CTE, NORM_CTE, ROWFEAT_CTE, IP_LISTS_CTE, IPFEAT_CTE, PHISH_DIM_CTE)

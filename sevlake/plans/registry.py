@@ -188,3 +188,125 @@ def e26_batch_mean_score(spark, sf):
     v = D.indicator_view(spark, sf)
     scored = R.classify(v, JS_RULES, prefix="r_")
     return R.batch_mean_score(scored, "r_severity_score").select(F.round("avg_severity_score", 9).alias("avg_severity_score"))
+
+
+# ---------------------------------------------------------------------------
+# A / B / D: normalisation, lists, enrichment
+# ---------------------------------------------------------------------------
+from sevlake.plans import dataset as DS  # noqa: E402
+from sevlake.operators import enrich as EN  # noqa: E402
+
+_NORM = O.with_ctes(O.IND_CTES, O.NORM_CTE)
+
+
+@register("a5_normalize", f"""{_NORM}
+SELECT row_id, array_to_string(tags_list, '|') AS tags_joined, json_extract_string(raw, '$.source') AS raw_source,
+  indicator_key, CAST(epoch(firstSeen_dt) AS BIGINT) AS first_seen_epoch, CAST(epoch(lastSeen_dt) AS BIGINT) AS last_seen_epoch,
+  severity_label, severity_id FROM norm""")
+def a5_normalize(spark, sf):
+    n = DS.normalized_view(spark, sf)
+    return n.select(
+        "row_id",
+        F.concat_ws("|", "tags_list").alias("tags_joined"),
+        F.variant_get("raw_obj", "$.source", "string").alias("raw_source"),
+        "indicator_key",
+        F.unix_seconds("firstSeen_dt").alias("first_seen_epoch"),
+        F.unix_seconds("lastSeen_dt").alias("last_seen_epoch"),
+        "severity_label",
+        "severity_id",
+    )
+
+
+@register("b1_parse_tags", f"{_NORM}\nSELECT row_id, array_to_string(tags_list, '|') AS tags_joined, len(tags_list) AS tag_count FROM norm")
+def b1_parse_tags(spark, sf):
+    n = DS.normalized_view(spark, sf)
+    return n.select("row_id", F.concat_ws("|", "tags_list").alias("tags_joined"), F.size("tags_list").alias("tag_count"))
+
+
+@register("b4_indicator_key", f"{_NORM}\nSELECT row_id, {O.canonical_sql('type', 'value')} AS canonical_value, indicator_key FROM norm")
+def b4_indicator_key(spark, sf):
+    from sevlake.functions.urls import canonical_value
+    n = DS.normalized_view(spark, sf)
+    return n.select("row_id", canonical_value(F.col("type"), F.col("value")).alias("canonical_value"), "indicator_key")
+
+
+@register("c1_unknown_labels", f"{_NORM}\nSELECT row_id, severity FROM ind WHERE lower(severity) NOT IN ('medium', 'high', 'critical')")
+def c1_unknown_labels(spark, sf):
+    from sevlake.operators.normalize import unknown_labels
+    return unknown_labels(D.indicator_view(spark, sf)).select("row_id", "severity")
+
+
+_IPL = O.with_ctes(O.IND_CTES, O.IP_LINES_CTE, O.IP_LISTS_CTE)
+
+
+@register("a6_ip_list_exact", f"{_IPL}\nSELECT ip FROM ip_exact")
+def a6_ip_list_exact(spark, sf):
+    return DS.ip_lists(spark, sf)[0]
+
+
+@register("a6_ip_list_cidr", f"{_IPL}\nSELECT network, network_int, prefix_len, line_no FROM ip_cidr_named")
+def a6_ip_list_cidr(spark, sf):
+    return DS.ip_lists(spark, sf)[1]
+
+
+_PH = O.with_ctes(O.PHISH_CTE, O.PHISH_DIM_CTE.split("feat AS (")[0].rstrip().rstrip(","))
+
+
+@register("a7_phishing_list", f"""{_PH}
+SELECT domain, host, target, domain_norm, host_norm, CAST(epoch(TRY_CAST(date AS TIMESTAMPTZ)) AS BIGINT) AS date_epoch FROM phish_norm""")
+def a7_phishing_list(spark, sf):
+    p = DS.phishing(spark, sf)
+    return p.select("domain", "host", "target", "domain_norm", "host_norm", F.unix_seconds("date_dt").alias("date_epoch"))
+
+
+@register("e9_phish_rows_per_domain", f"{_PH}\nSELECT domain_norm, count(*) AS phish_domain_seen_count FROM phish_norm GROUP BY 1")
+def e9_phish_rows_per_domain(spark, sf):
+    return DS.phishing(spark, sf).groupBy("domain_norm").agg(F.count(F.lit(1)).alias("phish_domain_seen_count"))
+
+
+@register("e10_phish_modal_target", f"{_PH}\nSELECT domain_norm, phish_target_mode FROM phish_dim")
+def e10_phish_modal_target(spark, sf):
+    return EN.phishing_dim(DS.phishing(spark, sf)).select("domain_norm", "phish_target_mode")
+
+
+_ROUND9 = {"age_days", "recency_days", "observedCount_num", "log_observedCount"}
+_ROWFEAT_COLS = [
+    "text_input", "desc_len", "tag_count", "value_len", "age_days", "recency_days", "observedCount_num",
+    "log_observedCount", "is_hash_like", "is_url", "is_domain", "is_ip", "domain_depth", "tld", "url_scheme",
+    "url_host", "url_path_depth", "normalized_domain",
+]
+_IP_COLS = ["is_in_ip_txt", "is_in_spamhaus_cidr", "cidr_prefix_len", "cidr_base_match"]
+_PHISH_COLS = ["phish_domain_seen_count", "phish_target_mode", "phish_domain_seen_flag"]
+
+
+def _sql_cols(cols):
+    return ", ".join(f"round({c}, 9) AS {c}" if c in _ROUND9 else c for c in cols)
+
+
+def _spark_cols(cols):
+    return [F.round(c, 9).alias(c) if c in _ROUND9 else F.col(c) for c in cols]
+
+
+def _feature_query(name, cols, ids):
+    sql = f"{O.FEAT_SQL}\nSELECT row_id, {_sql_cols(cols)} FROM feat"
+
+    def q(spark, sf):
+        return DS.enriched_view(spark, sf).select("row_id", *_spark_cols(cols))
+
+    q.__name__ = name
+    q.__doc__ = f"Enrichment features {ids}."
+    register(name, sql)(q)
+
+
+_feature_query("b7_text_input", ["text_input"], "B7")
+_feature_query("b8_lengths", ["desc_len", "tag_count", "value_len"], "B8")
+_feature_query("b9_age_days", ["age_days"], "B9")
+_feature_query("b10_recency_days", ["recency_days"], "B10")
+_feature_query("b11_observed_count", ["observedCount_num", "log_observedCount"], "B11")
+_feature_query("b12_type_flags", ["is_hash_like", "is_url", "is_domain", "is_ip"], "B12")
+_feature_query("b15_domain_url_features", ["domain_depth", "tld", "url_scheme", "url_host", "url_path_depth"], "B13-B15")
+_feature_query("b16_normalized_domain", ["normalized_domain"], "B16")
+_feature_query("d1_ip_exact_flag", ["is_in_ip_txt"], "D1")
+_feature_query("d2_ip_cidr_containment", ["is_in_spamhaus_cidr", "cidr_prefix_len", "cidr_base_match"], "D2")
+_feature_query("d3_phishing_features", _PHISH_COLS, "D3")
+_feature_query("b20_augment_features", _ROWFEAT_COLS + _IP_COLS + _PHISH_COLS, "B20")
