@@ -310,3 +310,107 @@ _feature_query("d1_ip_exact_flag", ["is_in_ip_txt"], "D1")
 _feature_query("d2_ip_cidr_containment", ["is_in_spamhaus_cidr", "cidr_prefix_len", "cidr_base_match"], "D2")
 _feature_query("d3_phishing_features", _PHISH_COLS, "D3")
 _feature_query("b20_augment_features", _ROWFEAT_COLS + _IP_COLS + _PHISH_COLS, "B20")
+
+
+# ---------------------------------------------------------------------------
+# audit
+# ---------------------------------------------------------------------------
+from sevlake.operators import audit as AU  # noqa: E402
+
+_AUD = O.with_ctes(O.IND_CTES, O.NORM_CTE, O.IP_LINES_CTE, O.IP_LISTS_CTE, O.PHISH_CTE,
+                   O.PHISH_DIM_CTE.split("feat AS (")[0].rstrip().rstrip(","))
+_E1_SQL = " UNION ALL ".join(
+    f"SELECT {O.q(c)} AS column_name, count(*) FILTER (WHERE {c} IS NULL OR {O.strip_ws_sql(f'CAST({c} AS VARCHAR)')} = '') "
+    f"AS null_or_blank FROM norm"
+    for c in AU.AUDIT_COLUMNS
+)
+_E2_SQL = """
+SELECT 'severity_counts' AS section, coalesce(lower(severity), 'nan') AS key, count(*) AS count FROM norm GROUP BY 2
+UNION ALL SELECT 'type_counts', coalesce(lower(type), 'nan'), count(*) FROM norm GROUP BY 2
+UNION ALL SELECT 'source_counts', coalesce(source, 'nan'), count(*) FROM norm GROUP BY 2
+UNION ALL SELECT 'confidence_counts', coalesce(CAST(confidence AS VARCHAR), 'nan'), count(*) FROM norm GROUP BY 2"""
+_E3_SQL = """
+SELECT count(*) FILTER (WHERE rows > 1) AS duplicate_indicator_keys,
+       count(*) FILTER (WHERE sources > 1) AS multi_source_duplicate_keys,
+       count(*) FILTER (WHERE severities > 1) AS multi_severity_duplicate_keys
+FROM (SELECT type, value, count(*) AS rows, count(DISTINCT source) AS sources, count(DISTINCT lower(severity)) AS severities
+      FROM norm WHERE type IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2)"""
+_E4_SQL = """SELECT coalesce(strftime(lastSeen_dt, '%Y-%m'), 'NaT') AS month, severity_label, count(*) AS count FROM norm GROUP BY 1, 2"""
+_E5_SQL = """SELECT count(*) - count(DISTINCT fingerprint) - max(CAST(fingerprint IS NULL AS INTEGER)) AS fingerprint_duplicates FROM norm"""
+_E6_SQL = """SELECT count(*) FILTER (WHERE coalesce(json_extract_string(raw, '$.source'), '') <> coalesce(source, 'nan')) AS raw_source_mismatches FROM norm"""
+_D11_SQL = """SELECT count(*) AS phishing_overlap_on_db_value FROM norm WHERE lower(value) IN (SELECT domain_norm FROM phish_norm)"""
+_E7_SQL = """
+SELECT count(*) AS db_rows, strftime(min(firstSeen_dt), '%Y-%m-%d %H:%M:%S') AS first_seen_min,
+  strftime(max(lastSeen_dt), '%Y-%m-%d %H:%M:%S') AS last_seen_max,
+  (SELECT count(*) FROM ip_exact) AS ip_sidecar_exact_count, (SELECT count(*) FROM ip_cidr_named) AS ip_sidecar_cidr_count,
+  (SELECT count(*) FROM phish_norm) AS phishing_rows
+FROM norm"""
+
+
+def _audit_inputs(spark, sf):
+    exact, cidr = DS.ip_lists(spark, sf)
+    return DS.normalized_view(spark, sf), exact, cidr, DS.phishing(spark, sf)
+
+
+@register("e1_null_counts", f"{_AUD}\n{_E1_SQL}")
+def e1_null_counts(spark, sf):
+    return AU.null_counts(DS.normalized_view(spark, sf))
+
+
+@register("e2_value_counts", f"{_AUD}\n{_E2_SQL}")
+def e2_value_counts(spark, sf):
+    return AU.value_counts(DS.normalized_view(spark, sf))
+
+
+@register("e3_duplicate_keys", f"{_AUD}\n{_E3_SQL}")
+def e3_duplicate_keys(spark, sf):
+    return AU.duplicate_keys(DS.normalized_view(spark, sf))
+
+
+@register("e4_monthly_counts", f"{_AUD}\n{_E4_SQL}")
+def e4_monthly_counts(spark, sf):
+    return AU.monthly(DS.normalized_view(spark, sf))
+
+
+@register("e5_fingerprint_duplicates", f"{_AUD}\n{_E5_SQL}")
+def e5_fingerprint_duplicates(spark, sf):
+    return AU.fingerprint_duplicates(DS.normalized_view(spark, sf))
+
+
+@register("e6_raw_source_mismatch", f"{_AUD}\n{_E6_SQL}")
+def e6_raw_source_mismatch(spark, sf):
+    return AU.raw_source_mismatches(DS.normalized_view(spark, sf))
+
+
+@register("e7_audit_totals", f"{_AUD}\n{_E7_SQL}")
+def e7_audit_totals(spark, sf):
+    return AU.totals(*_audit_inputs(spark, sf))
+
+
+@register("d11_phishing_overlap", f"{_AUD}\n{_D11_SQL}")
+def d11_phishing_overlap(spark, sf):
+    return AU.phishing_overlap(DS.normalized_view(spark, sf), DS.phishing(spark, sf))
+
+
+def _scalars_sql(sql: str, section: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {O.q(section)} AS section, {O.q(c)} AS key, CAST({c} AS VARCHAR) AS value FROM ({sql})" for c in cols
+    )
+
+
+_E8_SQL = " UNION ALL ".join([
+    f"SELECT 'null_counts' AS section, column_name AS key, CAST(null_or_blank AS VARCHAR) AS value FROM ({_E1_SQL})",
+    f"SELECT section, key, CAST(count AS VARCHAR) FROM ({_E2_SQL})",
+    _scalars_sql(_E3_SQL, "duplicates", ["duplicate_indicator_keys", "multi_source_duplicate_keys", "multi_severity_duplicate_keys"]),
+    f"SELECT 'monthly_distribution', month || '|' || severity_label, CAST(count AS VARCHAR) FROM ({_E4_SQL})",
+    _scalars_sql(_E5_SQL, "fingerprints", ["fingerprint_duplicates"]),
+    _scalars_sql(_E6_SQL, "raw_source", ["raw_source_mismatches"]),
+    _scalars_sql(_E7_SQL, "totals", ["db_rows", "first_seen_min", "last_seen_max", "ip_sidecar_exact_count",
+                                     "ip_sidecar_cidr_count", "phishing_rows"]),
+    _scalars_sql(_D11_SQL, "phishing", ["phishing_overlap_on_db_value"]),
+])
+
+
+@register("e8_audit_report", f"{_AUD}\n{_E8_SQL}")
+def e8_audit_report(spark, sf):
+    return AU.audit_report(*_audit_inputs(spark, sf))
