@@ -414,3 +414,81 @@ _E8_SQL = " UNION ALL ".join([
 @register("e8_audit_report", f"{_AUD}\n{_E8_SQL}")
 def e8_audit_report(spark, sf):
     return AU.audit_report(*_audit_inputs(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# F: splits
+# ---------------------------------------------------------------------------
+from sevlake.operators import split as SP  # noqa: E402
+
+_SPL = O.with_ctes(O.IND_CTES, O.NORM_CTE)
+_F1_SQL = f"""{_SPL},
+firsts AS (SELECT indicator_key, min(lastSeen_dt) AS f FROM norm GROUP BY 1),
+mx AS (SELECT max(lastSeen_dt) AS m FROM norm)
+SELECT row_id, CASE WHEN lastSeen_dt IS NULL THEN 'train'
+  WHEN f <= m - INTERVAL 5 DAY - INTERVAL 5 DAY THEN 'train'
+  WHEN f <= m - INTERVAL 5 DAY THEN 'validation' ELSE 'test' END AS split
+FROM norm JOIN firsts USING (indicator_key), mx"""
+
+
+@register("f1_temporal_split", _F1_SQL)
+def f1_temporal_split(spark, sf):
+    return SP.temporal_split(DS.normalized_view(spark, sf), 5, 5).select("row_id", "split")
+
+
+def _cut_sql(pos: str, n: str, tf: float, vf: float) -> str:
+    return (f"CASE WHEN {pos} < floor({n} * CAST({tf!r} AS DOUBLE)) THEN 'train' "
+            f"WHEN {pos} < floor({n} * CAST({tf + vf!r} AS DOUBLE)) THEN 'validation' ELSE 'test' END")
+
+
+_F2_SQL = f"""{_SPL},
+k AS (SELECT indicator_key, row_number() OVER (ORDER BY indicator_key) - 1 AS pos, count(*) OVER () AS n
+      FROM (SELECT DISTINCT indicator_key FROM norm WHERE indicator_key IS NOT NULL))
+SELECT row_id, coalesce({_cut_sql('pos', 'n', 0.7, 0.15)}, 'test') AS split FROM norm LEFT JOIN k USING (indicator_key)"""
+
+
+@register("f2_sorted_key_split", _F2_SQL)
+def f2_sorted_key_split(spark, sf):
+    return SP.sorted_key_split(DS.normalized_view(spark, sf)).select("row_id", "split")
+
+
+_F3_SQL = f"""{_SPL},
+k AS (SELECT indicator_key, row_number() OVER (ORDER BY md5('42:' || indicator_key), indicator_key) - 1 AS pos,
+             count(*) OVER () AS n
+      FROM (SELECT DISTINCT indicator_key FROM norm WHERE indicator_key IS NOT NULL))
+SELECT row_id, coalesce({_cut_sql('pos', 'n', 0.7, 0.15)}, 'test') AS split FROM norm LEFT JOIN k USING (indicator_key)"""
+
+
+@register("f3_random_key_split", _F3_SQL)
+def f3_random_key_split(spark, sf):
+    return SP.random_key_split(DS.normalized_view(spark, sf), 42, 0.7, 0.15).select("row_id", "split")
+
+
+_E11_SQL = f"""{_SPL},
+lc AS (SELECT indicator_key, severity_label, count(*) AS c FROM norm WHERE severity_label IS NOT NULL GROUP BY 1, 2),
+modal AS (SELECT indicator_key, first(severity_label ORDER BY c DESC, severity_label) AS modal_label FROM lc GROUP BY 1)"""
+
+
+@register("e11_modal_label", f"{_E11_SQL}\nSELECT indicator_key, modal_label FROM modal")
+def e11_modal_label(spark, sf):
+    return SP.modal_label(DS.normalized_view(spark, sf))
+
+
+_F4_SQL = f"""{_E11_SQL},
+k AS (SELECT indicator_key, row_number() OVER (PARTITION BY modal_label ORDER BY md5('42:' || indicator_key), indicator_key) - 1 AS pos,
+             count(*) OVER (PARTITION BY modal_label) AS n FROM modal)
+SELECT row_id, coalesce({_cut_sql('pos', 'n', 0.7, 0.15)}, 'test') AS split FROM norm LEFT JOIN k USING (indicator_key)"""
+
+
+@register("f4_stratified_split", _F4_SQL)
+def f4_stratified_split(spark, sf):
+    return SP.stratified_key_split(DS.normalized_view(spark, sf), 42, 0.7, 0.15).select("row_id", "split")
+
+
+@register("a10_split_manifest", f"""{_F4_SQL.rsplit('SELECT row_id', 1)[0]}
+SELECT split, count(*) AS rows, (SELECT count(*) FROM norm) AS source_row_count, CAST(NULL AS BIGINT) AS requested_limit
+FROM (SELECT coalesce({_cut_sql('pos', 'n', 0.7, 0.15)}, 'test') AS split FROM norm LEFT JOIN k USING (indicator_key))
+GROUP BY split""")
+def a10_split_manifest(spark, sf):
+    n = DS.normalized_view(spark, sf)
+    return SP.manifest(n, SP.stratified_key_split(n, 42, 0.7, 0.15), None)
