@@ -397,3 +397,79 @@ feat AS (
 )"""
 
 FEAT_SQL = with_ctes(IND_CTES, IP_LINES_CTE, PHISH_CTE, NORM_CTE, ROWFEAT_CTE, IP_LISTS_CTE, IPFEAT_CTE, PHISH_DIM_CTE)
+
+
+# ---------------------------------------------------------------------------
+# sampling (DuckDB dialect; window functions over the whole table)
+# ---------------------------------------------------------------------------
+BIG = 1 << 62
+
+
+def sample_ctes(src: str, limit: int, seed: int, by_label: bool, prefix: str = "s") -> str:
+    """CTEs ending in ``{prefix}_fr`` with columns of ``src`` plus ``frank`` and
+    ``lim``; the sample is ``frank < lim``."""
+    p = prefix
+    g = "severity_label" if by_label else "g0"
+    if by_label:
+        lab = f"""
+{p}_lab AS (
+  SELECT severity_label, count(*) AS n_label,
+         CASE severity_label WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3 END AS pos
+  FROM {src} WHERE severity_label IN ('medium', 'high', 'critical') GROUP BY 1
+),
+{p}_lab2 AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS idx, count(*) OVER () AS nl FROM {p}_lab),
+{p}_lab3 AS (
+  SELECT severity_label, idx,
+    CASE WHEN {limit} >= (SELECT count(*) FROM {src}) THEN {BIG}
+         ELSE {limit} // nl + CASE WHEN idx < {limit} % nl THEN 1 ELSE 0 END END AS lim
+  FROM {p}_lab2
+),
+{p}_rows AS (
+  SELECT s.*, l.idx, l.lim, md5(CAST({seed} + l.idx AS VARCHAR) || ':' || CAST(s.row_id AS VARCHAR)) AS h
+  FROM {src} s JOIN {p}_lab3 l USING (severity_label)
+),"""
+    else:
+        lab = f"""
+{p}_rows AS (
+  SELECT s.*, 0 AS g0, CASE WHEN {limit} >= (SELECT count(*) FROM {src}) THEN {BIG} ELSE {limit} END AS lim,
+         md5(CAST({seed} AS VARCHAR) || ':' || CAST(s.row_id AS VARCHAR)) AS h
+  FROM {src} s
+),"""
+    cell = f"{g}, source, type"
+    return lab + f"""
+{p}_kr AS (SELECT *, row_number() OVER (PARTITION BY {cell}, indicator_key ORDER BY h, row_id) - 1 AS krank FROM {p}_rows),
+{p}_cr AS (
+  SELECT *, row_number() OVER (PARTITION BY {cell} ORDER BY krank, h, row_id) - 1 AS cell_rank,
+         count(*) OVER (PARTITION BY {cell}) AS cell_size
+  FROM {p}_kr
+),
+{p}_c1 AS (
+  SELECT DISTINCT {cell}, cell_size, lim,
+         CASE WHEN cell_size <= 25 THEN cell_size ELSE least(25, cell_size) END AS cov
+  FROM {p}_cr
+),
+{p}_c2 AS (SELECT *, greatest(cell_size - cov, 0) AS res FROM {p}_c1),
+{p}_c3 AS (SELECT *, sum(cov) OVER (PARTITION BY {g}) AS cov_total, sum(res) OVER (PARTITION BY {g}) AS res_total FROM {p}_c2),
+{p}_c4 AS (
+  SELECT *, lim - cov_total AS lft,
+         CASE WHEN res_total > 0 THEN ((lim - cov_total) * res) / res_total ELSE CAST(0.0 AS DOUBLE) END AS raw
+  FROM {p}_c3
+),
+{p}_c5 AS (SELECT *, least(res, CAST(floor(raw) AS BIGINT)) AS fill FROM {p}_c4),
+{p}_c6 AS (SELECT *, lft - sum(fill) OVER (PARTITION BY {g}) AS spare FROM {p}_c5),
+{p}_c7 AS (
+  SELECT *, CASE WHEN fill < res THEN sum(CASE WHEN fill < res THEN 1 ELSE 0 END) OVER (
+      PARTITION BY {g} ORDER BY raw - floor(raw) DESC, res DESC, source ASC NULLS FIRST, type ASC NULLS FIRST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS elig_rank
+  FROM {p}_c6
+),
+{p}_q AS (
+  SELECT {cell}, cell_size, lim AS budget,
+    CASE WHEN lft < 0 THEN cov ELSE cov + fill + CASE WHEN fill < res AND elig_rank <= spare THEN 1 ELSE 0 END END AS quota
+  FROM {p}_c7
+),
+{p}_fin AS (
+  SELECT c.*, q.quota, CASE WHEN c.cell_rank >= q.quota THEN 1 ELSE 0 END AS tier
+  FROM {p}_cr c JOIN {p}_q q USING ({cell})
+),
+{p}_fr AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY tier, h, row_id) - 1 AS frank FROM {p}_fin)"""

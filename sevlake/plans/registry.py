@@ -492,3 +492,84 @@ GROUP BY split""")
 def a10_split_manifest(spark, sf):
     n = DS.normalized_view(spark, sf)
     return SP.manifest(n, SP.stratified_key_split(n, 42, 0.7, 0.15), None)
+
+
+# ---------------------------------------------------------------------------
+# F7, F8, H: sampling
+# ---------------------------------------------------------------------------
+from sevlake.operators import sample as SA  # noqa: E402
+
+H3_LIMIT = 2400
+H2_LIMIT = 1000
+H2_SMALL_LIMIT = 500
+H4_ROWS = 1500
+
+
+@register("h3_balanced_sample", f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE, O.sample_ctes('norm', H3_LIMIT, 42, True))}
+SELECT row_id, severity_label, source, type FROM s_fr WHERE frank < lim""")
+def h3_balanced_sample(spark, sf):
+    return SA.balanced_sample(DS.normalized_view(spark, sf), H3_LIMIT, 42).select("row_id", "severity_label", "source", "type")
+
+
+@register("h2_strata_sample", f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE, O.sample_ctes('norm', H2_LIMIT, 42, False))}
+SELECT row_id, source, type FROM s_fr WHERE frank < lim""")
+def h2_strata_sample(spark, sf):
+    return SA.strata_sample(DS.normalized_view(spark, sf), H2_LIMIT, 42).select("row_id", "source", "type")
+
+
+@register("h2_strata_sample_coverage_cut", f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE, O.sample_ctes('norm', H2_SMALL_LIMIT, 42, False))}
+SELECT row_id, source, type FROM s_fr WHERE frank < lim""")
+def h2_strata_sample_coverage_cut(spark, sf):
+    return SA.strata_sample(DS.normalized_view(spark, sf), H2_SMALL_LIMIT, 42).select("row_id", "source", "type")
+
+
+@register("f8_cell_allocation", f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE, O.sample_ctes('norm', H3_LIMIT, 42, True))}
+SELECT severity_label, source, type, cell_size, quota FROM s_q""")
+def f8_cell_allocation(spark, sf):
+    from pyspark.sql import Window  # noqa: F401
+    n = DS.normalized_view(spark, sf)
+    cells = n.groupBy("severity_label", "source", "type").agg(F.count(F.lit(1)).alias("cell_size"))
+    labels = n.groupBy("severity_label").agg(F.count(F.lit(1)).alias("_nl"))
+    k = labels.select(F.count(F.lit(1))).scalar()
+    pos = F.array_position(F.array(*[F.lit(x) for x in ["medium", "high", "critical"]]), F.col("severity_label"))
+    from pyspark.sql import Window as W
+    labels = labels.withColumn("_idx", F.row_number().over(W.orderBy(pos)) - 1)
+    labels = labels.withColumn("_limit", (F.lit(H3_LIMIT) / k).cast("long") + F.when(F.col("_idx") < F.lit(H3_LIMIT) % k, 1).otherwise(0))
+    cells = cells.join(labels.select("severity_label", "_limit"), "severity_label")
+    return SA.allocate(cells, ["severity_label"], "_limit").select("severity_label", "source", "type", "cell_size", "quota")
+
+
+@register("f7_key_heads", f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE)}
+SELECT row_id, source, type, indicator_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, type, indicator_key ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id) AS rn
+  FROM norm) WHERE rn = 1""")
+def f7_key_heads(spark, sf):
+    return SA.key_heads(DS.normalized_view(spark, sf), ["source", "type"], 42).select("row_id", "source", "type", "indicator_key")
+
+
+@register("h1_key_diverse_rank", f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE, O.sample_ctes('norm', H2_LIMIT, 42, False))}
+SELECT row_id, source, type, cell_rank, cell_size FROM s_cr""")
+def h1_key_diverse_rank(spark, sf):
+    rows = DS.normalized_view(spark, sf).withColumn("_g", F.lit(0)).withColumn("_h", SA.row_hash(42))
+    return SA.diverse_rank(rows, ["_g", "source", "type"]).select("row_id", "source", "type", "cell_rank", "cell_size")
+
+
+_H4_SQL = f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE)},
+h4 AS (SELECT *, md5('42:' || CAST(row_id AS VARCHAR)) AS h FROM norm),
+h4r AS (SELECT *, row_number() OVER (PARTITION BY severity_label ORDER BY h, row_id) - 1 AS r,
+               count(*) OVER (PARTITION BY severity_label) AS gs FROM h4),
+h4t AS (SELECT *, CASE WHEN r >= greatest(1, round_even({H4_ROWS} * gs / (SELECT count(*) FROM norm), 0)) THEN 1 ELSE 0 END AS tier FROM h4r),
+h4f AS (SELECT *, row_number() OVER (ORDER BY tier, h, row_id) - 1 AS fr FROM h4t)
+SELECT row_id, severity_label FROM h4f WHERE fr < {H4_ROWS}"""
+
+
+@register("h4_proportional_sample", _H4_SQL)
+def h4_proportional_sample(spark, sf):
+    return SA.proportional_sample(DS.normalized_view(spark, sf), H4_ROWS, 42).select("row_id", "severity_label")
+
+
+@register("d5_exclude_selected", f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE, O.sample_ctes('norm', H2_LIMIT, 42, False))}
+SELECT row_id FROM norm WHERE row_id NOT IN (SELECT row_id FROM s_fr WHERE frank < lim)""")
+def d5_exclude_selected(spark, sf):
+    n = DS.normalized_view(spark, sf)
+    return SA.exclude_selected(n.select("row_id"), SA.strata_sample(n, H2_LIMIT, 42))
