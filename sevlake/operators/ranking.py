@@ -60,3 +60,29 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     for c in group_cols:
         j = j.drop(starts[c])
     return j.withColumn(name, F.col("_gpos") - F.col("_start")).drop("_gpos", "_start")
+
+
+def running_sum(df: DataFrame, group_cols: list[str], order_cols: list, value_cols: list[str],
+                suffix: str = "_cum") -> DataFrame:
+    """Inclusive running sums of ``value_cols`` inside each group in the
+    order ``order_cols`` (unique within a group), computed on a
+    range-partitioned sort: a window per (sorted partition, group) plus the
+    totals of earlier partitions of the same group."""
+    checkpoint_dir(df.sparkSession)
+    tagged = (
+        df.orderBy(*group_cols, *order_cols)
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .checkpoint(eager=True)
+        .withColumn("_pid", F.shiftright("_mid", 33))
+    )
+    w = Window.partitionBy("_pid", *group_cols).orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = tagged.withColumns({f"{v}_loc": F.sum(v).over(w) for v in value_cols})
+    tot = tagged.groupBy(*group_cols, "_pid").agg(*[F.sum(v).alias(f"{v}_tot") for v in value_cols])
+    wo = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*group_cols, "_pid", *[F.coalesce(F.sum(f"{v}_tot").over(wo), F.lit(0)).alias(f"{v}_off") for v in value_cols])
+    off = off.select(*[F.col(c).alias(f"_o_{c}") for c in group_cols], "_pid", *[f"{v}_off" for v in value_cols])
+    cond = [local[c].eqNullSafe(off[f"_o_{c}"]) for c in group_cols] + [local["_pid"] == off["_pid"]]
+    j = local.join(off, cond).drop(off["_pid"])
+    out = j.withColumns({f"{v}{suffix}": F.col(f"{v}_loc") + F.col(f"{v}_off") for v in value_cols})
+    return out.drop("_mid", "_pid", *[f"_o_{c}" for c in group_cols],
+                    *[f"{v}_loc" for v in value_cols], *[f"{v}_off" for v in value_cols])

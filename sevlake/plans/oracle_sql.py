@@ -473,3 +473,48 @@ def sample_ctes(src: str, limit: int, seed: int, by_label: bool, prefix: str = "
   FROM {p}_cr c JOIN {p}_q q USING ({cell})
 ),
 {p}_fr AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY tier, h, row_id) - 1 AS frank FROM {p}_fin)"""
+
+
+# ---------------------------------------------------------------------------
+# prediction fixture and metrics (DuckDB dialect)
+# ---------------------------------------------------------------------------
+PRED_CTE = """
+pred0 AS (
+  SELECT vec_id AS row_id, CAST(label % 3 AS INTEGER) AS y_true,
+         [CAST(embedding[2] AS DOUBLE) * 4.0, CAST(embedding[3] AS DOUBLE) * 4.0, CAST(embedding[4] AS DOUBLE) * 4.0] AS logits
+  FROM embeddings
+),
+pred1 AS (
+  SELECT *, exp(logits[1] - list_max(logits)) AS e1, exp(logits[2] - list_max(logits)) AS e2,
+            exp(logits[3] - list_max(logits)) AS e3 FROM pred0
+),
+pred2 AS (SELECT row_id, y_true, logits, [e1 / (e1 + e2 + e3), e2 / (e1 + e2 + e3), e3 / (e1 + e2 + e3)] AS proba FROM pred1),
+preds AS (SELECT *, CAST(list_position(proba, list_max(proba)) - 1 AS INTEGER) AS pred FROM pred2)"""
+
+
+def nll_sql(logits: str, y: str, t: float) -> str:
+    T = f"CAST({t!r} AS DOUBLE)"
+    z = [f"({logits}[{i}] / {T})" for i in (1, 2, 3)]
+    m = f"greatest({', '.join(z)})"
+    lse = f"({m} + ln(exp({z[0]} - {m}) + exp({z[1]} - {m}) + exp({z[2]} - {m})))"
+    return f"({lse} - ({logits}[{y} + 1] / {T}))"
+
+
+CONF_CTE = """
+cm_cells AS (SELECT CAST(i // 3 AS INTEGER) AS y_true, CAST(i % 3 AS INTEGER) AS pred FROM range(9) t(i)),
+cm AS (
+  SELECT c.y_true, c.pred, CAST(coalesce(n.cnt, 0) AS BIGINT) AS count
+  FROM cm_cells c LEFT JOIN (SELECT y_true, pred, count(*) AS cnt FROM preds GROUP BY 1, 2) n USING (y_true, pred)
+),
+pc0 AS (
+  SELECT l.class_id,
+    (SELECT count FROM cm WHERE cm.y_true = l.class_id AND cm.pred = l.class_id) AS tp,
+    (SELECT sum(count) FROM cm WHERE cm.y_true = l.class_id) AS support,
+    (SELECT sum(count) FROM cm WHERE cm.pred = l.class_id) AS predicted
+  FROM (SELECT i AS class_id FROM range(3) t(i)) l
+),
+pc1 AS (
+  SELECT *, CASE WHEN predicted <> 0 THEN tp / predicted ELSE 0.0 END AS precision,
+            CASE WHEN support <> 0 THEN tp / support ELSE 0.0 END AS recall FROM pc0
+),
+pc AS (SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pc1)"""

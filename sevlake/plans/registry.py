@@ -573,3 +573,297 @@ SELECT row_id FROM norm WHERE row_id NOT IN (SELECT row_id FROM s_fr WHERE frank
 def d5_exclude_selected(spark, sf):
     n = DS.normalized_view(spark, sf)
     return SA.exclude_selected(n.select("row_id"), SA.strata_sample(n, H2_LIMIT, 42))
+
+
+# ---------------------------------------------------------------------------
+# Balance, metrics, calibration
+# ---------------------------------------------------------------------------
+from sevlake.functions import arrays as AR  # noqa: E402
+from sevlake.operators import balance as BA  # noqa: E402
+from sevlake.operators import calibrate as CA  # noqa: E402
+from sevlake.operators import evaluate as EV  # noqa: E402
+
+_PRED = O.with_ctes(O.PRED_CTE)
+_PRED_CM = O.with_ctes(O.PRED_CTE, O.CONF_CTE)
+
+
+def _r9(df):
+    """Round every double column to 9 decimals (oracle agreement)."""
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _preds(spark, sf):
+    return D.predictions_fixture(spark, sf)
+
+
+_COUNTS_SQL = """
+counts AS (
+  SELECT l.class_id, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+  FROM (SELECT CAST(i AS INTEGER) AS class_id FROM range(3) t(i)) l
+  LEFT JOIN (SELECT y_true AS class_id, count(*) AS n FROM preds GROUP BY 1) c USING (class_id)
+),
+w0 AS (SELECT *, sum(count) OVER () AS total, sum(CASE WHEN count > 0 THEN 1 ELSE 0 END) OVER () AS k,
+              CASE WHEN count > 0 THEN 1.0 / greatest((1.0 - pow(CAST(0.999 AS DOUBLE), CAST(count AS DOUBLE))) / CAST(0.001 AS DOUBLE), 1e-12) END AS raw
+       FROM counts),
+w1 AS (SELECT *, avg(raw) OVER () AS raw_mean FROM w0),
+weights AS (
+  SELECT class_id, CASE class_id WHEN 0 THEN 'medium' WHEN 1 THEN 'high' ELSE 'critical' END AS label, count,
+    CASE WHEN total > 0 THEN count / total ELSE 0.0 END AS fraction,
+    CAST(CAST(CASE WHEN count > 0 THEN total / (k * count) ELSE 0.0 END AS FLOAT) AS DOUBLE) AS inverse_weight,
+    CAST(CAST(CASE WHEN count > 0 THEN raw / raw_mean ELSE 0.0 END AS FLOAT) AS DOUBLE) AS effective_weight,
+    CAST(CAST(CASE WHEN count > 0 THEN 1.0 ELSE 0.0 END AS FLOAT) AS DOUBLE) AS none_weight,
+    CAST(CAST(CASE WHEN total > 0 THEN count / total ELSE 0.0 END AS FLOAT) AS DOUBLE) AS prior
+  FROM w1
+)"""
+_W = O.with_ctes(O.PRED_CTE, _COUNTS_SQL)
+
+
+@register("e12_class_counts", f"{_W}\nSELECT class_id, label, count FROM weights")
+def e12_class_counts(spark, sf):
+    return BA.class_counts(_preds(spark, sf))
+
+
+@register("e15_class_weights_priors", f"""{_W}
+SELECT class_id, label, count, round(fraction, 9) AS fraction, round(inverse_weight, 9) AS inverse_weight,
+  round(effective_weight, 9) AS effective_weight, round(none_weight, 9) AS none_weight, round(prior, 9) AS prior FROM weights""")
+def e15_class_weights_priors(spark, sf):
+    """E13 (inverse), E14 (effective number), E15 (priors)."""
+    return _r9(BA.with_weights(BA.class_counts(_preds(spark, sf))))
+
+
+@register("e16_balance_summary", f"""{_W}
+SELECT class_id, label, count, round(fraction, 9) AS fraction, round(effective_weight, 9) AS weight, round(prior, 9) AS prior FROM weights""")
+def e16_balance_summary(spark, sf):
+    return _r9(BA.balance_summary(_preds(spark, sf), strategy="effective"))
+
+
+@register("k12_sample_weights", f"""{_W}
+SELECT p.row_id, round(w.inverse_weight, 9) AS weight FROM preds p JOIN weights w ON p.y_true = w.class_id""")
+def k12_sample_weights(spark, sf):
+    return _r9(BA.sample_weights(_preds(spark, sf), strategy="inverse").select("row_id", "weight"))
+
+
+@register("e17_confusion_matrix", f"""{_PRED_CM}
+SELECT y_true, sum(count) FILTER (WHERE pred = 0) AS pred_0, sum(count) FILTER (WHERE pred = 1) AS pred_1,
+  sum(count) FILTER (WHERE pred = 2) AS pred_2 FROM cm GROUP BY y_true""")
+def e17_confusion_matrix(spark, sf):
+    return EV.confusion_matrix(_preds(spark, sf))
+
+
+@register("e18_per_class_report", f"""{_PRED_CM}
+SELECT class_id, CASE class_id WHEN 0 THEN 'medium' WHEN 1 THEN 'high' ELSE 'critical' END AS label,
+  round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support, tp, predicted FROM pc""")
+def e18_per_class_report(spark, sf):
+    return _r9(EV.per_class(_preds(spark, sf)))
+
+
+_SUMMARY_SQL = """SELECT round(sum(tp) / sum(support), 9) AS accuracy, round(avg(precision), 9) AS macro_precision,
+  round(avg(recall), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1,
+  round(sum(precision * support) / sum(support), 9) AS weighted_precision,
+  round(sum(recall * support) / sum(support), 9) AS weighted_recall,
+  round(sum(f1 * support) / sum(support), 9) AS weighted_f1,
+  round(coalesce(avg(recall) FILTER (WHERE support > 0), 0.0), 9) AS balanced_accuracy FROM pc"""
+
+
+@register("e19_classification_summary", f"{_PRED_CM}\n{_SUMMARY_SQL}")
+def e19_classification_summary(spark, sf):
+    """E18 averages + E19 balanced accuracy (C5: mean over classes with support)."""
+    return _r9(EV.summary(_preds(spark, sf)))
+
+
+_BIN_SQL = " + ".join(f"CASE WHEN list_max(proba) >= CAST({e!r} AS DOUBLE) THEN 1 ELSE 0 END" for e in EV.ECE_EDGES[1:-1])
+_REL_SQL = f"""
+rel AS (
+  SELECT {_BIN_SQL} AS bin, count(*) AS count,
+    avg(CAST(pred = y_true AS DOUBLE)) AS accuracy, avg(list_max(proba)) AS confidence
+  FROM preds GROUP BY 1
+)"""
+
+
+@register("e21_reliability_table", f"""{O.with_ctes(O.PRED_CTE, _REL_SQL)}
+SELECT bin, count, round(accuracy, 9) AS accuracy, round(confidence, 9) AS confidence FROM rel""")
+def e21_reliability_table(spark, sf):
+    return _r9(EV.reliability(_preds(spark, sf)))
+
+
+@register("e20_ece", f"""{O.with_ctes(O.PRED_CTE, _REL_SQL)}
+SELECT round(coalesce(sum(abs(accuracy - confidence) * (count / (SELECT sum(count) FROM rel))), 0.0), 9) AS ece FROM rel""")
+def e20_ece(spark, sf):
+    return _r9(EV.ece(_preds(spark, sf)))
+
+
+_BRIER_ROW = " + ".join(f"(proba[{i + 1}] - CASE WHEN y_true = {i} THEN 1.0 ELSE 0.0 END) * (proba[{i + 1}] - CASE WHEN y_true = {i} THEN 1.0 ELSE 0.0 END)" for i in range(3))
+
+
+@register("e22_brier", f"{_PRED}\nSELECT round(avg({_BRIER_ROW}), 9) AS brier FROM preds")
+def e22_brier(spark, sf):
+    return _r9(EV.brier(_preds(spark, sf)))
+
+
+@register("e23_score_mae", f"""{O.with_ctes(O.IND_CTES, O.classified_cte("ind", PY_RULES, "sa"), O.classified_cte("ind", JS_RULES, "sb"))}
+SELECT round(avg(abs(sa.severity_score - sb.severity_score)), 9) AS mae FROM sa JOIN sb USING (row_id)""")
+def e23_score_mae(spark, sf):
+    v = D.indicator_view(spark, sf)
+    both = R.classify(R.classify(v, PY_RULES, prefix="a_"), JS_RULES, prefix="b_")
+    return _r9(EV.mae(both, "a_severity_score", "b_severity_score"))
+
+
+@register("e24_nll", f"""{_PRED}
+SELECT round(avg({O.nll_sql('logits', 'y_true', 1.0)}), 9) AS nll_t1, round(avg({O.nll_sql('logits', 'y_true', 2.0)}), 9) AS nll_t2 FROM preds""")
+def e24_nll(spark, sf):
+    p = _preds(spark, sf)
+    return _r9(EV.attach_scalars(EV.nll(p, 1.0).withColumnRenamed("nll", "nll_t1"), EV.nll(p, 2.0).withColumnRenamed("nll", "nll_t2")))
+
+
+@register("e30_class_distribution", f"""{_PRED}
+SELECT l.class_id, CASE l.class_id WHEN 0 THEN 'medium' WHEN 1 THEN 'high' ELSE 'critical' END AS label,
+  coalesce((SELECT count(*) FROM preds p WHERE p.y_true = l.class_id), 0) AS true_count,
+  coalesce((SELECT count(*) FROM preds p WHERE p.pred = l.class_id), 0) AS pred_count
+FROM (SELECT CAST(i AS INTEGER) AS class_id FROM range(3) t(i)) l""")
+def e30_class_distribution(spark, sf):
+    return EV.class_distribution(_preds(spark, sf))
+
+
+_SCORES_SQL = """
+scores AS (SELECT y_true, CAST(c - 1 AS INTEGER) AS class_id, proba[c] AS score FROM preds, range(1, 4) t(c))"""
+
+
+@register("e31_proba_histogram", f"""{O.with_ctes(O.PRED_CTE, _SCORES_SQL)},
+rng AS (SELECT class_id, min(score) AS lo, max(score) AS hi FROM scores GROUP BY 1)
+SELECT s.class_id, CAST(CASE WHEN hi - lo > 0 THEN least(floor((score - lo) * (50.0 / (hi - lo))), 49) ELSE 0 END AS INTEGER) AS bin,
+  count(*) AS count
+FROM scores s JOIN rng USING (class_id) GROUP BY 1, 2""")
+def e31_proba_histogram(spark, sf):
+    return EV.proba_histogram(_preds(spark, sf))
+
+
+_ROC_SQL = """
+per AS (SELECT class_id, score, sum(CASE WHEN y_true = class_id THEN 1 ELSE 0 END) AS tp,
+               sum(CASE WHEN y_true = class_id THEN 0 ELSE 1 END) AS fp FROM scores GROUP BY 1, 2),
+cum AS (
+  SELECT *, sum(tp) OVER w AS tp_cum, sum(fp) OVER w AS fp_cum,
+         sum(tp) OVER (PARTITION BY class_id) AS P, sum(fp) OVER (PARTITION BY class_id) AS N
+  FROM per WINDOW w AS (PARTITION BY class_id ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)"""
+
+
+@register("e32_roc_points", f"""{O.with_ctes(O.PRED_CTE, _SCORES_SQL, _ROC_SQL)}
+SELECT class_id, round(score, 9) AS score, round(CASE WHEN P <> 0 THEN tp_cum / P ELSE 0.0 END, 9) AS tpr,
+  round(CASE WHEN N <> 0 THEN fp_cum / N ELSE 0.0 END, 9) AS fpr, round(tp_cum / (tp_cum + fp_cum), 9) AS precision FROM cum""")
+def e32_roc_points(spark, sf):
+    return _r9(EV.roc_pr_points(_preds(spark, sf)).select("class_id", "score", "tpr", "fpr", "precision"))
+
+
+@register("e33_auc_average_precision", f"""{O.with_ctes(O.PRED_CTE, _SCORES_SQL, _ROC_SQL)}
+SELECT class_id,
+  round(sum((CASE WHEN N <> 0 THEN fp / N ELSE 0.0 END) * (CASE WHEN P <> 0 THEN (2 * tp_cum - tp) / (2 * P) ELSE 0.0 END)), 9) AS roc_auc,
+  round(sum((CASE WHEN P <> 0 THEN tp / P ELSE 0.0 END) * (tp_cum / (tp_cum + fp_cum))), 9) AS average_precision
+FROM cum GROUP BY class_id""")
+def e33_auc_average_precision(spark, sf):
+    """E32 AUC and E33 average precision per class."""
+    return _r9(EV.auc_ap(_preds(spark, sf)))
+
+
+_LOSS_ROW = {
+    "ce": O.nll_sql("logits", "y_true", 1.0),
+}
+
+
+@register("e36_losses", f"""{_W},
+lj AS (
+  SELECT p.*, w.effective_weight AS wy,
+    [p.logits[1] + ln(greatest((SELECT prior FROM weights WHERE class_id = 0), 1e-12)),
+     p.logits[2] + ln(greatest((SELECT prior FROM weights WHERE class_id = 1), 1e-12)),
+     p.logits[3] + ln(greatest((SELECT prior FROM weights WHERE class_id = 2), 1e-12))] AS adj
+  FROM preds p JOIN weights w ON p.y_true = w.class_id
+),
+lr AS (SELECT {O.nll_sql('logits', 'y_true', 1.0)} AS ce, wy, wy * {O.nll_sql('logits', 'y_true', 1.0)} AS wce,
+              {O.nll_sql('adj', 'y_true', 1.0)} AS bce FROM lj)
+SELECT round(avg(ce), 9) AS cross_entropy, round(sum(wce) / sum(wy), 9) AS weighted_cross_entropy,
+  round(avg(bce), 9) AS balanced_softmax, round(avg(pow(1 - exp(-ce), 2.0) * ce), 9) AS focal,
+  round(avg(pow(1 - exp(-wce), 2.0) * wce), 9) AS class_balanced_focal FROM lr""")
+def e36_losses(spark, sf):
+    p = _preds(spark, sf)
+    w = BA.with_weights(BA.class_counts(p))
+    return _r9(EV.losses(p, w.select("class_id", F.col("effective_weight").alias("weight")), w.select("class_id", "prior")))
+
+
+@register("e38_prediction_monitoring", f"""{_PRED}
+SELECT pred, count(*) AS count, round(avg(list_max(proba)), 9) AS mean_confidence,
+  count(*) FILTER (WHERE list_max(proba) < 0.7) AS low_confidence FROM preds GROUP BY pred""")
+def e38_prediction_monitoring(spark, sf):
+    return _r9(EV.monitoring(_preds(spark, sf)))
+
+
+@register("k19_metrics_record", f"""{O.with_ctes(O.PRED_CTE, O.CONF_CTE, _REL_SQL)},
+s AS ({_SUMMARY_SQL}),
+e AS (SELECT round(coalesce(sum(abs(accuracy - confidence) * (count / (SELECT sum(count) FROM rel))), 0.0), 9) AS ece FROM rel),
+b AS (SELECT round(avg({_BRIER_ROW}), 9) AS brier FROM preds)
+SELECT s.macro_f1, s.weighted_f1, s.balanced_accuracy, s.accuracy, e.ece, b.brier FROM s, e, b""")
+def k19_metrics_record(spark, sf):
+    return _r9(EV.metrics_record(_preds(spark, sf)))
+
+
+@register("b21_softmax", f"{_PRED}\nSELECT row_id, round(proba[1], 9) AS p0, round(proba[2], 9) AS p1, round(proba[3], 9) AS p2 FROM preds")
+def b21_softmax(spark, sf):
+    p = _preds(spark, sf)
+    return _r9(p.select("row_id", *[F.element_at("proba", i + 1).alias(f"p{i}") for i in range(3)]))
+
+
+@register("b22_proba_to_logits", f"""{_PRED}
+SELECT row_id, round(ln(least(greatest(proba[1], 1e-12), 1.0)), 9) AS l0, round(ln(least(greatest(proba[2], 1e-12), 1.0)), 9) AS l1,
+  round(ln(least(greatest(proba[3], 1e-12), 1.0)), 9) AS l2 FROM preds""")
+def b22_proba_to_logits(spark, sf):
+    p = _preds(spark, sf).withColumn("lg", AR.proba_to_logits(F.col("proba")))
+    return _r9(p.select("row_id", *[F.element_at("lg", i + 1).alias(f"l{i}") for i in range(3)]))
+
+
+@register("b23_argmax", f"{_PRED}\nSELECT row_id, pred FROM preds")
+def b23_argmax(spark, sf):
+    return _preds(spark, sf).select("row_id", "pred")
+
+
+@register("b24_align_proba", f"{_PRED}\nSELECT row_id, round(proba[1], 9) AS a0, 0.0 AS a1, round(proba[2], 9) AS a2 FROM preds")
+def b24_align_proba(spark, sf):
+    """Two probability columns for classes [0, 2] aligned into three."""
+    p = _preds(spark, sf).withColumn("two", F.slice("proba", 1, 2))
+    al = p.withColumn("al", AR.align_proba(F.col("two"), [0, 2], 3))
+    return _r9(al.select("row_id", *[F.element_at("al", i + 1).alias(f"a{i}") for i in range(3)]))
+
+
+@register("k11_dense_relabel", f"""{_PRED}
+SELECT y_true AS class_id, CAST(dense_rank() OVER (ORDER BY y_true) - 1 AS INTEGER) AS dense_id FROM (SELECT DISTINCT y_true FROM preds WHERE y_true <> 1)""")
+def k11_dense_relabel(spark, sf):
+    """Present classes (class 1 removed to make a gap) -> dense ids; the
+    per-class table has at most ``num_classes`` rows."""
+    from pyspark.sql import Window as W
+    present = _preds(spark, sf).where(F.col("y_true") != 1).select(F.col("y_true").alias("class_id")).distinct()
+    return present.withColumn("dense_id", (F.dense_rank().over(W.orderBy("class_id")) - 1).cast("int"))
+
+
+_GRID = CA.linspace(0.05, 5.0, 41)
+
+
+@register("k13_temperature_grid", f"""{_PRED},
+g AS ({" UNION ALL ".join(f"SELECT {i} AS i, round(avg({O.nll_sql('logits', 'y_true', t)}), 9) AS nll FROM preds" for i, t in enumerate(_GRID))})
+SELECT i, nll FROM g""")
+def k13_temperature_grid(spark, sf):
+    row = CA.nll_grid(_preds(spark, sf), _GRID)
+    return _r9(row.unpivot([], [f"t{i}" for i in range(len(_GRID))], "i", "nll").select(
+        F.substring("i", 2, 10).cast("int").alias("i"), "nll"))
+
+
+@register("k14_apply_temperature", f"""{_PRED},
+z AS (SELECT row_id, [logits[1] / 2.0, logits[2] / 2.0, logits[3] / 2.0] AS zl FROM preds),
+e AS (SELECT row_id, exp(zl[1] - list_max(zl)) AS e1, exp(zl[2] - list_max(zl)) AS e2, exp(zl[3] - list_max(zl)) AS e3 FROM z)
+SELECT row_id, round(e1 / (e1 + e2 + e3), 9) AS p0, round(e2 / (e1 + e2 + e3), 9) AS p1, round(e3 / (e1 + e2 + e3), 9) AS p2 FROM e""")
+def k14_apply_temperature(spark, sf):
+    p = CA.apply_temperature(_preds(spark, sf), 2.0)
+    return _r9(p.select("row_id", *[F.element_at("proba", i + 1).alias(f"p{i}") for i in range(3)]))
+
+
+@register("k15_calibration_report")
+def k15_calibration_report(spark, sf):
+    """Fitted temperature with ECE/Brier before and after (no SQL form: the
+    fit is an iterative search)."""
+    return _r9(CA.calibration_report(_preds(spark, sf)))
