@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sevlake.functions.ip import ipv4_to_int, is_ipv4, prefix_mask
 from sevlake.functions.parse import text_or_empty
-from sevlake.functions.urls import domain_depth_tld, path_depth, strip_dots, url_parts
+from sevlake.functions.urls import domain_depth_tld, path_depth, strip_dots, with_url_parts
 from sevlake.schema import DOMAIN_TYPES, HASH_TYPES, IP_TYPES
 
 DAY_US = 86400.0 * 1_000_000
@@ -53,7 +53,8 @@ def row_features(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     value = F.col("value").cast("string")
     is_dom = typ.isin(*DOMAIN_TYPES)
     is_url = typ == "url"
-    scheme, netloc, path = url_parts(text_or_empty(value))
+    df = with_url_parts(df, text_or_empty(value), "_u_", when=is_url)
+    scheme, netloc, path = F.col("_u_scheme"), F.col("_u_netloc"), F.col("_u_path")
     dd_dom, tld_dom = domain_depth_tld(text_or_empty(value))
     dd_host, tld_host = domain_depth_tld(netloc)
     obs = F.coalesce(F.trim(F.col("observedCount").cast("string")).try_cast("double"), F.lit(0.0))
@@ -78,6 +79,7 @@ def row_features(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     })
     for c in ("is_url", "is_domain", "is_ip", "is_hash_like"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
+    out = out.drop("_u_scheme", "_u_netloc", "_u_path")
     return out.withColumn(
         "normalized_domain",
         F.when(is_dom, strip_dots(F.lower(text_or_empty(value))))

@@ -9,6 +9,7 @@ from sevlake.operators.enrich import augment_features
 from sevlake.operators.normalize import normalize
 from sevlake.operators.rules import replay_columns
 from sevlake.schema import PY_RULES
+from sevlake.session import checkpoint_dir
 from sevlake.sources import driver_tables as D
 from sevlake.sources.sidecars import normalize_phishing, parse_ip_lines
 
@@ -17,8 +18,16 @@ def normalized_view(spark: SparkSession, sf: str) -> DataFrame:
     return normalize(D.indicator_view(spark, sf))
 
 
-def ip_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return parse_ip_lines(D.ip_list_lines(spark, sf))
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` once to the cluster's checkpoint folder so
+    the several passes of a plan (lists, scalar subqueries, joins back) read
+    it instead of recomputing the source joins.  Survives executor loss."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def ip_lists(spark: SparkSession, sf: str, view: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return parse_ip_lines(D.ip_list_lines(spark, sf, view))
 
 
 def phishing(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,8 +35,9 @@ def phishing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def enriched_view(spark: SparkSession, sf: str) -> DataFrame:
-    exact, cidr = ip_lists(spark, sf)
-    return augment_features(normalized_view(spark, sf), exact, cidr, phishing(spark, sf))
+    norm = materialize(normalized_view(spark, sf))
+    exact, cidr = ip_lists(spark, sf, norm)
+    return augment_features(norm, exact, cidr, phishing(spark, sf))
 
 
 def replayed_view(spark: SparkSession, sf: str) -> DataFrame:

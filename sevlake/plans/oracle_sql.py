@@ -86,7 +86,7 @@ IP_LINES_CTE = f"""
 ip_lines AS (
   SELECT * FROM (VALUES {CIDR_VALUES}) t(line_no, line)
   UNION ALL
-  SELECT {len(CIDR_LINES) + 1} AS line_no, value AS line FROM ind_base WHERE type = 'ip' AND k % 8 = 3
+  SELECT {len(CIDR_LINES) + 1} AS line_no, value AS line FROM ind WHERE type = 'ip' AND split_part(value, '.', 3) = '3'
 )"""
 
 PHISH_CTE = f"""

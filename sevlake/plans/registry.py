@@ -225,9 +225,10 @@ def b1_parse_tags(spark, sf):
 
 @register("b4_indicator_key", f"{_NORM}\nSELECT row_id, {O.canonical_sql('type', 'value')} AS canonical_value, indicator_key FROM norm")
 def b4_indicator_key(spark, sf):
-    from sevlake.functions.urls import canonical_value
-    n = DS.normalized_view(spark, sf)
-    return n.select("row_id", canonical_value(F.col("type"), F.col("value")).alias("canonical_value"), "indicator_key")
+    """B3 canonical value and B4 key."""
+    from sevlake.functions.urls import with_indicator_key
+    v = D.indicator_view(spark, sf)
+    return with_indicator_key(v, canonical_out="canonical_value").select("row_id", "canonical_value", "indicator_key")
 
 
 @register("c1_unknown_labels", f"{_NORM}\nSELECT row_id, severity FROM ind WHERE lower(severity) NOT IN ('medium', 'high', 'critical')")
@@ -348,8 +349,9 @@ FROM norm"""
 
 
 def _audit_inputs(spark, sf):
-    exact, cidr = DS.ip_lists(spark, sf)
-    return DS.normalized_view(spark, sf), exact, cidr, DS.phishing(spark, sf)
+    norm = DS.materialize(DS.normalized_view(spark, sf))
+    exact, cidr = DS.ip_lists(spark, sf, norm)
+    return norm, exact, cidr, DS.phishing(spark, sf)
 
 
 @register("e1_null_counts", f"{_AUD}\n{_E1_SQL}")

@@ -122,15 +122,15 @@ def indicator_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicator_base(spark, sf_dir).drop("k")
 
 
-def ip_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ip_list_lines(spark: SparkSession, sf_dir: str, view: DataFrame | None = None) -> DataFrame:
     """IP list as text lines ``(line_no, line)``: four CIDR lines first, then the
-    ``ip`` values with ``k % 8 = 3`` as exact addresses."""
+    ``ip`` values with ``k % 8 = 3`` (third octet 3) as exact addresses."""
     cidr = spark.createDataFrame(
         [(i + 1, line) for i, line in enumerate(CIDR_LINES)], "line_no long, line string"
     )
+    view = view if view is not None else indicator_view(spark, sf_dir)
     exact = (
-        indicator_base(spark, sf_dir)
-        .where((F.col("type") == "ip") & (F.col("k") % 8 == 3))
+        view.where((F.col("type") == "ip") & (F.split_part("value", F.lit("."), F.lit(3)) == "3"))
         .select(F.lit(len(CIDR_LINES) + 1).cast("long").alias("line_no"), F.col("value").alias("line"))
     )
     return cidr.unionByName(exact)
