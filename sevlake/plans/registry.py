@@ -869,3 +869,136 @@ def k15_calibration_report(spark, sf):
     """Fitted temperature with ECE/Brier before and after (no SQL form: the
     fit is an iterative search)."""
     return _r9(CA.calibration_report(_preds(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# K9/D7 baselines, D9/F9/K16 neighbours, K3-K8/K20 models
+# ---------------------------------------------------------------------------
+from sevlake.operators import models as MO  # noqa: E402
+from sevlake.operators import neighbors as NB  # noqa: E402
+
+_SPL_CTE = f"""
+k4 AS (SELECT indicator_key, row_number() OVER (PARTITION BY modal_label ORDER BY md5('42:' || indicator_key), indicator_key) - 1 AS pos,
+              count(*) OVER (PARTITION BY modal_label) AS n FROM modal),
+spl AS (SELECT norm.*, coalesce({_cut_sql('pos', 'n', 0.7, 0.15)}, 'test') AS split FROM norm LEFT JOIN k4 USING (indicator_key))"""
+_SPLIT_BASE = f"{_E11_SQL},{_SPL_CTE}"
+
+
+def _split_view(spark, sf):
+    n = DS.materialize(DS.normalized_view(spark, sf))
+    return SP.stratified_key_split(n, 42, 0.7, 0.15)
+
+
+@register("k9_majority_lookup", f"""{_SPLIT_BASE},
+tr AS (SELECT * FROM spl WHERE split = 'train'),
+te AS (SELECT * FROM spl WHERE split = 'test'),
+gl AS (SELECT avg(CAST(severity_id = 0 AS DOUBLE)) AS g0, avg(CAST(severity_id = 1 AS DOUBLE)) AS g1,
+                avg(CAST(severity_id = 2 AS DOUBLE)) AS g2 FROM tr),
+grp AS (SELECT source, type, count(*) FILTER (WHERE severity_id = 0) / count(*) AS c0,
+               count(*) FILTER (WHERE severity_id = 1) / count(*) AS c1, count(*) FILTER (WHERE severity_id = 2) / count(*) AS c2
+        FROM tr GROUP BY 1, 2),
+pr AS (SELECT te.row_id, coalesce(grp.c0, gl.g0) AS p0, coalesce(grp.c1, gl.g1) AS p1, coalesce(grp.c2, gl.g2) AS p2
+       FROM te LEFT JOIN grp ON te.source IS NOT DISTINCT FROM grp.source AND te.type IS NOT DISTINCT FROM grp.type, gl)
+SELECT row_id, round(p0, 9) AS p0, round(p1, 9) AS p1, round(p2, 9) AS p2,
+  CAST(list_position([p0, p1, p2], greatest(p0, p1, p2)) - 1 AS INTEGER) AS pred FROM pr""")
+def k9_majority_lookup(spark, sf):
+    """K9 (source, type) majority baseline with D7 global fallback."""
+    s = _split_view(spark, sf)
+    p = MO.majority_predict(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), ["source", "type"])
+    return _r9(p.select("row_id", *[F.element_at("proba", i + 1).alias(f"p{i}") for i in range(3)], "pred"))
+
+
+@register("k4_scale_numeric", f"""{_SPLIT_BASE.replace('spl AS (', 'spl0 AS (')},
+spl AS (SELECT *, CAST(length(coalesce(description, '')) AS DOUBLE) AS desc_len, CAST(len(tags_list) AS DOUBLE) AS tag_count FROM spl0),
+st AS (SELECT stddev_pop(desc_len) AS s1, stddev_pop(tag_count) AS s2 FROM spl WHERE split = 'train')
+SELECT row_id, round(desc_len / CASE WHEN s1 IS NULL OR s1 = 0 THEN 1.0 ELSE s1 END, 9) AS desc_len_scaled,
+  round(tag_count / CASE WHEN s2 IS NULL OR s2 = 0 THEN 1.0 ELSE s2 END, 9) AS tag_count_scaled FROM spl, st""")
+def k4_scale_numeric(spark, sf):
+    s = _split_view(spark, sf).withColumns({
+        "desc_len": F.length(F.coalesce("description", F.lit(""))).cast("double"),
+        "tag_count": F.size("tags_list").cast("double"),
+    })
+    out = MO.scale_by_std(s.where(F.col("split") == "train"), s, ["desc_len", "tag_count"])
+    return _r9(out.select("row_id", "desc_len_scaled", "tag_count_scaled"))
+
+
+_KNN_SRC = """
+kq AS (SELECT vec_id AS id, embedding AS vec FROM embeddings WHERE vec_id % 5 = 0),
+kb AS (SELECT vec_id AS id, embedding AS vec, label FROM embeddings WHERE vec_id % 5 <> 0),
+kp AS (
+  SELECT kq.id AS query_id, kb.id AS base_id,
+    list_sum(list_transform(range(1, len(kq.vec) + 1), lambda i: (CAST(kq.vec[i] AS DOUBLE) - CAST(kb.vec[i] AS DOUBLE))
+      * (CAST(kq.vec[i] AS DOUBLE) - CAST(kb.vec[i] AS DOUBLE)))) AS distance
+  FROM kq, kb
+),
+kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, base_id) AS rank FROM kp),
+knn AS (SELECT * FROM kr WHERE rank <= 20)"""
+
+
+def _knn_inputs(spark, sf):
+    emb = D.read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return emb.where(F.col("id") % 5 == 0), emb.where(F.col("id") % 5 != 0)
+
+
+@register("d9_knn_pairs", f"""WITH {_KNN_SRC}
+SELECT query_id, base_id, round(distance, 6) AS distance, rank FROM knn""")
+def d9_knn_pairs(spark, sf):
+    """D9 + F9: exact k=20 nearest neighbours (squared L2)."""
+    q, b = _knn_inputs(spark, sf)
+    pairs = NB.knn_join(q, b, k=20, block_rows=256)
+    return pairs.select("query_id", "base_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("k16_neighbor_features", f"""WITH {_KNN_SRC}
+SELECT query_id, round(avg(distance), 6) AS knn_mean_distance, round(avg(kb.label), 9) AS knn_mean_teacher_score,
+  round(avg(CAST(kb.label % 3 = 0 AS DOUBLE)), 9) AS knn_medium_ratio, round(avg(CAST(kb.label % 3 = 1 AS DOUBLE)), 9) AS knn_high_ratio,
+  round(avg(CAST(kb.label % 3 = 2 AS DOUBLE)), 9) AS knn_critical_ratio
+FROM knn JOIN kb ON knn.base_id = kb.id GROUP BY query_id""")
+def k16_neighbor_features(spark, sf):
+    q, b = _knn_inputs(spark, sf)
+    pairs = NB.knn_join(q, b, k=20, block_rows=256)
+    labels = b.select(
+        "id", F.col("label").cast("double").alias("score"),
+        F.element_at(F.array(*[F.lit(x) for x in ["medium", "high", "critical"]]), (F.col("label") % 3 + 1).cast("int")).alias("label_name"),
+    )
+    f = NB.neighbor_features(pairs, labels)
+    return f.select("query_id", F.round("knn_mean_distance", 6).alias("knn_mean_distance"),
+                    *[F.round(c, 9).alias(c) for c in ["knn_mean_teacher_score", "knn_medium_ratio", "knn_high_ratio", "knn_critical_ratio"]])
+
+
+@register("k18_mean_pool", """WITH t AS (
+  SELECT vec_id % 50 AS id, embedding AS vec FROM embeddings WHERE label % 4 <> 0
+), d AS (SELECT id, CAST(i - 1 AS INTEGER) AS dim, CAST(vec[i] AS DOUBLE) AS x FROM t, range(1, 65) r(i))
+SELECT id, CAST(dim AS INTEGER) AS dim, round(avg(x), 9) AS x FROM d GROUP BY 1, 2""")
+def k18_mean_pool(spark, sf):
+    """Masked mean pooling: token groups = vec_id % 50, mask = label % 4 <> 0."""
+    emb = D.read_table(spark, sf, "embeddings").select(
+        (F.col("vec_id") % 50).alias("id"), F.col("embedding").alias("vec"), (F.col("label") % 4 != 0).cast("int").alias("mask"))
+    pooled = NB.mean_pool(emb)
+    return pooled.select("id", F.posexplode("pooled").alias("dim", "x")).select(
+        "id", F.col("dim").cast("int").alias("dim"), F.round(F.col("x").cast("double"), 9).alias("x"))
+
+
+def _feature_split(spark, sf):
+    e = DS.enriched_view(spark, sf)
+    return SP.stratified_key_split(e, 42, 0.7, 0.15)
+
+
+@register("k7_logreg_predictions")
+def k7_logreg_predictions(spark, sf):
+    """K3+K5+K7+K12+K20: one-hot + numeric features, weighted multinomial
+    logistic regression (C=8, effective weights) fitted on train, test
+    predictions."""
+    s = DS.materialize(_feature_split(spark, sf))
+    model = MO.train_logreg(s.where(F.col("split") == "train"), 8.0, "effective", max_iter=50)
+    return MO.predictions(model, s.where(F.col("split") == "test"))
+
+
+@register("k8_c_sweep")
+def k8_c_sweep(spark, sf):
+    """K8 + G6: C sweep on validation; rows ``(c, macro_f1, balanced_accuracy, ece, selected)``."""
+    s = DS.materialize(_feature_split(spark, sf))
+    best, sweep = MO.tune_c(s.where(F.col("split") == "train"), s.where(F.col("split") == "validation"),
+                            grid=(0.5, 2.0, 8.0), max_iter=30)
+    rows = [(r["c"], r["macro_f1"], r["balanced_accuracy"], r["ece"], r["c"] == best) for r in sweep]
+    return spark.createDataFrame(rows, "c double, macro_f1 double, balanced_accuracy double, ece double, selected boolean")
