@@ -1002,3 +1002,52 @@ def k8_c_sweep(spark, sf):
                             grid=(0.5, 2.0, 8.0), max_iter=30)
     rows = [(r["c"], r["macro_f1"], r["balanced_accuracy"], r["ece"], r["c"] == best) for r in sweep]
     return spark.createDataFrame(rows, "c double, macro_f1 double, balanced_accuracy double, ece double, selected boolean")
+
+
+# ---------------------------------------------------------------------------
+# K1, K2: TF-IDF
+# ---------------------------------------------------------------------------
+from sevlake.operators import text_features as TF  # noqa: E402
+
+_TEXT_CTE = O.with_ctes(O.IND_CTES, O.NORM_CTE, O.ROWFEAT_CTE)
+
+
+def _tfidf_sql(terms_sql: str, max_features: int, min_df: int) -> str:
+    return f"""{_TEXT_CTE},
+tt AS (SELECT row_id AS doc, unnest({terms_sql}) AS term FROM rowfeat),
+tf AS (SELECT doc, term, count(*) AS tf FROM tt GROUP BY 1, 2),
+st AS (SELECT term, count(*) AS df, sum(tf) AS freq FROM tf GROUP BY 1 HAVING count(*) >= {min_df}),
+vo AS (SELECT *, ln((1.0 + (SELECT count(*) FROM rowfeat)) / (1.0 + df)) + 1.0 AS idf FROM st
+       QUALIFY row_number() OVER (ORDER BY freq DESC, term) <= {max_features}),
+w AS (SELECT tf.doc, tf.term, (1.0 + ln(tf.tf)) * vo.idf AS w FROM tf JOIN vo USING (term))
+SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 9) AS weight FROM w"""
+
+
+_WORD_TERMS_SQL = (
+    "list_concat(regexp_extract_all(lower(text_input), '[\\p{L}\\p{N}_]{2,}'), "
+    "list_transform(range(1, len(regexp_extract_all(lower(text_input), '[\\p{L}\\p{N}_]{2,}'))), "
+    "lambda i: regexp_extract_all(lower(text_input), '[\\p{L}\\p{N}_]{2,}')[i] || ' ' || "
+    "regexp_extract_all(lower(text_input), '[\\p{L}\\p{N}_]{2,}')[i + 1]))"
+)
+_CHAR_T = "regexp_replace(lower(coalesce(value, '')), '\\s\\s+', ' ', 'g')"
+_CHAR_TERMS_SQL = "list_concat(" + ", ".join(
+    f"list_transform(range(1, length({_CHAR_T}) - {n} + 2), lambda i: substring({_CHAR_T}, i, {n}))" for n in range(3, 7)
+) + ")"
+
+
+@register("k1_word_tfidf", _tfidf_sql(_WORD_TERMS_SQL, 50000, 1))
+def k1_word_tfidf(spark, sf):
+    """Word 1-2 gram TF-IDF of text_input, top 50,000 terms."""
+    from sevlake.operators.enrich import text_input
+    n = DS.normalized_view(spark, sf)
+    n = n.withColumn("text_input", text_input(n))
+    w, _ = TF.tfidf(n, "row_id", TF.word_terms(F.col("text_input")), max_features=50000)
+    return w.select("doc", "term", F.round("weight", 9).alias("weight"))
+
+
+@register("k2_char_tfidf", _tfidf_sql(_CHAR_TERMS_SQL, 40000, 2))
+def k2_char_tfidf(spark, sf):
+    """Character 3-6 gram TF-IDF of value, min_df 2, top 40,000 terms."""
+    n = DS.normalized_view(spark, sf)
+    w, _ = TF.tfidf(n, "row_id", TF.char_terms(F.col("value")), max_features=40000, min_df=2)
+    return w.select("doc", "term", F.round("weight", 9).alias("weight"))
