@@ -1051,3 +1051,101 @@ def k2_char_tfidf(spark, sf):
     n = DS.normalized_view(spark, sf)
     w, _ = TF.tfidf(n, "row_id", TF.char_terms(F.col("value")), max_features=40000, min_df=2)
     return w.select("doc", "term", F.round("weight", 9).alias("weight"))
+
+
+# ---------------------------------------------------------------------------
+# Experiment matrix and leaderboards
+# ---------------------------------------------------------------------------
+from sevlake.operators import leaderboard as LB  # noqa: E402
+
+EXPERIMENTS = [
+    {"name": "source_majority", "cols": ["source"]},
+    {"name": "type_majority", "cols": ["type"]},
+    {"name": "source_type_majority", "cols": ["source", "type"]},
+]
+SEEDS = [42, 1337]
+
+
+def _runs(spark, sf):
+    n = DS.materialize(DS.normalized_view(spark, sf))
+
+    def run_one(exp, seed):
+        s = SP.random_key_split(n, seed, 0.7, 0.15)
+        p = MO.majority_predict(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), exp["cols"])
+        p = p.select("row_id", F.col("severity_id").alias("y_true"), "proba", "pred")
+        return EV.metrics_record(p)
+
+    return DS.materialize(LB.run_matrix(spark, LB.enabled_experiments(EXPERIMENTS), SEEDS, run_one))
+
+
+@register("k22_experiment_matrix")
+def k22_experiment_matrix(spark, sf):
+    """Majority baselines x seeds (random key split per seed) -> runs table."""
+    return _r9(_runs(spark, sf).drop("started_at", "completed_at"))
+
+
+@register("e28_experiment_aggregate")
+def e28_experiment_aggregate(spark, sf):
+    return _r9(LB.aggregate(_runs(spark, sf)))
+
+
+@register("g3_leaderboard_table")
+def g3_leaderboard_table(spark, sf):
+    """G1 order + G3 formatting."""
+    return LB.leaderboard_table(LB.aggregate(_runs(spark, sf)))
+
+
+@register("e29_run_status")
+def e29_run_status(spark, sf):
+    return LB.status(_runs(spark, sf)).drop("duration_hours_mean")
+
+
+@register("e37_calibration_tradeoff")
+def e37_calibration_tradeoff(spark, sf):
+    """E37 rows in the G7 protocol order."""
+    return _r9(LB.tradeoff(LB.ranked_by_protocol(_runs(spark, sf))))
+
+
+# ---------------------------------------------------------------------------
+# File scans and sinks (round trips through the
+# cluster's shared checkpoint folder)
+# ---------------------------------------------------------------------------
+from sevlake.sources import files as FI  # noqa: E402
+
+_IND_COLS = ["row_id", "type", "value", "severity", "source", "observedCount"]
+
+
+@register("a1_csv_roundtrip", f"{O.with_ctes(O.IND_CTES)}\nSELECT CAST(row_id AS VARCHAR) AS row_id, type, value, severity, source, observedCount FROM ind")
+def a1_csv_roundtrip(spark, sf):
+    """Indicator view written as CSV, scanned back with A1 + A4."""
+    path = FI.scratch_path(spark, "indicators-csv") + "/indicators.csv"
+    FI.write_csv(D.indicator_view(spark, sf), path)
+    return FI.load_indicators(spark, path).select(*_IND_COLS)
+
+
+@register("a3_jsonl_roundtrip", f"{O.with_ctes(O.IND_CTES)}\nSELECT row_id, type, value, severity, source, observedCount FROM ind")
+def a3_jsonl_roundtrip(spark, sf):
+    """Indicator view written as JSON lines, scanned back with A3 + A4."""
+    path = FI.scratch_path(spark, "indicators-json") + "/indicators.json"
+    FI.write_json(D.indicator_view(spark, sf), path)
+    return FI.load_indicators(spark, path).select(*_IND_COLS)
+
+
+@register("a9_split_scan", f"""{_SPLIT_BASE}
+SELECT row_id, split FROM spl WHERE split = 'validation'""")
+def a9_split_scan(spark, sf):
+    """A8 partitioned split sink, A9 scan of one split (partition pruning)."""
+    path = FI.scratch_path(spark, "splits")
+    SP.write_splits(_split_view(spark, sf).select("row_id", "indicator_key", "split"), path)
+    return SP.read_split(spark, path, "validation").select("row_id", "split")
+
+
+@register("a16_metrics_scan")
+def a16_metrics_scan(spark, sf):
+    """A14 JSON sink of per-run metrics, A16 multi-file scan with run names."""
+    root = FI.scratch_path(spark, "runs")
+    runs = _runs(spark, sf)
+    for r in runs.select("experiment", "seed").collect():  # one small write per run (a handful of runs)
+        one = runs.where((F.col("experiment") == r["experiment"]) & (F.col("seed") == r["seed"]))
+        FI.write_json(one.drop("experiment").coalesce(1), f"{root}/{r['experiment']}_{r['seed']}")
+    return _r9(FI.read_metrics(spark, f"{root}/*/*.json").select("run", "macro_f1", "ece"))
