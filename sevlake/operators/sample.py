@@ -59,7 +59,8 @@ def allocate(cells: DataFrame, group_cols: list[str], budget_col: str, coverage_
     g = Window.partitionBy(*group_cols)
     c = c.withColumn("_cov_total", F.sum("_cov").over(g)).withColumn("_res_total", F.sum("_res").over(g))
     c = c.withColumn("_left", F.col(budget_col) - F.col("_cov_total"))
-    raw = F.when(F.col("_res_total") > 0, F.col("_left") * F.col("_res") / F.col("_res_total")).otherwise(0.0)
+    raw = F.when(F.col("_res_total") > 0,
+                 F.col("_left").cast("double") * F.col("_res") / F.col("_res_total")).otherwise(0.0)
     c = c.withColumn("_raw", raw).withColumn("_fill", F.least(F.col("_res"), F.floor("_raw")))
     c = c.withColumn("_spare", F.col("_left") - F.sum("_fill").over(g))
     cell_cols = [x for x in cells.columns if x not in set(group_cols) | {"cell_size", budget_col}]
@@ -110,7 +111,7 @@ def balanced_sample(df: DataFrame, limit: int, seed: int = 42, cell_cols=("sourc
     ranked = ranked.join(cells.select(label_col, *cell_cols, "quota"), [label_col, *cell_cols])
     if limit >= 0:
         total = df.select(F.count(F.lit(1))).scalar()
-        ranked = ranked.withColumn("_limit", F.when(F.lit(limit) >= total, F.lit(1 << 62)).otherwise(F.col("_limit")))
+        ranked = ranked.withColumn("_limit", F.when(F.lit(limit) >= total, total).otherwise(F.col("_limit")))
     out = _finish(ranked, [label_col], "_limit")
     return out.drop("_n_label", "_idx", "_limit", "_h", "cell_rank", "cell_size", "quota", "_tier", "_fr", "_fr_group_size")
 
@@ -121,7 +122,7 @@ def strata_sample(df: DataFrame, limit: int, seed: int = 42, cell_cols=("source"
     cell_cols = list(cell_cols)
     rows = df.withColumn("_g", F.lit(0)).withColumn("_h", row_hash(seed)).withColumn("_limit", F.lit(limit).cast("long"))
     total = df.select(F.count(F.lit(1))).scalar()
-    rows = rows.withColumn("_limit", F.when(F.col("_limit") >= total, F.lit(1 << 62)).otherwise(F.col("_limit")))
+    rows = rows.withColumn("_limit", F.when(F.col("_limit") >= total, total).otherwise(F.col("_limit")))
     ranked = diverse_rank(rows, ["_g", *cell_cols])
     cells = ranked.select("_g", *cell_cols, "cell_size", "_limit").distinct()
     cells = allocate(cells, ["_g"], "_limit", coverage_floor, small_cell_threshold)

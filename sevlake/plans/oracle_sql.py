@@ -420,7 +420,7 @@ def sample_ctes(src: str, limit: int, seed: int, by_label: bool, prefix: str = "
 {p}_lab2 AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS idx, count(*) OVER () AS nl FROM {p}_lab),
 {p}_lab3 AS (
   SELECT severity_label, idx,
-    CASE WHEN {limit} >= (SELECT count(*) FROM {src}) THEN {BIG}
+    CASE WHEN {limit} >= (SELECT count(*) FROM {src}) THEN (SELECT count(*) FROM {src})
          ELSE {limit} // nl + CASE WHEN idx < {limit} % nl THEN 1 ELSE 0 END END AS lim
   FROM {p}_lab2
 ),
@@ -431,7 +431,7 @@ def sample_ctes(src: str, limit: int, seed: int, by_label: bool, prefix: str = "
     else:
         lab = f"""
 {p}_rows AS (
-  SELECT s.*, 0 AS g0, CASE WHEN {limit} >= (SELECT count(*) FROM {src}) THEN {BIG} ELSE {limit} END AS lim,
+  SELECT s.*, 0 AS g0, CASE WHEN {limit} >= (SELECT count(*) FROM {src}) THEN (SELECT count(*) FROM {src}) ELSE {limit} END AS lim,
          md5(CAST({seed} AS VARCHAR) || ':' || CAST(s.row_id AS VARCHAR)) AS h
   FROM {src} s
 ),"""
@@ -452,7 +452,7 @@ def sample_ctes(src: str, limit: int, seed: int, by_label: bool, prefix: str = "
 {p}_c3 AS (SELECT *, sum(cov) OVER (PARTITION BY {g}) AS cov_total, sum(res) OVER (PARTITION BY {g}) AS res_total FROM {p}_c2),
 {p}_c4 AS (
   SELECT *, lim - cov_total AS lft,
-         CASE WHEN res_total > 0 THEN ((lim - cov_total) * res) / res_total ELSE CAST(0.0 AS DOUBLE) END AS raw
+         CASE WHEN res_total > 0 THEN CAST(lim - cov_total AS DOUBLE) * res / res_total ELSE CAST(0.0 AS DOUBLE) END AS raw
   FROM {p}_c3
 ),
 {p}_c5 AS (SELECT *, least(res, CAST(floor(raw) AS BIGINT)) AS fill FROM {p}_c4),
