@@ -30,8 +30,8 @@ from sevlake.llm.common import materialise, part_of, small_batches
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
-FIT_DOCS = 20_000  # labelled documents to learn from, at most about so many
-ROUNDS = 3
+FIT_DOCS = 10_000  # labelled documents to learn from, at most about so many
+ROUNDS = 2
 SMOOTHING = 0.05
 _RUNS = re.compile(r"[^\W\d_]+")
 _LONG = 40  # longer words are scored with rescaling

@@ -91,6 +91,10 @@ def _top_word(t: Text) -> bool:
     return n > 1 and 10 * n * len(w) > 3 * t.word_chars
 
 
+def _stutter(t: Text) -> bool:
+    return 5 * sum(a == b for a, b in zip(t.words, t.words[1:], strict=False)) > t.n_words
+
+
 def _ellipsis(t: Text) -> bool:
     return 10 * sum(1 for x in t.lines if x.rstrip(" \t\n\v\f\r").endswith(("...", "…"))) > 3 * len(t.lines)
 
@@ -103,10 +107,11 @@ def _bullets(t: Text) -> bool:
 RULES = (
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words),
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
-    Rule("duplicate_lines", lambda t: 10 * t.n_dup_lines > 3 * len(t.lines)),
+    Rule("duplicate_lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
     Rule("letters", _letters),
     Rule("upper_case", _upper),
     Rule("top_word", _top_word),
+    Rule("stutter", _stutter),
     Rule("ellipsis", _ellipsis),
     Rule("bullets", _bullets),
 )

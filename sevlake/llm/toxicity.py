@@ -1,6 +1,6 @@
 """Operator 9: a toxicity classifier with counterfactual regularisation.
 
-Logistic regression on words and character pieces that tell the labels apart.
+Logistic regression on words and beginnings of words that tell the labels apart.
 Each labelled text that names a group gets counterfactuals in which identity
 terms are swapped within their group ("women" for "men"); the loss adds the
 squared change of the score, so that a mere mention of a group weighs nothing.
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from sevlake.llm.common import materialise, part_of, small_batches
 
 FIT_DOCS = 20_000  # labelled rows to learn from, at most about so many
-FEATURES = 4_096
-PARTS, ROUNDS, STEPS = 8, 4, 60
+FEATURES, LEAST_CHI2 = 4_096, 10.0  # features kept at most, and their least chi-squared
+REPEATS = 4
+PARTS, ROUNDS, STEPS = 4, 4, 60
 FAIRNESS = 4.0  # weight of the squared score change
 RIDGE = 1e-4
 THRESHOLD = 0.7
@@ -46,9 +47,8 @@ _NEXT = {t: g[(i + 1) % len(g)] for g in IDENTITY.values() for i, t in enumerate
 
 
 def pieces_of(word: str) -> list[str]:
-    """Features of a word: itself and its 4 to 6 letter pieces, marked by ^ and $ at its ends."""
-    marked = f"^{word[:200]}$"
-    return [f"={word}", *{marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)}]
+    """Features of a word: itself and its beginnings of 3 to 7 letters."""
+    return [f"={word}", *(f"^{word[:n]}" for n in range(3, min(len(word), 7) + 1))]
 
 
 def words_of(text: str | None) -> set[str]:
@@ -73,7 +73,8 @@ class ToxicityModel:
     def __setstate__(self, state):
         self.__dict__.update(state, _made={})
 
-    def ids(self, words: set[str]) -> set[int]:
+    def ids(self, words: set[str]) -> list[int]:
+        """Features of a text, each as often as it has words with it, ``REPEATS`` times at most."""
         m = self._made
         if not m:
             m.update(index={f: i for i, f in enumerate(self.features)}, cache={})
@@ -82,11 +83,12 @@ class ToxicityModel:
         cache, index = m["cache"], m["index"]
         for w in words - cache.keys():
             cache[w] = tuple(index[p] for p in pieces_of(w) if p in index)
-        return {i for w in words for i in cache[w]}
+        found = Counter(i for w in words for i in cache[w])
+        return [i for i, n in found.items() for _ in range(min(n, REPEATS))]
 
     def score(self, text: str | None) -> float:
         """Probability of label 1; a null or empty text gets the bias alone."""
-        at = list(self.ids(words_of(text)))
+        at = self.ids(words_of(text))
         return float(1 / (1 + np.exp(-np.clip(self.weights[at].sum() + self.weights[-1], -30, 30))))
 
 
@@ -159,8 +161,8 @@ def fit(
     """Learn from ``labels`` (id, label 0 or 1; other values don't teach; of
     labels that disagree the larger holds) and the texts of ``docs``.  Over
     ``fit_docs`` labelled ids, a part of about that many, chosen by a hash of
-    the id, teaches.  Without rows of both labels, scores are the share of 1
-    (or 0.0 without any row)."""
+    the id, teaches.  Without rows of both labels all scores are near the only
+    label (near 0 without any row)."""
     spark = docs.sparkSession
     small_batches(spark)
     ys = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(F.max(label_col).cast("int").alias("y"))
@@ -171,12 +173,12 @@ def fit(
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("y").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
-        share = n1 / max(1, n0 + n1)
-        return ToxicityModel([], np.array([40.0 * share - 30.0 if n0 + n1 == 0 else (30.0 if n1 else -30.0)]))
+        return ToxicityModel([], np.array([30.0 if n1 else -30.0]))
     p = (F.col("n0") + F.col("n1")) / F.lit(float(n0 + n1))
-    z = F.abs(F.col("n1") / F.lit(float(n1)) - F.col("n0") / F.lit(float(n0))) / F.sqrt(p * (1 - p) + F.lit(1e-6))
-    telling = _feature_counts(rows).where(F.col("n0") + F.col("n1") >= 3).select("feature", z.alias("z"))
-    names = [r["feature"] for r in telling.orderBy(F.desc("z"), "feature").limit(features).collect()]
+    gap = F.col("n1") / F.lit(float(n1)) - F.col("n0") / F.lit(float(n0))
+    chi2 = gap * gap / (p * (1 - p) + F.lit(1e-9)) * F.lit(n0 * n1 / (n0 + n1))
+    telling = _feature_counts(rows).where(F.col("n0") + F.col("n1") >= 3).select("feature", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
+    names = [r["feature"] for r in telling.orderBy(F.desc("chi2"), "feature").limit(features).collect()]
     names = list(dict.fromkeys([*names, *(f"={t}" for t in _NEXT)]))
     model = ToxicityModel(names, np.zeros(len(names) + 1))
 
