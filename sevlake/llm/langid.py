@@ -62,6 +62,17 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.ids = {p: i for i, p in enumerate(pieces) if p}
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        # the prefixes as a table: state x letter -> state; state 0 is none, state 1 the empty prefix
+        letters = sorted({c for p in self.ids for c in p})
+        self.code = np.zeros(0x110000, dtype=np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        state = {"": 1, **{p: i for i, p in enumerate(sorted(self.prefixes), 2)}}
+        self.step = np.zeros((len(state) + 1, len(letters) + 1), dtype=np.int32)
+        self.piece = np.full(len(state) + 1, -1, dtype=np.int32)
+        for p, i in state.items():
+            if p:
+                self.step[state[p[:-1]], self.code[ord(p[-1])]] = i
+                self.piece[i] = self.ids.get(p, -1)
 
     def edges(self, word: str) -> Iterator[tuple[int, int, int]]:
         """(start, end, piece) in the marked word."""
@@ -78,9 +89,25 @@ class Lattice:
                     yield i, j, piece
 
     def arrays(self, words: list[str]) -> np.ndarray:
-        """Columns: word, start, end, piece."""
-        flat = [(n, *e) for n, w in enumerate(words) for e in self.edges(w)]
-        return np.array(flat, dtype=np.int64).reshape(-1, 4)
+        """The edges of many words at once; columns: word, start, end, piece."""
+        line = np.frombuffer("\n".join(START + w for w in words).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", dtype="<u4")
+        breaks = np.flatnonzero(line == 10)
+        at = np.flatnonzero(line != 10)
+        word = np.searchsorted(breaks, at)
+        first = np.append(0, breaks[:-1] + 1)[word]
+        codes = self.code[line]
+        parts, i, w, state, n = [], at, word, np.ones(len(at), dtype=np.int32), 0
+        while len(i):
+            state, n = self.step[state, codes[i + n]], n + 1
+            piece = self.piece[state]
+            if n == 1 and (lone := piece < 0).any():
+                parts.append((w[lone], (i - first)[lone], np.zeros(lone.sum(), dtype=np.int32), 1))
+            hit = piece >= 0
+            parts.append((w[hit], (i - first)[hit], piece[hit], n))
+            alive = state > 0
+            i, w, first, state = i[alive], w[alive], first[alive], state[alive]
+        rows = [np.column_stack([a, s, s + k, p]) for a, s, p, k in parts]
+        return np.concatenate([np.empty((0, 4), dtype=np.int64), *rows])
 
     def forward(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """Log sums over all segmentations: words x languages."""
@@ -172,10 +199,11 @@ class LanguageModel:
         if not m:
             m.update(lattice=Lattice(self.pieces), ids={}, logs=np.empty((0, len(self.langs))))
         counted = [Counter(ws) if self.langs and has_letter(ws := words_of(t)) else None for t in texts]
-        new = set().union(*(c.keys() for c in counted if c)) - m["ids"].keys()
+        ids = m["ids"]
+        new = {w for c in counted if c for w in c if w not in ids}
         if len(m["ids"]) + len(new) > _CACHE:
             m["ids"], m["logs"] = {}, np.empty((0, len(self.langs)))
-            new = set().union(*(c.keys() for c in counted if c))
+            new = {w for c in counted if c for w in c}
         if new:
             fresh = sorted(new)
             m["ids"].update(zip(fresh, range(len(m["ids"]), len(m["ids"]) + len(fresh)), strict=True))

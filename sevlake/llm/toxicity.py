@@ -81,7 +81,7 @@ class ToxicityModel:
         if len(m["cache"]) > _CACHE:
             m["cache"] = {}
         cache, index = m["cache"], m["index"]
-        for w in words - cache.keys():
+        for w in [w for w in words if w not in cache]:
             cache[w] = tuple(index[p] for p in pieces_of(w) if p in index)
         found = Counter(i for w in words for i in cache[w])
         return [i for i, n in found.items() for _ in range(min(n, REPEATS))]
