@@ -27,13 +27,14 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The document with the least id of each near-duplicate group.  Documents without id can't be told
     apart and stay; of rows that repeat an id and a text one stays."""
     groups = materialise(simhash.near_duplicates(docs), "pipeline-simhash")
-    heads = groups.where("doc_id is null or doc_id = component_id")
-    kept = docs.join(materialise(heads.where("doc_id is not null").select("doc_id").distinct(), "pipeline-heads"), "doc_id", "left_semi")
-    # one row for each id is the rule; only where ids repeat has it to be made so
-    repeated = heads.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("did"), F.col("text_hash").alias("dth")).distinct()
+    # a shuffle join at every size: the list grows with the documents
+    kept = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col("did")) & (F.xxhash64("text") == F.col("dth")), "left_anti")
+    # one row for each id and text is the rule; only where rows are repeated has it to be made so
+    repeated = groups.where("doc_id = component_id").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

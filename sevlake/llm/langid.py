@@ -35,7 +35,7 @@ ROUNDS = 2
 SMOOTHING = 0.05
 _RUNS = re.compile(r"[^\W\d_]+")
 _LONG = 40  # longer words are scored with rescaling
-_CACHE = 200_000
+_CACHE, _CHUNK, _ROWS = 100_000, 5_000, 250  # words kept, words scored at once, texts in a batch
 
 
 def words_of(text: str | None) -> list[str]:
@@ -116,8 +116,8 @@ class Lattice:
         for i, w in enumerate(words):
             if len(w) > _LONG:
                 out[i] = self.forward_long(w, probs)
-        for k in range(0, len(short), 20_000):
-            part = short[k : k + 20_000]
+        for k in range(0, len(short), _CHUNK):
+            part = short[k : k + _CHUNK]
             chosen = [words[i] for i in part]
             alpha = self._paths(self.arrays(chosen), chosen, probs, back=False)
             out[part] = np.log(alpha[[len(w) + 1 for w in chosen], np.arange(len(chosen))])
@@ -162,8 +162,8 @@ class Lattice:
         vectorised length don't teach."""
         out = np.zeros_like(probs)
         keep = [i for i, w in enumerate(words) if len(w) <= _LONG]
-        for k in range(0, len(keep), 20_000):
-            part = keep[k : k + 20_000]
+        for k in range(0, len(keep), _CHUNK):
+            part = keep[k : k + _CHUNK]
             chosen = [words[i] for i in part]
             e = self.arrays(chosen)
             alpha, beta = self._paths(e, chosen, probs, False), self._paths(e, chosen, probs, True)
@@ -244,7 +244,7 @@ def fit(
     """Learn from the rows with a language; over ``fit_docs`` of them, a part of
     about that many, chosen by a hash of the id, teaches.  Rows without text or
     language teach nothing; no labelled row: a model without languages."""
-    small_batches(labelled.sparkSession)
+    small_batches(labelled.sparkSession, _ROWS)
     pieces = load_pieces(pieces_path)
     chosen = part_of(labelled.where(F.col(lang_col).isNotNull()), id_col, fit_docs).select(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
@@ -285,7 +285,7 @@ def fit(
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its posterior probability; columns
     of these names are replaced.  Null texts and texts without a letter: ``und``, 0."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, _ROWS)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages, whatever the input
     keep = [c for c in docs.columns if c not in (lang_name, score_name)]
     at = keep.index(text_col)

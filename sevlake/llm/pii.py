@@ -33,8 +33,8 @@ BROADCAST_EXCEPTIONS = 100_000
 
 #: Titles before names by gender, common given names by gender and script.
 TITLES = {
-    "m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "κύριος"],
-    "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "госпожа", "κυρία"],
+    "m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "Господин", "κύριος", "Κύριος"],
+    "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "госпожа", "Госпожа", "κυρία", "Κυρία"],
     "u": ["Dr", "Prof"],
 }
 GIVEN = {

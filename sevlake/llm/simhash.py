@@ -53,18 +53,18 @@ def fingerprint(raw: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id, fp)``: one row per row of ``docs``, the fingerprint as a signed
-    long.  Null and empty texts have 0."""
+    """``(id, fp, th)``: one row per row of ``docs``, the fingerprint as a signed
+    long and a hash of the text.  Null and empty texts have fingerprint 0."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x, shingle) for x in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["id", "fp", "th"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    return cols.mapInArrow(run, f"id {kind}, fp bigint")
+    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"), F.xxhash64(text_col).alias("th"))
+    return cols.mapInArrow(run, f"id {kind}, fp bigint, th bigint")
 
 
 def _byte_sets(distance: int) -> list[tuple[int, ...]]:
@@ -190,7 +190,7 @@ def links(fps: DataFrame, distance: int = 3, list_rows: int = 1024) -> DataFrame
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3
 ) -> DataFrame:
-    """``(id_col, fingerprint, component_id)``: a row per row of ``docs``.
+    """``(id_col, fingerprint, component_id, text_hash)``: a row per row of ``docs``.
 
     ``component_id`` is the least id that can be reached over links of at most
     ``distance`` bits, the row's own included.  Null and empty texts share the
@@ -209,5 +209,5 @@ def near_duplicates(
     # written, so that a fingerprint with very many rows can be split in the join
     named = materialise(placed.join(heads, "component").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("th").alias("text_hash")
     )
