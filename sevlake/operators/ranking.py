@@ -45,9 +45,12 @@ def global_position(df: DataFrame, order_cols: list, name: str = "gpos") -> Data
     return out.withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW))).drop("_pid", "_off", "_mid")
 
 
-def rank_within(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "rank") -> DataFrame:
+def rank_within(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "rank",
+                few_groups: bool = False) -> DataFrame:
     """0-based rank of each row inside its group by ``order_cols``; also adds
-    ``{name}_group_size``.  Null group keys form their own group."""
+    ``{name}_group_size``.  Null group keys form their own group.  With
+    ``few_groups`` the caller vouches for a fixed number of groups (such as
+    labels), whose starts are then broadcast instead of shuffling the rows."""
     if not group_cols:
         pos = global_position(df, order_cols, name)
         return pos.withColumn(f"{name}_group_size", df.select(F.count(F.lit(1))).scalar())
@@ -56,7 +59,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list, name: st
         F.min("_gpos").alias("_start"), F.count(F.lit(1)).alias(f"{name}_group_size")
     )
     cond = [pos[c].eqNullSafe(starts[c]) for c in group_cols]
-    j = pos.join(starts, cond, "inner")
+    j = pos.join(F.broadcast(starts) if few_groups else starts, cond, "inner")
     for c in group_cols:
         j = j.drop(starts[c])
     return j.withColumn(name, F.col("_gpos") - F.col("_start")).drop("_gpos", "_start")

@@ -192,14 +192,21 @@ def batch_mean_score(scored: DataFrame, score_col: str) -> DataFrame:
 
 
 def parity_payload(df: DataFrame) -> DataFrame:
-    """J8 input: raw payload fields first, row fields as defaults for type,
-    source and description; count, tags and confidence from the row."""
+    """J8 input: raw payload fields first (a key that is there with a null
+    keeps its null), row fields as defaults for type, source and description;
+    count, tags and confidence from the row."""
     raw = F.col("raw")
+    keys = F.json_object_keys(raw)
+
+    def field(name: str) -> Column:
+        return F.when(F.array_contains(keys, name), F.get_json_object(raw, f"$.{name}")).otherwise(F.col(name)).alias(name)
+
     return df.select(
         "row_id",
-        F.coalesce(F.get_json_object(raw, "$.type"), F.col("type")).alias("type"),
-        F.coalesce(F.get_json_object(raw, "$.source"), F.col("source")).alias("source"),
-        F.coalesce(F.get_json_object(raw, "$.description"), F.col("description")).alias("description"),
+        "value",
+        field("type"),
+        field("source"),
+        field("description"),
         "observedCount",
         parse_tags(F.col("tags")).alias("tags_list"),
         "confidence",
@@ -210,7 +217,7 @@ def parity_payload(df: DataFrame) -> DataFrame:
 def parity_rows(df: DataFrame, rules: RuleSet) -> DataFrame:
     scored = classify(parity_payload(df), rules, prefix="replay_")
     return scored.select(
-        "row_id", "type", "source", "severity_label", "confidence",
+        "row_id", "value", "type", "source", "severity_label", "confidence",
         F.col("replay_severity_level").alias("replay_severity"),
         F.col("replay_severity_score").alias("replay_score"),
         F.col("replay_confidence"),
@@ -218,12 +225,13 @@ def parity_rows(df: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def parity_report(df: DataFrame, rules: RuleSet) -> DataFrame:
-    """J8 + E27: rows checked, severity match rate, confidence match rate."""
+    """J8 + E27: rows checked, severity match rate, confidence match rate
+    (confidences are compared as text, so ``50`` and ``50.0`` differ)."""
     rows = parity_rows(df, rules)
     return rows.agg(
         F.count(F.lit(1)).alias("rows_checked"),
         F.avg((F.col("replay_severity") == F.col("severity_label")).cast("double")).alias("severity_match_rate"),
-        F.avg(F.col("replay_confidence").eqNullSafe(F.col("confidence")).cast("double")).alias("confidence_match_rate"),
+        F.avg(F.col("replay_confidence").cast("string").eqNullSafe(F.col("confidence").cast("string")).cast("double")).alias("confidence_match_rate"),
     )
 
 

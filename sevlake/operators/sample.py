@@ -9,9 +9,11 @@ a hot key is spread over many tasks.
 Randomness is a seeded digest of the row id, ``md5('<seed>:<row_id>')``;
 it defines the order and is reproducible in DuckDB.
 
-Key diversity (H1): inside a cell, rows are taken round-robin over indicator
-keys -- every key's first row (in hash order), then every key's second row,
-and so on.
+Key diversity (H1): inside a cell, one row per indicator key comes first (the
+first in hash order), then all other rows in hash order, whatever their key.
+
+Ranks are taken on narrow rows (row id, label, cell, key, hash); the rows
+chosen are fetched by id at the end.
 """
 
 from __future__ import annotations
@@ -28,17 +30,25 @@ def row_hash(seed: Column | int, row_id: str = "row_id") -> Column:
     return F.md5(F.concat(s.cast("string"), F.lit(":"), F.col(row_id).cast("string")))
 
 
+def _head_ids(df: DataFrame, cell_cols: list[str], key: str) -> DataFrame:
+    """Row id of the first row in hash order of each key in each cell: an
+    aggregation with partial sums, so a hot key costs nothing extra."""
+    first = df.groupBy(*cell_cols, key).agg(F.min(F.struct("_h", "row_id")).alias("first"))
+    return first.select(F.col("first.row_id").alias("_head"))
+
+
 def key_heads(df: DataFrame, cell_cols: list[str], seed: int = 42, key: str = "indicator_key") -> DataFrame:
     """one row per key inside each cell (the first in hash order)."""
-    ranked = rank_within(df.withColumn("_h", row_hash(seed)), [*cell_cols, key], ["_h", "row_id"], "_kr")
-    return ranked.where(F.col("_kr") == 0).drop("_h", "_kr", "_kr_group_size")
+    narrow = df.select("row_id", *cell_cols, key).withColumn("_h", row_hash(seed))
+    return df.join(_head_ids(narrow, cell_cols, key), F.col("row_id") == F.col("_head"), "left_semi")
 
 
 def diverse_rank(df: DataFrame, cell_cols: list[str], key: str = "indicator_key") -> DataFrame:
-    """H1 order: ``cell_rank`` = position inside the cell when rows are taken
-    round-robin over keys (key-rank, then hash); adds ``cell_size``."""
-    kr = rank_within(df, [*cell_cols, key], ["_h", "row_id"], "_kr").drop("_kr_group_size")
-    cr = rank_within(kr, cell_cols, ["_kr", "_h", "row_id"], "cell_rank")
+    """H1 order: ``cell_rank`` = position inside the cell (key heads first, then
+    the rest, each in hash order); adds ``cell_size``.  ``df`` needs ``_h``."""
+    flagged = df.join(_head_ids(df, cell_cols, key), F.col("row_id") == F.col("_head"), "left")
+    flagged = flagged.withColumn("_extra", F.col("_head").isNull().cast("int")).drop("_head")
+    cr = rank_within(flagged, cell_cols, ["_extra", "_h", "row_id"], "cell_rank").drop("_extra")
     return cr.withColumnRenamed("cell_rank_group_size", "cell_size")
 
 
@@ -79,8 +89,8 @@ def _finish(ranked: DataFrame, group_cols: list[str], limit_col: str) -> DataFra
     """Keep rows under their cell quota first, then fill (or cut) to the
     group's exact limit by hash order."""
     tiered = ranked.withColumn("_tier", (F.col("cell_rank") >= F.col("quota")).cast("int"))
-    final = rank_within(tiered, group_cols, ["_tier", "_h", "row_id"], "_fr")
-    return final.where(F.col("_fr") < F.col(limit_col))
+    final = rank_within(tiered, group_cols, ["_tier", "_h", "row_id"], "_fr", few_groups=True)  # labels, or none
+    return final.where(F.col("_fr") < F.col(limit_col)).select("row_id")
 
 
 def balanced_sample(df: DataFrame, limit: int, seed: int = 42, cell_cols=("source", "type"),
@@ -103,7 +113,8 @@ def balanced_sample(df: DataFrame, limit: int, seed: int = 42, cell_cols=("sourc
         "_limit",
         (F.lit(limit) / F.col("_L")).cast("long") + F.when(F.col("_idx") < F.lit(limit) % F.col("_L"), 1).otherwise(0),
     ).select(label_col, "_n_label", "_idx", "_limit")
-    rows = df.join(F.broadcast(labels), label_col)  # three rows: a fixed bound
+    narrow = df.select("row_id", label_col, *cell_cols, "indicator_key")
+    rows = narrow.join(F.broadcast(labels), label_col)  # three rows: a fixed bound
     rows = rows.withColumn("_h", row_hash(F.col("_idx") + seed))
     ranked = diverse_rank(rows, [label_col, *cell_cols])
     cells = ranked.select(label_col, *cell_cols, "cell_size", "_limit").distinct()
@@ -112,36 +123,34 @@ def balanced_sample(df: DataFrame, limit: int, seed: int = 42, cell_cols=("sourc
     if limit >= 0:
         total = df.select(F.count(F.lit(1))).scalar()
         ranked = ranked.withColumn("_limit", F.when(F.lit(limit) >= total, total).otherwise(F.col("_limit")))
-    out = _finish(ranked, [label_col], "_limit")
-    return out.drop("_n_label", "_idx", "_limit", "_h", "cell_rank", "cell_size", "quota", "_tier", "_fr", "_fr_group_size")
+    return df.join(_finish(ranked, [label_col], "_limit"), "row_id", "left_semi")
 
 
 def strata_sample(df: DataFrame, limit: int, seed: int = 42, cell_cols=("source", "type"),
                   coverage_floor: int = 25, small_cell_threshold: int = 25) -> DataFrame:
     """H2 on a whole table (one budget)."""
     cell_cols = list(cell_cols)
-    rows = df.withColumn("_g", F.lit(0)).withColumn("_h", row_hash(seed)).withColumn("_limit", F.lit(limit).cast("long"))
+    rows = df.select("row_id", *cell_cols, "indicator_key").withColumn("_h", row_hash(seed))
     total = df.select(F.count(F.lit(1))).scalar()
-    rows = rows.withColumn("_limit", F.when(F.col("_limit") >= total, total).otherwise(F.col("_limit")))
-    ranked = diverse_rank(rows, ["_g", *cell_cols])
-    cells = ranked.select("_g", *cell_cols, "cell_size", "_limit").distinct()
-    cells = allocate(cells, ["_g"], "_limit", coverage_floor, small_cell_threshold)
-    ranked = ranked.join(cells.select("_g", *cell_cols, "quota"), ["_g", *cell_cols])
-    out = _finish(ranked, ["_g"], "_limit")
-    return out.drop("_g", "_limit", "_h", "cell_rank", "cell_size", "quota", "_tier", "_fr", "_fr_group_size")
+    rows = rows.withColumn("_limit", F.least(F.lit(limit).cast("long"), total))
+    ranked = diverse_rank(rows, cell_cols)
+    cells = ranked.select(*cell_cols, "cell_size", "_limit").distinct()
+    cells = allocate(cells, [], "_limit", coverage_floor, small_cell_threshold)
+    ranked = ranked.join(cells.select(*cell_cols, "quota"), cell_cols)
+    return df.join(_finish(ranked, [], "_limit"), "row_id", "left_semi")
 
 
 def proportional_sample(df: DataFrame, max_rows: int, seed: int = 42, label_col: str = "severity_label") -> DataFrame:
     """H4: per label ``max(1, round-half-even(max_rows * share))`` rows by
     hash order, then trimmed or topped up to exactly ``max_rows`` by hash."""
     total = df.select(F.count(F.lit(1))).scalar()
-    rows = df.withColumn("_h", row_hash(seed))
-    ranked = rank_within(rows, [label_col], ["_h", "row_id"], "_r")
+    rows = df.select("row_id", label_col).withColumn("_h", row_hash(seed))
+    ranked = rank_within(rows, [label_col], ["_h", "row_id"], "_r", few_groups=True)
     want = F.greatest(F.lit(1), F.bround(F.lit(max_rows) * F.col("_r_group_size") / total, 0))
-    tiered = ranked.withColumn("_tier", (F.col("_r") >= want).cast("int")).withColumn("_g", F.lit(0))
-    final = rank_within(tiered, ["_g"], ["_tier", "_h", "row_id"], "_fr")
+    tiered = ranked.withColumn("_tier", (F.col("_r") >= want).cast("int"))
+    final = rank_within(tiered, [], ["_tier", "_h", "row_id"], "_fr")
     keep = F.when(F.lit(max_rows) >= total, F.lit(True)).otherwise(F.col("_fr") < max_rows)
-    return final.where(keep).drop("_h", "_r", "_r_group_size", "_tier", "_g", "_fr", "_fr_group_size")
+    return df.join(final.where(keep).select("row_id"), "row_id", "left_semi")
 
 
 def eval_subsample_size(max_rows: int, n: int) -> int:

@@ -53,7 +53,7 @@ ind_j AS (
          {_SOURCE_CASE.replace("event_type", "e.event_type")} AS src
   FROM ind_ev e
   LEFT JOIN (SELECT page_id, url FROM pages) p ON p.page_id = e.row_id % (SELECT count(*) FROM pages)
-  LEFT JOIN (SELECT doc_id, substr(text, 1, 40) AS doc_head FROM documents) d
+  LEFT JOIN (SELECT doc_id, text AS doc_head FROM documents) d
          ON d.doc_id = e.row_id % (SELECT count(*) FROM documents)
 ),
 ind_base AS (
@@ -437,7 +437,7 @@ def sample_ctes(src: str, limit: int, seed: int, by_label: bool, prefix: str = "
 ),"""
     cell = f"{g}, source, type"
     return lab + f"""
-{p}_kr AS (SELECT *, row_number() OVER (PARTITION BY {cell}, indicator_key ORDER BY h, row_id) - 1 AS krank FROM {p}_rows),
+{p}_kr AS (SELECT *, CAST(row_number() OVER (PARTITION BY {cell}, indicator_key ORDER BY h, row_id) > 1 AS INTEGER) AS krank FROM {p}_rows),
 {p}_cr AS (
   SELECT *, row_number() OVER (PARTITION BY {cell} ORDER BY krank, h, row_id) - 1 AS cell_rank,
          count(*) OVER (PARTITION BY {cell}) AS cell_size

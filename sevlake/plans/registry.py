@@ -121,9 +121,9 @@ def j7_js_rules(spark, sf):
 
 _PARITY_SRC = """
 parity_src AS (
-  SELECT row_id, coalesce(json_extract_string(raw, '$.type'), type) AS type,
-         coalesce(json_extract_string(raw, '$.source'), source) AS source,
-         coalesce(json_extract_string(raw, '$.description'), description) AS description,
+  SELECT row_id, value, CASE WHEN list_contains(json_keys(raw), 'type') THEN json_extract_string(raw, '$.type') ELSE type END AS type,
+         CASE WHEN list_contains(json_keys(raw), 'source') THEN json_extract_string(raw, '$.source') ELSE source END AS source,
+         CASE WHEN list_contains(json_keys(raw), 'description') THEN json_extract_string(raw, '$.description') ELSE description END AS description,
          observedCount, tags, confidence, lower(severity) AS severity_label
   FROM ind
 )"""
@@ -133,7 +133,7 @@ _PARITY = O.with_ctes(O.IND_CTES, _PARITY_SRC, O.classified_cte("parity_src", JS
 @register("j8_rule_parity", f"""{_PARITY}
 SELECT count(*) AS rows_checked,
   round(avg(CAST({O.level_sql('severity_score')} = severity_label AS DOUBLE)), 9) AS severity_match_rate,
-  round(avg(CAST(confidence_out IS NOT DISTINCT FROM confidence AS DOUBLE)), 9) AS confidence_match_rate
+  round(avg(CAST(CAST(confidence_out AS VARCHAR) IS NOT DISTINCT FROM CAST(confidence AS VARCHAR) AS DOUBLE)), 9) AS confidence_match_rate
 FROM pscored""")
 def j8_rule_parity(spark, sf):
     rep = R.parity_report(D.indicator_view(spark, sf), JS_RULES)
@@ -145,7 +145,7 @@ def j8_rule_parity(spark, sf):
 
 
 @register("g4_parity_mismatches", f"""{_PARITY}
-SELECT row_id, type, source, severity_label, confidence, {O.level_sql('severity_score')} AS replay_severity,
+SELECT row_id, value, type, source, severity_label, confidence, {O.level_sql('severity_score')} AS replay_severity,
   severity_score AS replay_score, confidence_out AS replay_confidence
 FROM pscored WHERE {O.level_sql('severity_score')} <> severity_label ORDER BY row_id LIMIT 50""")
 def g4_parity_mismatches(spark, sf):
@@ -231,7 +231,7 @@ def b4_indicator_key(spark, sf):
     return with_indicator_key(v, canonical_out="canonical_value").select("row_id", "canonical_value", "indicator_key")
 
 
-@register("c1_unknown_labels", f"{_NORM}\nSELECT row_id, severity FROM ind WHERE lower(severity) NOT IN ('medium', 'high', 'critical')")
+@register("c1_unknown_labels", f"{_NORM}\nSELECT row_id, severity FROM ind WHERE severity IS NULL OR lower(severity) NOT IN ('medium', 'high', 'critical')")
 def c1_unknown_labels(spark, sf):
     from sevlake.operators.normalize import unknown_labels
     return unknown_labels(D.indicator_view(spark, sf)).select("row_id", "severity")
@@ -288,11 +288,13 @@ def _spark_cols(cols):
     return [F.round(c, 9).alias(c) if c in _ROUND9 else F.col(c) for c in cols]
 
 
-def _feature_query(name, cols, ids):
+def _feature_query(name, cols, ids, lists=False):
     sql = f"{O.FEAT_SQL}\nSELECT row_id, {_sql_cols(cols)} FROM feat"
 
     def q(spark, sf):
-        return DS.enriched_view(spark, sf).select("row_id", *_spark_cols(cols))
+        # features of the row itself need no list join
+        view = DS.enriched_view(spark, sf) if lists else EN.row_features(DS.normalized_view(spark, sf))
+        return view.select("row_id", *_spark_cols(cols))
 
     q.__name__ = name
     q.__doc__ = f"Enrichment features {ids}."
@@ -307,10 +309,10 @@ _feature_query("b11_observed_count", ["observedCount_num", "log_observedCount"],
 _feature_query("b12_type_flags", ["is_hash_like", "is_url", "is_domain", "is_ip"], "B12")
 _feature_query("b15_domain_url_features", ["domain_depth", "tld", "url_scheme", "url_host", "url_path_depth"], "B13-B15")
 _feature_query("b16_normalized_domain", ["normalized_domain"], "B16")
-_feature_query("d1_ip_exact_flag", ["is_in_ip_txt"], "D1")
-_feature_query("d2_ip_cidr_containment", ["is_in_spamhaus_cidr", "cidr_prefix_len", "cidr_base_match"], "D2")
-_feature_query("d3_phishing_features", _PHISH_COLS, "D3")
-_feature_query("b20_augment_features", _ROWFEAT_COLS + _IP_COLS + _PHISH_COLS, "B20")
+_feature_query("d1_ip_exact_flag", ["is_in_ip_txt"], "D1", lists=True)
+_feature_query("d2_ip_cidr_containment", ["is_in_spamhaus_cidr", "cidr_prefix_len", "cidr_base_match"], "D2", lists=True)
+_feature_query("d3_phishing_features", _PHISH_COLS, "D3", lists=True)
+_feature_query("b20_augment_features", _ROWFEAT_COLS + _IP_COLS + _PHISH_COLS, "B20", lists=True)
 
 
 # ---------------------------------------------------------------------------
@@ -552,8 +554,8 @@ def f7_key_heads(spark, sf):
 @register("h1_key_diverse_rank", f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE, O.sample_ctes('norm', H2_LIMIT, 42, False))}
 SELECT row_id, source, type, cell_rank, cell_size FROM s_cr""")
 def h1_key_diverse_rank(spark, sf):
-    rows = DS.normalized_view(spark, sf).withColumn("_g", F.lit(0)).withColumn("_h", SA.row_hash(42))
-    return SA.diverse_rank(rows, ["_g", "source", "type"]).select("row_id", "source", "type", "cell_rank", "cell_size")
+    rows = DS.normalized_view(spark, sf).select("row_id", "source", "type", "indicator_key").withColumn("_h", SA.row_hash(42))
+    return SA.diverse_rank(rows, ["source", "type"]).select("row_id", "source", "type", "cell_rank", "cell_size")
 
 
 _H4_SQL = f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE)},
@@ -990,7 +992,7 @@ def k7_logreg_predictions(spark, sf):
     logistic regression (C=8, effective weights) fitted on train, test
     predictions."""
     s = DS.materialize(_feature_split(spark, sf))
-    model = MO.train_logreg(s.where(F.col("split") == "train"), 8.0, "effective", max_iter=50)
+    model = MO.train_logreg(s.where(F.col("split") == "train"), 8.0, "effective", max_iter=1500)
     return MO.predictions(model, s.where(F.col("split") == "test"))
 
 
@@ -999,7 +1001,7 @@ def k8_c_sweep(spark, sf):
     """K8 + G6: C sweep on validation; rows ``(c, macro_f1, balanced_accuracy, ece, selected)``."""
     s = DS.materialize(_feature_split(spark, sf))
     best, sweep = MO.tune_c(s.where(F.col("split") == "train"), s.where(F.col("split") == "validation"),
-                            grid=(0.5, 2.0, 8.0), max_iter=30)
+                            max_iter=1500)
     rows = [(r["c"], r["macro_f1"], r["balanced_accuracy"], r["ece"], r["c"] == best) for r in sweep]
     return spark.createDataFrame(rows, "c double, macro_f1 double, balanced_accuracy double, ece double, selected boolean")
 
@@ -1014,7 +1016,8 @@ _TEXT_CTE = O.with_ctes(O.IND_CTES, O.NORM_CTE, O.ROWFEAT_CTE)
 
 def _tfidf_sql(terms_sql: str, max_features: int, min_df: int) -> str:
     return f"""{_TEXT_CTE},
-tt AS (SELECT row_id AS doc, unnest({terms_sql}) AS term FROM rowfeat),
+ww AS (SELECT *, regexp_extract_all(lower(text_input), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS words FROM rowfeat),
+tt AS (SELECT row_id AS doc, unnest({terms_sql}) AS term FROM ww),
 tf AS (SELECT doc, term, count(*) AS tf FROM tt GROUP BY 1, 2),
 st AS (SELECT term, count(*) AS df, sum(tf) AS freq FROM tf GROUP BY 1 HAVING count(*) >= {min_df}),
 vo AS (SELECT *, ln((1.0 + (SELECT count(*) FROM rowfeat)) / (1.0 + df)) + 1.0 AS idf FROM st
@@ -1023,26 +1026,24 @@ w AS (SELECT tf.doc, tf.term, (1.0 + ln(tf.tf)) * vo.idf AS w FROM tf JOIN vo US
 SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 9) AS weight FROM w"""
 
 
-_WORD_TERMS_SQL = (
-    "list_concat(regexp_extract_all(lower(text_input), '[\\p{L}\\p{N}_]{2,}'), "
-    "list_transform(range(1, len(regexp_extract_all(lower(text_input), '[\\p{L}\\p{N}_]{2,}'))), "
-    "lambda i: regexp_extract_all(lower(text_input), '[\\p{L}\\p{N}_]{2,}')[i] || ' ' || "
-    "regexp_extract_all(lower(text_input), '[\\p{L}\\p{N}_]{2,}')[i + 1]))"
-)
+_WORD_TERMS_SQL = "list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"
 _CHAR_T = "regexp_replace(lower(coalesce(value, '')), '\\s\\s+', ' ', 'g')"
 _CHAR_TERMS_SQL = "list_concat(" + ", ".join(
     f"list_transform(range(1, length({_CHAR_T}) - {n} + 2), lambda i: substring({_CHAR_T}, i, {n}))" for n in range(3, 7)
 ) + ")"
 
 
-@register("k1_word_tfidf", _tfidf_sql(_WORD_TERMS_SQL, 50000, 1))
+@register("k1_word_tfidf", f"""SELECT doc, count(*) AS n_terms, round(sum(weight), 6) AS weight_sum, round(max(weight), 6) AS weight_max
+FROM ({_tfidf_sql(_WORD_TERMS_SQL, 50000, 1)}) GROUP BY doc""")
 def k1_word_tfidf(spark, sf):
-    """Word 1-2 gram TF-IDF of text_input, top 50,000 terms."""
+    """Word 1-2 gram TF-IDF of text_input, top 50,000 terms; a row of totals
+    for each document, as whole texts have very many terms."""
     from sevlake.operators.enrich import text_input
     n = DS.normalized_view(spark, sf)
-    n = n.withColumn("text_input", text_input(n))
+    n = n.select("row_id", text_input(n).alias("text_input"))
     w, _ = TF.tfidf(n, "row_id", TF.word_terms(F.col("text_input")), max_features=50000)
-    return w.select("doc", "term", F.round("weight", 9).alias("weight"))
+    return w.groupBy("doc").agg(F.count("term").alias("n_terms"), F.round(F.sum(F.round("weight", 9)), 6).alias("weight_sum"),
+                                F.round(F.max(F.round("weight", 9)), 6).alias("weight_max"))
 
 
 @register("k2_char_tfidf", _tfidf_sql(_CHAR_TERMS_SQL, 40000, 2))
@@ -1063,7 +1064,7 @@ EXPERIMENTS = [
     {"name": "type_majority", "cols": ["type"]},
     {"name": "source_type_majority", "cols": ["source", "type"]},
 ]
-SEEDS = [42, 1337]
+SEEDS = [42, 1337, 2027]
 
 
 def _runs(spark, sf):
@@ -1128,7 +1129,7 @@ def a3_jsonl_roundtrip(spark, sf):
     """Indicator view written as JSON lines, scanned back with A3 + A4."""
     path = FI.scratch_path(spark, "indicators-json") + "/indicators.json"
     FI.write_json(D.indicator_view(spark, sf), path)
-    return FI.load_indicators(spark, path).select(*_IND_COLS)
+    return FI.load_indicators(spark, path, extra="row_id long").select(*_IND_COLS)
 
 
 @register("a9_split_scan", f"""{_SPLIT_BASE}

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
 
-def build_session(cpus: int | str = "*", app: str = "sevlake", shuffle_partitions: int = 8) -> SparkSession:
-    """Local session for tests and the bench.  On a cluster, the cluster's own
-    session is used instead and only :func:`prepare` is applied to it."""
+def build_session(cpus: int | str = "*", app: str = "sevlake", shuffle_partitions: int = 8,
+                  checkpoint: str | None = None) -> SparkSession:
+    """Local session for tests and the bench; ``checkpoint`` names its folder
+    where the configuration has none.  On a cluster, the cluster's own session
+    is used instead and only :func:`prepare` is applied to it."""
+    builder = SparkSession.builder
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -41,13 +45,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster in
-    ``spark.checkpoint.dir``.  Only when it is unset (local tests) a scratch
-    folder is created and registered."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    ``spark.checkpoint.dir`` (or set on the context).  Without one there is no
+    folder that every executor sees, so this raises; local sessions get one
+    from :func:`build_session`."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="sevlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        raise RuntimeError("No shared folder: set spark.checkpoint.dir to one that the driver and all executors can reach.")
     spark.sparkContext.setCheckpointDir(current)
     return current

@@ -47,9 +47,7 @@ def indicator_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     events = read_table(spark, sf_dir, "events")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    docs = read_table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 40).alias("doc_head")
-    )
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_head"))
     n_pages = pages.select(F.count(F.lit(1))).scalar()
     n_docs = docs.select(F.count(F.lit(1))).scalar()
 

@@ -6,8 +6,9 @@ list files themselves are scanned by Spark (``spark.read.text`` / ``csv``).
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +21,23 @@ EXACT_SCHEMA = "ip string"
 CIDR_SCHEMA = "network string, network_int bigint, prefix_len int, line_no bigint"
 
 
+def _read_or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """The table, or None if Spark says that the path isn't there.  Spark's
+    readers decide, so any file system works; other faults are raised."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_ip_lines(spark: SparkSession, path: str | None) -> DataFrame:
-    """Text lines of an IP list with a line order key; missing path -> empty."""
-    if not path or not os.path.exists(path):
+    """Text lines of an IP list with a line order key; no path or a path that
+    isn't there -> empty."""
+    lines = _read_or_none(lambda: spark.read.text(path)) if path else None
+    if lines is None:
         return spark.createDataFrame([], "line_no long, line string")
-    lines = spark.read.text(path)
     return lines.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
@@ -58,14 +71,10 @@ def parse_ip_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_phishing(spark: SparkSession, path: str | None) -> DataFrame:
-    """A7 scan; missing path -> empty table with the schema."""
-    if not path or not os.path.exists(path):
-        return normalize_phishing(spark.createDataFrame([], PHISHING_SCHEMA))
-    raw = (
-        spark.read.schema(PHISHING_SCHEMA).option("header", True).option("multiLine", True)
-        .option("escape", '"').csv(path)
-    )
-    return normalize_phishing(raw)
+    """A7 scan; no path or a path that isn't there -> empty table with the schema."""
+    reader = spark.read.schema(PHISHING_SCHEMA).option("header", True).option("multiLine", True).option("escape", '"')
+    raw = _read_or_none(lambda: reader.csv(path)) if path else None
+    return normalize_phishing(spark.createDataFrame([], PHISHING_SCHEMA) if raw is None else raw)
 
 
 def normalize_phishing(df: DataFrame) -> DataFrame:
