@@ -62,17 +62,20 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.ids = {p: i for i, p in enumerate(pieces) if p}
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        # the prefixes as a table: state x letter -> state; state 0 is none, state 1 the empty prefix
+        # the prefixes as sorted steps (state, letter) -> state; state 0 is none, state 1 the empty prefix
         letters = sorted({c for p in self.ids for c in p})
         self.code = np.zeros(0x110000, dtype=np.int32)
         self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         state = {"": 1, **{p: i for i, p in enumerate(sorted(self.prefixes), 2)}}
-        self.step = np.zeros((len(state) + 1, len(letters) + 1), dtype=np.int32)
+        self.width = len(letters) + 1
         self.piece = np.full(len(state) + 1, -1, dtype=np.int32)
+        steps = {}
         for p, i in state.items():
             if p:
-                self.step[state[p[:-1]], self.code[ord(p[-1])]] = i
+                steps[state[p[:-1]] * self.width + int(self.code[ord(p[-1])])] = i
                 self.piece[i] = self.ids.get(p, -1)
+        self.keys = np.array(sorted(steps), dtype=np.int64)
+        self.to = np.array([steps[k] for k in self.keys.tolist()], dtype=np.int32)
 
     def edges(self, word: str) -> Iterator[tuple[int, int, int]]:
         """(start, end, piece) in the marked word."""
@@ -98,7 +101,9 @@ class Lattice:
         codes = self.code[line]
         parts, i, w, state, n = [], at, word, np.ones(len(at), dtype=np.int32), 0
         while len(i):
-            state, n = self.step[state, codes[i + n]], n + 1
+            key = state.astype(np.int64) * self.width + codes[i + n]
+            near = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            state, n = np.where(self.keys[near] == key, self.to[near], 0), n + 1
             piece = self.piece[state]
             if n == 1 and (lone := piece < 0).any():
                 parts.append((w[lone], (i - first)[lone], np.zeros(lone.sum(), dtype=np.int32), 1))
