@@ -235,3 +235,17 @@ def metrics_record(df: DataFrame, num_classes: int = NUM_CLASSES) -> DataFrame:
     e = ece(df)
     b = brier(df, num_classes)
     return attach_scalars(attach_scalars(s, e), b)
+
+
+def full_record(df: DataFrame, num_classes: int = NUM_CLASSES) -> DataFrame:
+    """K19 with the matrix (``cm_<true>_<pred>``), the per-class report
+    (``<metric>_<class>``) and the class shares (``share_<class>``): one row."""
+    classes = range(num_classes)
+    cells = confusion(df, num_classes).agg(*[
+        F.max(F.when((F.col("y_true") == i) & (F.col("pred") == j), F.col("count"))).alias(f"cm_{i}_{j}") for i in classes for j in classes
+    ])
+    report = per_class(df, num_classes).withColumn("share", F.col("support") / F.sum("support").over(Window.partitionBy()))
+    wide = report.agg(*[
+        F.max(F.when(F.col("class_id") == i, F.col(m))).alias(f"{m}_{i}") for m in ("precision", "recall", "f1", "support", "share") for i in classes
+    ])
+    return attach_scalars(attach_scalars(metrics_record(df, num_classes), cells), wide)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
 METRICS = ["macro_f1", "weighted_f1", "balanced_accuracy", "ece", "brier"]
 
 
@@ -16,28 +18,33 @@ def enabled_experiments(experiments: list[dict], only: list[str] | None = None)
     return [e for e in out if only is None or e["name"] in only]
 
 
+RUN_SCHEMA = (
+    "experiment string, seed int, runner string, model string, `group` string, encoder string, ablation string, "
+    "status string, started_at string, completed_at string, " + ", ".join(f"{m} double" for m in [*METRICS, "critical_recall"])
+)
+
+
 def run_matrix(spark: SparkSession, experiments: list[dict], seeds: list[int], run_one) -> DataFrame:
     """Every (experiment, seed) run; ``run_one(exp, seed) -> DataFrame``
-    returns a one-row metrics table.  Runs are Spark jobs driven in sequence;
-    the result is one runs table."""
-    parts = []
+    returns a one-row metrics table.  Runs are Spark jobs driven in sequence,
+    timed while they execute; a run that raises is recorded as ``failed``.
+    The result has a row per run."""
+    rows = []
     for exp in experiments:
         for seed in seeds:
-            started = dt.datetime.now(dt.timezone.utc)
-            m = run_one(exp, seed)
+            started, status, got = dt.datetime.now(dt.timezone.utc), "completed", None
+            try:
+                got = run_one(exp, seed).first()
+            except Exception:  # the matrix goes on; the failure is the run's result
+                log.exception("run %s, seed %s", exp["name"], seed)
+                status = "failed"
             finished = dt.datetime.now(dt.timezone.utc)
-            parts.append(m.select(
-                F.lit(exp["name"]).alias("experiment"), F.lit(seed).alias("seed"),
-                F.lit(exp.get("runner", "classical")).alias("runner"), F.lit(exp.get("model", exp["name"])).alias("model"),
-                F.lit(exp.get("group")).cast("string").alias("group"),
-                F.lit("completed").alias("status"),
-                F.lit(started.isoformat()).alias("started_at"), F.lit(finished.isoformat()).alias("completed_at"),
-                *[F.col(c).cast("double").alias(c) for c in METRICS],
+            values = [float(got[m]) if got is not None and m in got and got[m] is not None else None for m in [*METRICS, "critical_recall"]]
+            rows.append((
+                exp["name"], seed, exp.get("runner", "classical"), exp.get("model", exp["name"]), exp.get("group"), exp.get("encoder"),
+                exp.get("ablation"), status, started.isoformat(), finished.isoformat(), *values,
             ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return spark.createDataFrame(rows, RUN_SCHEMA)
 
 
 def aggregate(runs: DataFrame) -> DataFrame:
@@ -46,7 +53,7 @@ def aggregate(runs: DataFrame) -> DataFrame:
     done = runs.where(F.col("status") == "completed")
     return done.groupBy("experiment").agg(
         F.count_distinct("seed").alias("num_seeds"),
-        *[F.min_by(c, "seed").alias(c) for c in ["runner", "model", "group"]],
+        *[F.min_by(c, "seed").alias(c) for c in ["runner", "model", "group", "encoder", "ablation"]],
         *[x for m in METRICS for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))],
     )
 
@@ -69,9 +76,8 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 
 def ranked_by_protocol(runs: DataFrame) -> DataFrame:
-    """Macro-F1, then balanced accuracy, then lower ECE."""
-    return runs.orderBy(F.col("macro_f1").desc_nulls_last(), F.col("balanced_accuracy").desc_nulls_last(),
-                        F.col("ece").asc_nulls_last())
+    """Macro-F1, then balanced accuracy, then recall of the critical class, then lower ECE."""
+    return runs.orderBy(*[F.col(c).desc_nulls_last() for c in ("macro_f1", "balanced_accuracy", "critical_recall")], F.col("ece").asc_nulls_last())
 
 
 def status(runs: DataFrame, planned_total: int | None = None) -> DataFrame:

@@ -803,9 +803,14 @@ def e38_prediction_monitoring(spark, sf):
 s AS ({_SUMMARY_SQL}),
 e AS (SELECT round(coalesce(sum(abs(accuracy - confidence) * (count / (SELECT sum(count) FROM rel))), 0.0), 9) AS ece FROM rel),
 b AS (SELECT round(avg({_BRIER_ROW}), 9) AS brier FROM preds)
-SELECT s.macro_f1, s.weighted_f1, s.balanced_accuracy, s.accuracy, e.ece, b.brier FROM s, e, b""")
+SELECT s.macro_f1, s.weighted_f1, s.balanced_accuracy, s.accuracy, e.ece, b.brier,
+  {", ".join(f"(SELECT max(count) FROM cm WHERE y_true = {i} AND pred = {j}) AS cm_{i}_{j}" for i in range(3) for j in range(3))},
+  {", ".join(f"(SELECT round(max({m}), 9) FROM pc WHERE class_id = {i}) AS {m}_{i}" for m in ("precision", "recall", "f1") for i in range(3))},
+  {", ".join(f"(SELECT CAST(max(support) AS BIGINT) FROM pc WHERE class_id = {i}) AS support_{i}" for i in range(3))},
+  {", ".join(f"(SELECT round(max(support) FILTER (WHERE class_id = {i}) / sum(support), 9) FROM pc) AS share_{i}" for i in range(3))}
+FROM s, e, b""")
 def k19_metrics_record(spark, sf):
-    return _r9(EV.metrics_record(_preds(spark, sf)))
+    return _r9(EV.full_record(_preds(spark, sf)))
 
 
 @register("b21_softmax", f"{_PRED}\nSELECT row_id, round(proba[1], 9) AS p0, round(proba[2], 9) AS p1, round(proba[3], 9) AS p2 FROM preds")
@@ -1060,48 +1065,107 @@ def k2_char_tfidf(spark, sf):
 from sevlake.operators import leaderboard as LB  # noqa: E402
 
 EXPERIMENTS = [
-    {"name": "source_majority", "cols": ["source"]},
-    {"name": "type_majority", "cols": ["type"]},
-    {"name": "source_type_majority", "cols": ["source", "type"]},
+    {"name": "source_majority", "group": "one_key", "cols": ["source"]},
+    {"name": "type_majority", "group": "one_key", "cols": ["type"]},
+    {"name": "source_type_majority", "group": "two_keys", "cols": ["source", "type"]},
 ]
 SEEDS = [42, 1337, 2027]
 
 
+_RUN_METRICS = [*LB.METRICS, "critical_recall"]
+
+
+def _run_sql(exp: dict, seed: int) -> str:
+    """One run: split by ``seed``, class shares per key in train, metrics on test."""
+    keys = exp["cols"]
+    same = " AND ".join(f"te.{c} IS NOT DISTINCT FROM grp.{c}" for c in keys)
+    shares = ", ".join(f"avg(CAST(severity_id = {i} AS DOUBLE)) AS c{i}" for i in range(3))
+    proba = ", ".join(f"coalesce(grp.c{i}, gl.c{i})" for i in range(3))
+    return f"""SELECT * FROM (WITH k AS (
+  SELECT indicator_key, row_number() OVER (ORDER BY md5('{seed}:' || indicator_key), indicator_key) - 1 AS pos, count(*) OVER () AS n
+  FROM (SELECT DISTINCT indicator_key FROM norm WHERE indicator_key IS NOT NULL)),
+spl AS (SELECT row_id, source, type, severity_id, coalesce({_cut_sql('pos', 'n', 0.7, 0.15)}, 'test') AS split FROM norm LEFT JOIN k USING (indicator_key)),
+tr AS (SELECT * FROM spl WHERE split = 'train'),
+te AS (SELECT * FROM spl WHERE split = 'test'),
+gl AS (SELECT {shares} FROM tr),
+grp AS (SELECT {', '.join(keys)}, {shares} FROM tr GROUP BY {', '.join(keys)}),
+pp AS (SELECT te.row_id, te.severity_id AS y_true, [{proba}] AS proba FROM te LEFT JOIN grp ON {same}, gl),
+preds AS (SELECT *, CAST(list_position(proba, list_max(proba)) - 1 AS INTEGER) AS pred FROM pp),
+{O.CONF_CTE.strip()},
+{_REL_SQL.strip()},
+e AS (SELECT coalesce(sum(abs(accuracy - confidence) * (count / (SELECT sum(count) FROM rel))), 0.0) AS ece FROM rel),
+b AS (SELECT avg({_BRIER_ROW}) AS brier FROM preds)
+SELECT '{exp['name']}' AS experiment, {seed} AS seed, 'classical' AS runner, '{exp['name']}' AS model, '{exp['group']}' AS "group",
+  CAST(NULL AS VARCHAR) AS encoder, CAST(NULL AS VARCHAR) AS ablation, 'completed' AS status,
+  (SELECT avg(f1) FROM pc) AS macro_f1, (SELECT sum(f1 * support) / sum(support) FROM pc) AS weighted_f1,
+  (SELECT coalesce(avg(recall) FILTER (WHERE support > 0), 0.0) FROM pc) AS balanced_accuracy, e.ece, b.brier,
+  (SELECT max(recall) FILTER (WHERE class_id = 2) FROM pc) AS critical_recall
+FROM e, b)"""
+
+
+_RUNS_SQL = f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE)},
+runs AS ({" UNION ALL ".join(_run_sql(e, s) for e in EXPERIMENTS for s in SEEDS)}),
+agg AS (SELECT experiment, count(DISTINCT seed) AS num_seeds,
+  {", ".join(f'min_by("{c}", seed) AS "{c}"' for c in ("runner", "model", "group", "encoder", "ablation"))},
+  {", ".join(f"avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std" for m in LB.METRICS)} FROM runs GROUP BY experiment)"""
+
+
+def _rounded(cols) -> str:
+    return ", ".join(f"round({c}, 9) AS {c}" for c in cols)
+
+
 def _runs(spark, sf):
-    n = DS.materialize(DS.normalized_view(spark, sf))
+    n = DS.materialize(DS.normalized_view(spark, sf).select("row_id", "indicator_key", "source", "type", "severity_id"))
+    splits = {}
 
     def run_one(exp, seed):
-        s = SP.random_key_split(n, seed, 0.7, 0.15)
+        if seed not in splits:
+            splits[seed] = DS.materialize(SP.random_key_split(n, seed, 0.7, 0.15))
+        s = splits[seed]
         p = MO.majority_predict(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), exp["cols"])
-        p = p.select("row_id", F.col("severity_id").alias("y_true"), "proba", "pred")
-        return EV.metrics_record(p)
+        p = DS.materialize(p.select("row_id", F.col("severity_id").alias("y_true"), "proba", "pred"))
+        critical = EV.per_class(p).where("class_id = 2").select(F.col("recall").alias("critical_recall"))
+        return EV.attach_scalars(EV.metrics_record(p), critical)
 
-    return DS.materialize(LB.run_matrix(spark, LB.enabled_experiments(EXPERIMENTS), SEEDS, run_one))
+    return LB.run_matrix(spark, LB.enabled_experiments(EXPERIMENTS), SEEDS, run_one)
 
 
-@register("k22_experiment_matrix")
+@register("k22_experiment_matrix", f"""{_RUNS_SQL}
+SELECT experiment, seed, runner, model, "group", encoder, ablation, status, {_rounded(_RUN_METRICS)} FROM runs""")
 def k22_experiment_matrix(spark, sf):
     """Majority baselines x seeds (random key split per seed) -> runs table."""
     return _r9(_runs(spark, sf).drop("started_at", "completed_at"))
 
 
-@register("e28_experiment_aggregate")
+@register("e28_experiment_aggregate", f"""{_RUNS_SQL}
+SELECT experiment, num_seeds, runner, model, "group", encoder, ablation, {_rounded([f"{m}_{x}" for m in LB.METRICS for x in ("mean", "std")])} FROM agg""")
 def e28_experiment_aggregate(spark, sf):
     return _r9(LB.aggregate(_runs(spark, sf)))
 
 
-@register("g3_leaderboard_table")
+@register("g3_leaderboard_table", f"""{_RUNS_SQL}
+SELECT experiment, num_seeds, {", ".join(f"format('{{:.4f}} ± {{:.4f}}', {m}_mean, {m}_std) AS {m}" for m in ("macro_f1", "balanced_accuracy", "ece", "brier"))} FROM agg""")
 def g3_leaderboard_table(spark, sf):
     """G1 order + G3 formatting."""
     return LB.leaderboard_table(LB.aggregate(_runs(spark, sf)))
 
 
-@register("e29_run_status")
+@register("g2_run_summary", f"""{_RUNS_SQL}
+SELECT experiment, seed, round(macro_f1, 9) AS macro_f1, round(critical_recall, 9) AS critical_recall FROM runs""")
+def g2_run_summary(spark, sf):
+    return _r9(LB.run_summary(_runs(spark, sf)).select("experiment", "seed", "macro_f1", "critical_recall"))
+
+
+@register("e29_run_status", f"""{_RUNS_SQL}
+SELECT count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'running') AS running,
+  count(*) FILTER (WHERE status = 'failed') AS failed, CAST(0 AS BIGINT) AS not_started,
+  100.0 * count(*) FILTER (WHERE status = 'completed') / count(*) AS progress_pct FROM runs""")
 def e29_run_status(spark, sf):
+    """Durations are real but differ from run to run, so they are left out here."""
     return LB.status(_runs(spark, sf)).drop("duration_hours_mean")
 
 
-@register("e37_calibration_tradeoff")
+@register("e37_calibration_tradeoff", f"{_RUNS_SQL}\nSELECT experiment, seed, {_rounded(['ece', 'macro_f1'])} FROM runs")
 def e37_calibration_tradeoff(spark, sf):
     """E37 rows in the G7 protocol order."""
     return _r9(LB.tradeoff(LB.ranked_by_protocol(_runs(spark, sf))))
@@ -1141,12 +1205,10 @@ def a9_split_scan(spark, sf):
     return SP.read_split(spark, path, "validation").select("row_id", "split")
 
 
-@register("a16_metrics_scan")
+@register("a16_metrics_scan", f"{_RUNS_SQL}\nSELECT 'run=' || experiment || '_' || seed AS run, {_rounded(['macro_f1', 'ece'])} FROM runs")
 def a16_metrics_scan(spark, sf):
-    """A14 JSON sink of per-run metrics, A16 multi-file scan with run names."""
+    """A14 JSON sink of per-run metrics (a folder for each run), A16 multi-file scan with run names."""
     root = FI.scratch_path(spark, "runs")
-    runs = _runs(spark, sf)
-    for r in runs.select("experiment", "seed").collect():  # one small write per run (a handful of runs)
-        one = runs.where((F.col("experiment") == r["experiment"]) & (F.col("seed") == r["seed"]))
-        FI.write_json(one.drop("experiment").coalesce(1), f"{root}/{r['experiment']}_{r['seed']}")
+    runs = _runs(spark, sf).withColumn("run", F.concat_ws("_", "experiment", "seed"))
+    runs.write.partitionBy("run").json(root)
     return _r9(FI.read_metrics(spark, f"{root}/*/*.json").select("run", "macro_f1", "ece"))
