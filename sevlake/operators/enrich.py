@@ -26,6 +26,7 @@ from sevlake.functions.urls import domain_depth_tld, path_depth, strip_dots, wit
 from sevlake.schema import DOMAIN_TYPES, HASH_TYPES, IP_TYPES
 
 DAY_US = 86400.0 * 1_000_000
+SALTS = 256
 
 
 def text_input(df: DataFrame) -> Column:
@@ -138,16 +139,22 @@ def ip_features(df: DataFrame, exact: DataFrame, cidr: DataFrame) -> DataFrame:
 def phishing_dim(phishing: DataFrame) -> DataFrame:
     """E9 + E10: rows and modal target per normalised domain (tie -> the
     smallest target, all-null -> '')."""
-    return phishing.groupBy("domain_norm").agg(
-        F.count(F.lit(1)).alias("phish_domain_seen_count"),
-        F.coalesce(F.mode("target", deterministic=True), F.lit("")).alias("phish_target_mode"),
+    per_target = phishing.groupBy("domain_norm", "target").agg(F.count(F.lit(1)).alias("_n"))
+    best = F.min(F.when(F.col("target").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("target").alias("target"))))
+    return per_target.groupBy("domain_norm").agg(
+        F.sum("_n").alias("phish_domain_seen_count"), F.coalesce(best["target"], F.lit("")).alias("phish_target_mode")
     )
 
 
 def phishing_features(df: DataFrame, phishing: DataFrame) -> DataFrame:
-    """D3: left join on the normalised domain; no match -> 0, '', 0."""
-    dim = phishing_dim(phishing)
-    j = df.join(dim, df["normalized_domain"] == dim["domain_norm"], "left").drop("domain_norm")
+    """D3: left join on the normalised domain; no match -> 0, '', 0.  Rows
+    without a domain (all addresses and hashes) share the empty key, so that
+    key is dealt over ``SALTS`` parts."""
+    salts = F.when(F.col("domain_norm") == "", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dim = phishing_dim(phishing).withColumn("_dim_salt", F.explode(salts))
+    left = df.withColumn("_salt", F.when(F.col("normalized_domain") == "", F.pmod(F.hash("value"), F.lit(SALTS))).otherwise(0))
+    j = left.join(dim, (left["normalized_domain"] == dim["domain_norm"]) & (left["_salt"] == dim["_dim_salt"]), "left")
+    j = j.drop("domain_norm", "_salt", "_dim_salt")
     return j.withColumns({
         "phish_domain_seen_count": F.coalesce(F.col("phish_domain_seen_count"), F.lit(0)).cast("long"),
         "phish_target_mode": F.coalesce(F.col("phish_target_mode"), F.lit("")),

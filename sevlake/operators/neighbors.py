@@ -15,6 +15,8 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +74,5 @@ def neighbor_features(pairs: DataFrame, base_labels: DataFrame, label_col: str =
 
 def mean_pool(tokens: DataFrame, id_col: str = "id", vec_col: str = "vec", mask_col: str = "mask") -> DataFrame:
     """Masked mean of token vectors per id (element-wise)."""
-    e = tokens.where(F.col(mask_col) > 0).select(id_col, F.posexplode(vec_col).alias("dim", "x"))
-    per = e.groupBy(id_col, "dim").agg(F.avg("x").alias("x"))
-    return per.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_s")).select(
-        id_col, F.transform("_s", lambda s: s["x"]).alias("pooled"))
+    kept = tokens.where(F.col(mask_col) > 0).select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    return kept.groupBy(id_col).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("pooled"))

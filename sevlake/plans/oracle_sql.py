@@ -87,11 +87,15 @@ ip_lines AS (
   SELECT * FROM (VALUES {CIDR_VALUES}) t(line_no, line)
   UNION ALL
   SELECT {len(CIDR_LINES) + 1} AS line_no, value AS line FROM ind WHERE type = 'ip' AND split_part(value, '.', 3) = '3'
+  UNION ALL
+  SELECT DISTINCT {len(CIDR_LINES) + 2} AS line_no, split_part(value, '.', 1) || '.' || split_part(value, '.', 2) || '.5.'
+    || CAST(CAST(split_part(value, '.', 4) AS INTEGER) // 4 * 4 AS VARCHAR) || '/30' AS line
+  FROM ind WHERE type = 'ipv4' AND split_part(value, '.', 3) = '5'
 )"""
 
 PHISH_CTE = f"""
 phish_pages AS (
-  SELECT page_id, regexp_extract(url, {q(HOST_PATTERN)}, 1) AS host FROM pages WHERE page_id % 5 = 0
+  SELECT page_id, regexp_extract(url, {q(HOST_PATTERN)}, 1) AS host FROM pages
 ),
 phish AS (
   SELECT CASE WHEN page_id % 10 = 5 THEN upper(host) || '.' ELSE host END AS domain, host,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sevlake.plans import oracle_sql as O
-from sevlake.schema import JS_RULES, PY_RULES
+from sevlake.schema import FEATURE_COLUMNS_NUMERIC, JS_RULES, PY_RULES
 from sevlake.sources import driver_tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,10 +231,13 @@ def b4_indicator_key(spark, sf):
     return with_indicator_key(v, canonical_out="canonical_value").select("row_id", "canonical_value", "indicator_key")
 
 
-@register("c1_unknown_labels", f"{_NORM}\nSELECT row_id, severity FROM ind WHERE severity IS NULL OR lower(severity) NOT IN ('medium', 'high', 'critical')")
+@register("c1_unknown_labels", f"""{_NORM},
+odd AS (SELECT row_id, CASE WHEN row_id % 13 = 0 THEN NULL WHEN row_id % 11 = 0 THEN type ELSE upper(severity) END AS severity FROM ind)
+SELECT row_id, severity FROM odd WHERE severity IS NULL OR lower(severity) NOT IN ('medium', 'high', 'critical')""")
 def c1_unknown_labels(spark, sf):
     from sevlake.operators.normalize import unknown_labels
-    return unknown_labels(D.indicator_view(spark, sf)).select("row_id", "severity")
+    odd = F.when(F.col("row_id") % 13 == 0, None).when(F.col("row_id") % 11 == 0, F.col("type")).otherwise(F.upper("severity"))
+    return unknown_labels(D.indicator_view(spark, sf).withColumn("severity", odd)).select("row_id", "severity")
 
 
 _IPL = O.with_ctes(O.IND_CTES, O.IP_LINES_CTE, O.IP_LISTS_CTE)
@@ -915,22 +918,20 @@ def k9_majority_lookup(spark, sf):
     return _r9(p.select("row_id", *[F.element_at("proba", i + 1).alias(f"p{i}") for i in range(3)], "pred"))
 
 
-@register("k4_scale_numeric", f"""{_SPLIT_BASE.replace('spl AS (', 'spl0 AS (')},
-spl AS (SELECT *, CAST(length(coalesce(description, '')) AS DOUBLE) AS desc_len, CAST(len(tags_list) AS DOUBLE) AS tag_count FROM spl0),
-st AS (SELECT stddev_pop(desc_len) AS s1, stddev_pop(tag_count) AS s2 FROM spl WHERE split = 'train')
-SELECT row_id, round(desc_len / CASE WHEN s1 IS NULL OR s1 = 0 THEN 1.0 ELSE s1 END, 9) AS desc_len_scaled,
-  round(tag_count / CASE WHEN s2 IS NULL OR s2 = 0 THEN 1.0 ELSE s2 END, 9) AS tag_count_scaled FROM spl, st""")
+_NUM = FEATURE_COLUMNS_NUMERIC
+
+
+@register("k4_scale_numeric", f"""{O.FEAT_SQL}{_SPLIT_BASE.removeprefix(_SPL)},
+st AS (SELECT {", ".join(f"stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in _NUM)} FROM feat JOIN (SELECT row_id AS rid, split FROM spl) ON row_id = rid WHERE split = 'train')
+SELECT row_id, {", ".join(f"round(CAST({c} AS DOUBLE) / CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1.0 ELSE s_{c} END, 6) AS {c}_scaled" for c in _NUM)} FROM feat, st""")
 def k4_scale_numeric(spark, sf):
-    s = _split_view(spark, sf).withColumns({
-        "desc_len": F.length(F.coalesce("description", F.lit(""))).cast("double"),
-        "tag_count": F.size("tags_list").cast("double"),
-    })
-    out = MO.scale_by_std(s.where(F.col("split") == "train"), s, ["desc_len", "tag_count"])
-    return _r9(out.select("row_id", "desc_len_scaled", "tag_count_scaled"))
+    s = DS.materialize(_feature_split(spark, sf).select("row_id", "split", *_NUM))
+    out = MO.scale_by_std(s.where(F.col("split") == "train"), s, _NUM)
+    return out.select("row_id", *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in _NUM])
 
 
 _KNN_SRC = """
-kq AS (SELECT vec_id AS id, embedding AS vec FROM embeddings WHERE vec_id % 5 = 0),
+kq AS (SELECT vec_id AS id, embedding AS vec FROM embeddings),
 kb AS (SELECT vec_id AS id, embedding AS vec, label FROM embeddings WHERE vec_id % 5 <> 0),
 kp AS (
   SELECT kq.id AS query_id, kb.id AS base_id,
@@ -944,7 +945,7 @@ knn AS (SELECT * FROM kr WHERE rank <= 20)"""
 
 def _knn_inputs(spark, sf):
     emb = D.read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    return emb.where(F.col("id") % 5 == 0), emb.where(F.col("id") % 5 != 0)
+    return emb, emb.where(F.col("id") % 5 != 0)  # rows of all splits ask, those of train answer
 
 
 @register("d9_knn_pairs", f"""WITH {_KNN_SRC}
@@ -1177,23 +1178,24 @@ def e37_calibration_tradeoff(spark, sf):
 # ---------------------------------------------------------------------------
 from sevlake.sources import files as FI  # noqa: E402
 
-_IND_COLS = ["row_id", "type", "value", "severity", "source", "observedCount"]
+_IND_COLS = ["type", "value", "severity", "source", "description", "tags", "firstSeen", "lastSeen", "observedCount", "raw", "fingerprint"]
+_IND_SQL = f"{', '.join(_IND_COLS)}, CAST(confidence AS DOUBLE) AS confidence FROM ind"
 
 
-@register("a1_csv_roundtrip", f"{O.with_ctes(O.IND_CTES)}\nSELECT CAST(row_id AS VARCHAR) AS row_id, type, value, severity, source, observedCount FROM ind")
+@register("a1_csv_roundtrip", f"{O.with_ctes(O.IND_CTES)}\nSELECT CAST(row_id AS VARCHAR) AS row_id, {_IND_SQL}")
 def a1_csv_roundtrip(spark, sf):
     """Indicator view written as CSV, scanned back with A1 + A4."""
     path = FI.scratch_path(spark, "indicators-csv") + "/indicators.csv"
     FI.write_csv(D.indicator_view(spark, sf), path)
-    return FI.load_indicators(spark, path).select(*_IND_COLS)
+    return FI.load_indicators(spark, path).select("row_id", *_IND_COLS, F.col("confidence").cast("double").alias("confidence"))
 
 
-@register("a3_jsonl_roundtrip", f"{O.with_ctes(O.IND_CTES)}\nSELECT row_id, type, value, severity, source, observedCount FROM ind")
+@register("a3_jsonl_roundtrip", f"{O.with_ctes(O.IND_CTES)}\nSELECT row_id, {_IND_SQL}")
 def a3_jsonl_roundtrip(spark, sf):
     """Indicator view written as JSON lines, scanned back with A3 + A4."""
     path = FI.scratch_path(spark, "indicators-json") + "/indicators.json"
     FI.write_json(D.indicator_view(spark, sf), path)
-    return FI.load_indicators(spark, path, extra="row_id long").select(*_IND_COLS)
+    return FI.load_indicators(spark, path, extra="row_id long").select("row_id", *_IND_COLS, F.col("confidence").cast("double").alias("confidence"))
 
 
 @register("a9_split_scan", f"""{_SPLIT_BASE}

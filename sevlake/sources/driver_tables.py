@@ -121,8 +121,9 @@ def indicator_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ip_list_lines(spark: SparkSession, sf_dir: str, view: DataFrame | None = None) -> DataFrame:
-    """IP list as text lines ``(line_no, line)``: four CIDR lines first, then the
-    ``ip`` values with ``k % 8 = 3`` (third octet 3) as exact addresses."""
+    """IP list as text lines ``(line_no, line)``: a few CIDR lines first, then the
+    ``ip`` values with third octet 3 as exact addresses, then the networks of
+    30 bits of the ``ipv4`` values with third octet 5."""
     cidr = spark.createDataFrame(
         [(i + 1, line) for i, line in enumerate(CIDR_LINES)], "line_no long, line string"
     )
@@ -131,15 +132,25 @@ def ip_list_lines(spark: SparkSession, sf_dir: str, view: DataFrame | None = Non
         view.where((F.col("type") == "ip") & (F.split_part("value", F.lit("."), F.lit(3)) == "3"))
         .select(F.lit(len(CIDR_LINES) + 1).cast("long").alias("line_no"), F.col("value").alias("line"))
     )
-    return cidr.unionByName(exact)
+    def network(v: Column) -> Column:
+        last = F.substring_index(v, ".", -1).try_cast("int")
+        return F.concat(F.substring_index(v, ".", 3), F.lit("."), (last - last % 4).cast("string"), F.lit("/30"))
+
+    # the lambda's variable keeps the long expression behind ``value`` from being repeated
+    nets = (
+        view.where((F.col("type") == "ipv4") & (F.split_part("value", F.lit("."), F.lit(3)) == "5"))
+        .select(F.lit(len(CIDR_LINES) + 2).cast("long").alias("line_no"), F.transform(F.array("value"), network)[0].alias("line"))
+        .distinct()
+    )
+    return cidr.unionByName(exact).unionByName(nets)
 
 
 def phishing_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phishing list ``(domain, host, date, target)`` from page hosts with
-    ``page_id % 5 = 0``; pages with ``page_id % 10 = 0`` are listed twice with
+    """Phishing list ``(domain, host, date, target)`` from the hosts of all
+    pages; pages with ``page_id % 10 = 0`` are listed twice with
     two targets (a modal tie), ``page_id % 10 = 5`` gets an upper-case domain
     with a trailing dot (normalisation)."""
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url").where(F.col("page_id") % 5 == 0)
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     host = F.regexp_extract("url", HOST_PATTERN, 1)
     base = pages.select(
         "page_id",
