@@ -994,22 +994,21 @@ def _feature_split(spark, sf):
 
 @register("k7_logreg_predictions")
 def k7_logreg_predictions(spark, sf):
-    """K3+K5+K7+K12+K20: one-hot + numeric features, weighted multinomial
-    logistic regression (C=8, effective weights) fitted on train, test
-    predictions."""
+    """K3+K5+K7+K12+K20: word and character TF-IDF, one-hot and scaled numeric
+    features, weighted multinomial logistic regression (C=8, effective weights)
+    fitted on train, test predictions."""
     s = DS.materialize(_feature_split(spark, sf))
-    model = MO.train_logreg(s.where(F.col("split") == "train"), 8.0, "effective", max_iter=1500)
+    model = MO.train_logreg(s.where(F.col("split") == "train"), 8.0, "effective", 1500, "value_char")
     return MO.predictions(model, s.where(F.col("split") == "test"))
 
 
 @register("k8_c_sweep")
 def k8_c_sweep(spark, sf):
-    """K8 + G6: C sweep on validation; rows ``(c, macro_f1, balanced_accuracy, ece, selected)``."""
+    """K8 + G6: C sweep on validation over the tabular features; rows ``(c, macro_f1, balanced_accuracy, ece, brier, selected)``."""
     s = DS.materialize(_feature_split(spark, sf))
-    best, sweep = MO.tune_c(s.where(F.col("split") == "train"), s.where(F.col("split") == "validation"),
-                            max_iter=1500)
-    rows = [(r["c"], r["macro_f1"], r["balanced_accuracy"], r["ece"], r["c"] == best) for r in sweep]
-    return spark.createDataFrame(rows, "c double, macro_f1 double, balanced_accuracy double, ece double, selected boolean")
+    best, sweep = MO.tune_c(s.where(F.col("split") == "train"), s.where(F.col("split") == "validation"), max_iter=1500)
+    rows = [(r["c"], r["macro_f1"], r["balanced_accuracy"], r["ece"], r["brier"], r["c"] == best) for r in sweep]
+    return spark.createDataFrame(rows, "c double, macro_f1 double, balanced_accuracy double, ece double, brier double, selected boolean")
 
 
 # ---------------------------------------------------------------------------
