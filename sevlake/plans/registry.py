@@ -994,11 +994,10 @@ def _feature_split(spark, sf):
 
 @register("k7_logreg_predictions")
 def k7_logreg_predictions(spark, sf):
-    """K3+K5+K7+K12+K20: word and character TF-IDF, one-hot and scaled numeric
-    features, weighted multinomial logistic regression (C=8, effective weights)
+    """K3+K4+K7+K12+K20: one-hot and scaled numeric features, weighted multinomial logistic regression (C=8, effective weights)
     fitted on train, test predictions."""
     s = DS.materialize(_feature_split(spark, sf))
-    model = MO.train_logreg(s.where(F.col("split") == "train"), 8.0, "effective", 1500, "value_char")
+    model = MO.train_logreg(s.where(F.col("split") == "train"), 8.0, "effective", 1500)
     return MO.predictions(model, s.where(F.col("split") == "test"))
 
 
