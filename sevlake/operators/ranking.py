@@ -10,16 +10,17 @@ tasks:
    ``monotonically_increasing_id`` (partition id in the high bits, position in
    the partition in the low bits) and write the result to the checkpoint
    folder so the tags are stable;
-2. per-partition row counts (one row per partition) give each partition's
-   offset -> global position;
+2. per-partition row counts (one row per partition, summed up on the driver)
+   give each partition's offset -> global position;
 3. the first global position of each group (a partially aggregated
    ``groupBy``) is subtracted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sevlake.session import checkpoint_dir
@@ -27,22 +28,26 @@ from sevlake.session import checkpoint_dir
 _LOW = (1 << 33) - 1
 
 
-def global_position(df: DataFrame, order_cols: list, name: str = "gpos") -> DataFrame:
-    """0-based position of each row in the total order ``order_cols``
-    (which must be unique per row for a deterministic result)."""
-    checkpoint_dir(df.sparkSession)
+def _positioned(df: DataFrame, order_cols: list, name: str) -> tuple[DataFrame, int]:
+    """``df`` with the 0-based position of each row in the total order, and its row count."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     tagged = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-    )
-    # one row per partition: a size bound that holds at any data size
+    # a row per sorted partition reaches the driver, whatever the data size
+    sizes = sorted((r["_pid"], r["n"]) for r in tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    ends = list(accumulate(n for _, n in sizes))
+    starts = [(pid, end - n) for (pid, n), end in zip(sizes, ends, strict=True)]
+    offsets = spark.createDataFrame(starts, "_pid bigint, _off bigint")
     out = tagged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW))).drop("_pid", "_off", "_mid")
+    out = out.withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW))).drop("_pid", "_off", "_mid")
+    return out, ends[-1] if ends else 0
+
+
+def global_position(df: DataFrame, order_cols: list, name: str = "gpos") -> DataFrame:
+    """0-based position of each row in the total order ``order_cols``
+    (which must be unique per row for a deterministic result)."""
+    return _positioned(df, order_cols, name)[0]
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "rank",
@@ -52,8 +57,8 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     ``few_groups`` the caller vouches for a fixed number of groups (such as
     labels), whose starts are then broadcast instead of shuffling the rows."""
     if not group_cols:
-        pos = global_position(df, order_cols, name)
-        return pos.withColumn(f"{name}_group_size", df.select(F.count(F.lit(1))).scalar())
+        pos, total = _positioned(df, order_cols, name)
+        return pos.withColumn(f"{name}_group_size", F.lit(total).cast("bigint"))
     pos = global_position(df, [*group_cols, *order_cols], "_gpos")
     starts = pos.groupBy(*group_cols).agg(
         F.min("_gpos").alias("_start"), F.count(F.lit(1)).alias(f"{name}_group_size")
