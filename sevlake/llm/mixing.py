@@ -56,9 +56,13 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_R
     return t.select("source", "source_size", F.coalesce(F.least(target, "cap"), "cap").alias("target"))
 
 
-def _unit(col: Column, seed: int) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(col, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+DRAW_BITS = 52
+
+
+def _draw(value: Column, seed: int) -> Column:
+    """A number of ``DRAW_BITS`` bits from the MD5 of seed and value (null: as empty text)."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(value.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("bigint")
 
 
 def mix_sources(
@@ -77,7 +81,7 @@ def mix_sources(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         F.xxhash64(text_col).alias("text_hash"),
     )
-    order = [F.col("source").isNull(), "source", "size", F.xxhash64("id", F.lit(seed)), "id", "text_hash"]
+    order = [F.col("source").isNull(), "source", "size", _draw(F.col("id"), seed), "id", "text_hash"]
     rows = materialise(sized.orderBy(*order).withColumn("mid", F.monotonically_increasing_id()), "mix-rows")
     rows = rows.withColumn("pid", F.shiftright("mid", 33))
     parts = materialise(
@@ -91,7 +95,7 @@ def mix_sources(
         F.col("p.pid").alias("p_pid"), F.col("p.source").alias("p_source"), "first", "before", "source_size", "target"
     )
     rate = F.least(F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)), F.lit(float(max_repeats)))
-    parts = materialise(parts.withColumn("rate", rate).withColumn("offset", _unit(F.coalesce("p_source", F.lit("")), seed)), "mix-offsets")
+    parts = materialise(parts.withColumn("rate", rate).withColumn("offset", _draw(F.col("p_source"), seed) / F.lit(float(1 << DRAW_BITS))), "mix-offsets")
     joined = rows.join(parts, (rows["pid"] == parts["p_pid"]) & rows["source"].eqNullSafe(parts["p_source"]))
     rank = F.col("mid") - F.col("first") + F.col("before")
     crossed = F.floor(F.col("offset") + (rank + 1) * F.col("rate")) - F.floor(F.col("offset") + rank * F.col("rate"))

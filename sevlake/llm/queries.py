@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sevlake.llm import decontaminate, langid, mixing, pii, quality, secrets, simhash, suffix_dedup, toxicity, warc
 from sevlake.llm.common import crc_mod, materialise
+from sevlake.llm.oracle import ORACLE as ORACLE
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -67,5 +68,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_warc_index, op2_pii_surrogates, op3_language_id, op4_simhash, op5_quality_cascade, op6_suffix_dedup, op7_decontaminate, op8_mix_sources, op9_toxicity, op10_secret_scan)
 }
-
-ORACLE: dict[str, str] = {}
