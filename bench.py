@@ -3,7 +3,8 @@
 Runs the headline queries on ``$BENCH_SF_DIR`` (default
 /root/testdata/sf0.1) with ``local[$BENCH_CPUS]`` and prints ONE JSON line
 ``{"metric", "value", "unit", "queries", "sf", ...}``.  Each query is fully
-executed into Spark's ``noop`` sink (no driver collect).
+executed into Spark's ``noop`` sink (no driver collect), ``$BENCH_REPEATS``
+times.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ HEADLINE = [
     "e33_auc_average_precision",
     "k19_metrics_record",
 ]
+REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))  # the best run of each query counts
 
 
 def main() -> None:
@@ -39,9 +41,12 @@ def main() -> None:
     QUERIES["e25_severity_stats"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
-        t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        runs = []
+        for _ in range(max(1, REPEATS)):
+            t0 = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - t0)
+        times[name] = round(min(runs), 3)
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     total = round(sum(times.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

@@ -1,4 +1,4 @@
-"""Exact-size, key-diverse, stratified sampling.
+"""Exact-size, key-diverse, stratified sampling.
 
 Sampling is expressed as *quotas + ranks*: a small per-cell quota table and a
 deterministic rank of every row inside its cell; a row is kept when its rank
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sevlake.operators.ranking import rank_within
+from sevlake.operators.ranking import global_position, rank_within
 from sevlake.schema import SEVERITY_ORDER
 
 
@@ -163,6 +163,17 @@ def exclude_selected(df: DataFrame, selected: DataFrame, key: str = "row_id") ->
     return df.join(selected.select(key), key, "left_anti")
 
 
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in the order given (the limit is the feature);
+    every task keeps ``n`` rows at most before they meet."""
+    return df.orderBy(*order).limit(n)
+
+
+def shuffle_position(df: DataFrame, seed: int = 42) -> DataFrame:
+    """H6 as a column: ``position`` of each row in the shuffled order."""
+    return global_position(df.select("row_id").withColumn("_h", row_hash(seed)), ["_h", "row_id"], "position").drop("_h")
+
+
 def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
     """H6: deterministic shuffled output order (only where order is an output)."""
     return df.orderBy(row_hash(seed), "row_id")

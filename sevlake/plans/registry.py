@@ -1018,7 +1018,7 @@ from sevlake.operators import text_features as TF  # noqa: E402
 _TEXT_CTE = O.with_ctes(O.IND_CTES, O.NORM_CTE, O.ROWFEAT_CTE)
 
 
-def _tfidf_sql(terms_sql: str, max_features: int, min_df: int) -> str:
+def _tfidf_sql(terms_sql: str, max_features: int, min_df: int, weight: str = "round({}, 9)") -> str:
     return f"""{_TEXT_CTE},
 ww AS (SELECT *, regexp_extract_all(lower(text_input), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS words FROM rowfeat),
 tt AS (SELECT row_id AS doc, unnest({terms_sql}) AS term FROM ww),
@@ -1027,7 +1027,7 @@ st AS (SELECT term, count(*) AS df, sum(tf) AS freq FROM tf GROUP BY 1 HAVING co
 vo AS (SELECT *, ln((1.0 + (SELECT count(*) FROM rowfeat)) / (1.0 + df)) + 1.0 AS idf FROM st
        QUALIFY row_number() OVER (ORDER BY freq DESC, term) <= {max_features}),
 w AS (SELECT tf.doc, tf.term, (1.0 + ln(tf.tf)) * vo.idf AS w FROM tf JOIN vo USING (term))
-SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 9) AS weight FROM w"""
+SELECT doc, term, {weight.format("w / sqrt(sum(w * w) OVER (PARTITION BY doc))")} AS weight FROM w"""
 
 
 _WORD_TERMS_SQL = "list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"
@@ -1038,7 +1038,7 @@ _CHAR_TERMS_SQL = "list_concat(" + ", ".join(
 
 
 @register("k1_word_tfidf", f"""SELECT doc, count(*) AS n_terms, round(sum(weight), 6) AS weight_sum, round(max(weight), 6) AS weight_max
-FROM ({_tfidf_sql(_WORD_TERMS_SQL, 50000, 1)}) GROUP BY doc""")
+FROM ({_tfidf_sql(_WORD_TERMS_SQL, 50000, 1, "{}")}) GROUP BY doc""")
 def k1_word_tfidf(spark, sf):
     """Word 1-2 gram TF-IDF of text_input, top 50,000 terms; a row of totals
     for each document, as whole texts have very many terms."""
@@ -1046,8 +1046,8 @@ def k1_word_tfidf(spark, sf):
     n = DS.normalized_view(spark, sf)
     n = n.select("row_id", text_input(n).alias("text_input"))
     w, _ = TF.tfidf(n, "row_id", TF.word_terms(F.col("text_input")), max_features=50000)
-    return w.groupBy("doc").agg(F.count("term").alias("n_terms"), F.round(F.sum(F.round("weight", 9)), 6).alias("weight_sum"),
-                                F.round(F.max(F.round("weight", 9)), 6).alias("weight_max"))
+    return w.groupBy("doc").agg(F.count("term").alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight_sum"),
+                                F.round(F.max("weight"), 6).alias("weight_max"))
 
 
 @register("k2_char_tfidf", _tfidf_sql(_CHAR_TERMS_SQL, 40000, 2))
@@ -1212,3 +1212,54 @@ def a16_metrics_scan(spark, sf):
     runs = _runs(spark, sf).withColumn("run", F.concat_ws("_", "experiment", "seed"))
     runs.write.partitionBy("run").json(root)
     return _r9(FI.read_metrics(spark, f"{root}/*/*.json").select("run", "macro_f1", "ece"))
+
+
+@register("a2_delimited_roundtrip", f"{O.with_ctes(O.IND_CTES)}\nSELECT CAST(row_id AS VARCHAR) AS row_id, {_IND_SQL}")
+def a2_delimited_roundtrip(spark, sf):
+    """Indicator view written with tabs, scanned back as ``.txt`` with the delimiter found in the header."""
+    path = FI.scratch_path(spark, "indicators-txt") + "/indicators.txt"
+    FI.write_csv(D.indicator_view(spark, sf), path, sep="\t")
+    return FI.load_indicators(spark, path).select("row_id", *_IND_COLS, F.col("confidence").cast("double").alias("confidence"))
+
+
+@register("a13_prediction_sink", f"""{_PRED}
+SELECT row_id, y_true, pred, round(proba[1], 9) AS p0, round(proba[2], 9) AS p1, round(proba[3], 9) AS p2 FROM preds""")
+def a13_prediction_sink(spark, sf):
+    """A13 Parquet sink of the prediction table, read back."""
+    path = FI.scratch_path(spark, "predictions")
+    FI.write_predictions(_preds(spark, sf), path)
+    p = spark.read.parquet(path)
+    return _r9(p.select("row_id", "y_true", "pred", *[F.element_at("proba", i + 1).alias(f"p{i}") for i in range(3)]))
+
+
+@register("a15_event_log", f"""{O.with_ctes(O.IND_CTES)},
+c AS (SELECT source, count(*) AS rows FROM ind GROUP BY source)
+SELECT *, 'counted' AS event FROM c UNION ALL SELECT *, 'checked' AS event FROM c""")
+def a15_event_log(spark, sf):
+    """Two appends to a JSON event log, read back."""
+    path = FI.scratch_path(spark, "events")
+    counts = D.indicator_view(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
+    for event in ("counted", "checked"):
+        FI.append_events(counts.withColumn("event", F.lit(event)), path)
+    return spark.read.schema("source string, rows bigint, event string, ts timestamp").json(path).drop("ts")
+
+
+@register("c6_alignment_violations", f"""{_SPLIT_BASE}
+SELECT row_id, CASE split WHEN 'train' THEN 'left_only' ELSE 'right_only' END AS side FROM spl WHERE split <> 'validation'""")
+def c6_alignment_violations(spark, sf):
+    """C6 between the rows of train and validation, and those of validation and test."""
+    s = DS.materialize(_split_view(spark, sf).select("row_id", "split"))
+    from sevlake.operators.normalize import alignment_violations
+    return alignment_violations(s.where("split <> 'test'"), s.where("split <> 'train'"))
+
+
+@register("g5_first_rows", f"{O.with_ctes(O.IND_CTES)}\nSELECT row_id, type, value FROM ind ORDER BY row_id LIMIT 500")
+def g5_first_rows(spark, sf):
+    """The ordered first-N rows."""
+    return SA.first_rows(D.indicator_view(spark, sf).select("row_id", "type", "value"), 500, "row_id")
+
+
+@register("h6_shuffle_position", f"""{O.with_ctes(O.IND_CTES)}
+SELECT row_id, row_number() OVER (ORDER BY md5('42:' || row_id), row_id) - 1 AS position FROM ind""")
+def h6_shuffle_position(spark, sf):
+    return SA.shuffle_position(D.indicator_view(spark, sf))
