@@ -27,10 +27,11 @@ DICTIONARY = "/opt/tokenizers/word_bpe_49k.json"
 FIT_FINDINGS = 20_000  # labelled findings to learn from, at most about so many
 TREES, DEPTH, SEED = 20, 6, 5
 _KEYWORD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
+# values of any length, whole: runs without an upper bound
 _FIND = re.compile(
-    rf"(?P<assigned>{_KEYWORD}[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?(?P<value>[^\s\"'<>]{{6,200}}))"
-    r"|(?P<prefixed>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bxox[abpr]-[A-Za-z0-9-]{10,80}\b)"
-    r"|(?P<token>(?<![\w+/=-])[A-Za-z0-9+/_=-]{20,200}(?![\w+/=-]))"
+    rf"(?P<assigned>{_KEYWORD}[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?(?P<value>[^\s\"'<>]{{6,}}+))"
+    r"|(?P<prefixed>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bxox[abpr]-[A-Za-z0-9-]{10,}\b)"
+    r"|(?P<token>(?<![\w+/=-])[A-Za-z0-9+/_=-]{20,}+(?![\w+/=-]))"
 )
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PLACE = re.compile(r"(?i)(example|changeme|placeholder|your|dummy|sample|xxxx|\*{3,}|<.*>|\$\{)")
@@ -46,6 +47,8 @@ def find(text: str | None) -> list[tuple[int, str, str, str, str]]:
         group = "value" if m["assigned"] else m.lastgroup
         a, b = m.span(group)
         rule = "assigned" if m["assigned"] else m.lastgroup
+        if rule == "token" and b - a > 200 and text.count(text[a], a, b) == b - a:
+            continue  # a filler line: one character over and over
         out.append((a, rule, text[a:b], text[max(0, a - 40) : a], text[b : b + 40]))
     return out
 

@@ -259,6 +259,16 @@ def test_secret_scan(spark):
     assert all(text[i][r["start"] : r["start"] + r["length"]] == r["candidate"] for i, r in got.items())
 
 
+@pytest.mark.parametrize("n", [201, 5000])
+def test_secrets_of_any_length_are_whole(spark, n):
+    value = (hashlib.sha512(b"v").hexdigest() * 40)[:n]
+    slack = "xoxb-" + "-".join(value[i : i + 60] for i in range(0, n, 60))
+    rows = [(1, f'api_key = "{value}" end'), (2, f"see {value} end"), (3, f"use {slack} end")]
+    found = secrets.findings(spark.createDataFrame(rows, "doc_id int, text string"), path_col=None).collect()
+    assert {r["id"]: (r["rule"], r["candidate"], r["length"]) for r in found} == {1: ("assigned", value, n), 2: ("token", value, n), 3: ("prefixed", slack, len(slack))}
+    assert len(found) == 3
+
+
 @pytest.mark.parametrize("call", [
     lambda d, b: simhash.near_duplicates(d), lambda d, b: quality.assess(d), lambda d, b: suffix_dedup.remove_repeats(d), lambda d, b: decontaminate.report(d, b),
     lambda d, b: mixing.mix_sources(d), lambda d, b: pii.pseudonymise(d), lambda d, b: langid.label_documents(d, langid.fit(d)),
