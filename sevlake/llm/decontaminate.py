@@ -4,14 +4,16 @@ Tokens of benchmark items and documents become a template: numbers, units and
 names turn into typed placeholders, other words are lower-cased and stripped of
 punctuation.  Windows of the template are hash-joined, so a question matches
 also with other numbers and names.  The slots of the windows of one alignment
-are then checked: each value of the item must stand for one value of the
-document, and two values never for the same.  A document is contaminated if the
-consistent windows cover at least ``cover`` of an item's windows.
+are then checked: the value of the document that an item's value mostly stands
+for, and the other way round, is the right one, and windows with another pair
+don't count.  A document is contaminated if the consistent windows of all
+alignments cover at least ``cover`` of an item's windows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,17 +167,39 @@ def matches(
     # one alignment of a document and an item has at most the item's windows
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     aligned = hits.groupBy("id", "th", "item", "item_th", "shift").agg(
-        F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"), F.max("n_windows").alias("n_windows")
+        F.collect_set(F.struct("item_pos", pairs.alias("pairs"))).alias("found"), F.max("n_windows").alias("n_windows")
     )
-    n = F.size("pairs")
-    consistent = (F.size(F.array_distinct(F.col("pairs")["a"])) == n) & (F.size(F.array_distinct(F.col("pairs")["b"])) == n)
     covered = F.size(F.array_distinct(F.flatten(F.collect_list("at")))) / F.max("n_windows")
     return (
-        aligned.where(consistent).groupBy("id", "th", "item", "item_th").agg(covered.alias("covered")).where(F.col("covered") >= cover)
+        _consistent(aligned.drop("shift")).groupBy("id", "th", "item", "item_th").agg(covered.alias("covered")).where(F.col("covered") >= cover)
         .groupBy("id", "th", "item").agg(F.max("covered").alias("covered"))
     )
 
 
+def agreeing(found: list[tuple[int, list[tuple[str, str]]]]) -> list[int]:
+    """Positions of the windows (position, pairs of values) whose pairs are those of most windows, by either value."""
+    votes = Counter(p for _, pairs in found for p in pairs)
+    of_item, of_doc = {}, {}
+    for (a, b), n in votes.items():
+        of_item[a] = max(of_item.get(a, (0, False, "")), (n, a == b, b))
+        of_doc[b] = max(of_doc.get(b, (0, False, "")), (n, a == b, a))
+    return sorted({at for at, pairs in found if all(of_item[a][2] == b and of_doc[b][2] == a for a, b in pairs)})
+
+
+def _consistent(aligned: DataFrame) -> DataFrame:
+    """Alignments with the positions ``at`` of their agreeing windows instead of ``found``."""
+    keys = ["id", "th", "item", "item_th", "n_windows"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [agreeing([(w["item_pos"], [(p["a"], p["b"]) for p in w["pairs"]]) for w in ws]) for ws in b.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(at, pa.list_(pa.int32()))], [*keys, "at"])
+
+    kept = aligned.select(*keys, "found")
+    kinds = ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in keys)
+    return kept.mapInArrow(run, f"{kinds}, at array<int>")
+
+
 def _windows_sizes(items: DataFrame, window: int) -> list[int]:
     """Window sizes that the items use: ``window`` and the lengths of shorter ones (at most ``window`` values)."""
 

@@ -178,6 +178,16 @@ def test_decontamination(spark):
     assert decontaminate.report(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_judges_slots_per_window(spark):
+    item = "Tom has 5 apples and buys some more apples at the big shop near the old river before he gives away all but 5 of them to his good friends at school today."
+    coincide = "A boy sold 5 red apples at the market and then some of the others went home before she gave 3 of them away to her friends."
+    b = spark.createDataFrame([(1, item), (2, coincide)], "item_id int, text string")
+    rows = [(1, "So. " + item.replace("but 5", "but 7")), (2, "So. " + coincide.replace("5", "4").replace("3", "4")), (3, "So. " + item)]
+    got = {r["doc_id"]: (r["item_ids"], r["covered"]) for r in decontaminate.report(spark.createDataFrame(rows, "doc_id int, text string"), b).collect()}
+    assert got[1][0] == [1] and got[2][0] == [2] and got[3] == ([1], 1.0) and got[1][1] < 1
+    assert decontaminate.agreeing([(0, [("5", "5")]), (1, [("5", "7")]), (2, []), (3, [("3", "5")])]) == [0, 2]
+
+
 def test_decontamination_finds_planted_items(spark, docs, texts):
     items = [r["text"] for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
     want = {i for i, t in texts.items() if any(x in (t or "") for x in items)}
