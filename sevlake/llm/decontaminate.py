@@ -3,7 +3,10 @@
 Tokens of benchmark items and documents become a template: numbers, units and
 names turn into typed placeholders, other words are lower-cased and stripped of
 punctuation.  Windows of the template are hash-joined, so a question matches
-also with other numbers and names.  The slots of the windows of one alignment
+also with other numbers and names.  An item without a window of enough words has
+its windows matched by their exact values instead.  A word in title case that may
+begin a sentence (after a line end, or first in a window) is tried as a word, too.
+The slots of the windows of one alignment
 are then checked: the value of the document that an item's value mostly stands
 for, and the other way round, is the right one, and windows with another pair
 don't count.  A document is contaminated if the consistent windows of all
@@ -44,6 +47,7 @@ NUMBERS = frozenset(
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*(?:st|nd|rd|th)?[%$€£]?")
 _PUNCT = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])) + "¡¿«»“”„‘’‚…–—•"
 _NUM, _UNIT, _NAME, _BASE = 1, 2, 3, 0x9E3779B97F4A7C15
+_EXACT, _BY_VALUE = 0x5851F42D4C957F2D, 4  # mark of hashes by value, and their form
 _CACHE = 500_000
 
 
@@ -72,62 +76,130 @@ class Codes(dict):
         return out
 
 
-def template(text: str | None, codes: Codes) -> tuple[np.ndarray, list[str]]:
-    """Template codes and the raw tokens of a text.  A word in title case that doesn't begin a sentence is a name."""
-    raw = (text or "").split()
-    packed = np.array([codes[t] for t in raw], dtype=np.uint64)
-    some = packed > 0
-    if not some.all():
-        packed, raw = packed[some], [t for t, k in zip(raw, some, strict=True) if k]
-    code = packed >> np.uint64(2)
-    after_end = np.append(True, packed[:-1] & np.uint64(2) > 0)[: len(packed)]
-    code[(packed & np.uint64(1) > 0) & ~after_end] = _NAME
-    return code, raw
-
-
-def window_hashes(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of ``size`` tokens with enough words."""
-    n = len(code) - size + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    total, words, base = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64), np.uint64(_BASE)
+class Template:
+    """Template codes and raw tokens of a text.  A word in title case that doesn't begin a sentence is a name;
+    in ``loose``, only one that doesn't begin a line either.  ``word`` has no names."""
+
+    def __init__(self, text: str | None, codes: Codes):
+        lines = [x.split() for x in (text or "").replace("\r", "\n").split("\n")]
+        raw = [t for x in lines for t in x]
+        packed = np.array([codes[t] for t in raw], dtype=np.uint64)
+        line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+        some = packed > 0
+        if not some.all():
+            packed, line, raw = packed[some], line[some], [t for t, k in zip(raw, some, strict=True) if k]
+        self.raw, self.word = raw, packed >> np.uint64(2)
+        after_end = np.append(True, packed[:-1] & np.uint64(2) > 0)[: len(packed)]
+        name = (packed & np.uint64(1) > 0) & ~after_end
+        after_line = np.append(True, line[1:] != line[:-1])[: len(packed)]
+        self.code = np.where(name, np.uint64(_NAME), self.word)
+        self.differs = name & after_line
+        self.loose = np.where(self.differs, self.word, self.code) if self.differs.any() else self.code
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, hashes and forms of the windows of ``size`` tokens with enough words; form 0 is the strict one,
+        1 with its first token as a word, 2 and 3 the same of ``loose``."""
+        sums, words = _sums(self.code, size), _words(self.code, size)
+        found = [self._forms(sums, words, self.code, size, 0)]
+        if len(sums) and self.loose is not self.code:
+            near = np.append(0, np.cumsum(self.differs))
+            near = near[size:] > near[:-size]
+            found.append(self._forms(_sums(self.loose, size), np.where(near, _words(self.loose, size), -1), self.loose, size, 2))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def _forms(self, sums, words, code, size, form):
+        least = min(LEAST_WORDS, size)
+        plain = np.flatnonzero(words >= least)
+        first = np.flatnonzero((words + 1 >= least) & (words >= 0) & (code[: len(sums)] != self.word[: len(sums)]))
+        weight = np.uint64(pow(_BASE, size - 1, 1 << 64))
+        changed = sums[first] + (self.word[first] - code[first]) * weight
+        return np.append(plain, first), np.append(_mixed(sums[plain], size), _mixed(changed, size)), np.repeat([form, form + 1], [len(plain), len(first)])
+
+    def exact(self, size: int, values: Values) -> np.ndarray:
+        """Hashes of the values of all windows of ``size`` tokens."""
+        return _mixed(_sums(np.array([values[t] for t in self.raw], dtype=np.uint64), size), size) ^ np.uint64(_EXACT)
+
+    def dense(self, size: int) -> bool:
+        """Whether there are windows and none has enough words."""
+        words = _words(self.code, size)
+        return len(words) > 0 and int(words.max()) < min(LEAST_WORDS, size)
+
+    def slots(self, start: int, size: int, form: int) -> list[str]:
+        if form == _BY_VALUE:
+            return []
+        code = self.loose if form & 2 else self.code
+        return [_value(self.raw[i]) for i in range(start + (form & 1), start + size) if code[i] <= 3]
+
+
+def _value(raw: str) -> str:
+    return raw.strip(_PUNCT).lower() or raw
+
+
+class Values(dict):
+    """Raw token -> hash of its value."""
+
+    def __missing__(self, raw: str) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        self[raw] = out = xxh64_intdigest(_value(raw).encode("utf-8", "replace"))
+        return out
+
+
+def _sums(code: np.ndarray, size: int) -> np.ndarray:
+    n = max(0, len(code) - size + 1)
+    total, base = np.zeros(n, dtype=np.uint64), np.uint64(_BASE)
     for k in range(size):
         total = total * base + code[k : k + n]
+    return total
+
+
+def _words(code: np.ndarray, size: int) -> np.ndarray:
+    """Tokens that aren't placeholders in each window."""
+    n = max(0, len(code) - size + 1)
+    words = np.zeros(n, dtype=np.int64)
+    for k in range(size):
         words += code[k : k + n] > 3
-    total ^= total >> np.uint64(29)
-    starts = np.flatnonzero(words >= min(LEAST_WORDS, size))
-    return starts, total[starts] + np.uint64(size)
+    return words
 
 
-def _slots(code: np.ndarray, raw: list[str], start: int, size: int) -> list[str]:
-    return [raw[i].strip(_PUNCT).lower() or raw[i] for i in range(start, start + size) if code[i] <= 3]
+def _mixed(total: np.ndarray, size: int) -> np.ndarray:
+    return (total ^ total >> np.uint64(29)) + np.uint64(size)
 
 
-def _windows(df: DataFrame, sizes: list[int] | None, window: int, wanted=None) -> DataFrame:
-    """Rows (id, th, pos, hash, slots, n_windows) of ``df(id, th, text)``; ``sizes`` None: a text under
-    ``window`` tokens is one window.  ``wanted``: a broadcast sorted array of hashes to keep."""
+def _windows(df: DataFrame, sizes: list[tuple[int, bool]] | None, window: int, wanted=None) -> DataFrame:
+    """Rows (id, th, pos, hash, slots, n_windows) of ``df(id, th, text)``, one for each form of a window.  ``sizes``
+    with whether values are wanted (True) or templates; None: a text under ``window`` tokens is one window, by value
+    if it has too few words.  ``wanted``: a broadcast sorted array of hashes to keep."""
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
+        codes, values = Codes(), Values()
         for b in batches:
             row, pos, hashes, slots, total = [], [], [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
-                code, raw = template(text, codes)
-                for size in [min(window, len(code))] if sizes is None else sizes:
+                t = Template(text, codes)
+                own = min(window, len(t.raw))
+                for size, by_value in [(own, t.dense(own))] if sizes is None else sizes:
                     if not size:
                         continue
-                    starts, h = window_hashes(code, size)
-                    n = len(starts)
-                    if wanted is not None and n:
+                    if by_value:
+                        h = t.exact(size, values)
+                        starts, forms = np.arange(len(h)), np.full(len(h), _BY_VALUE)
+                    else:
+                        starts, h, forms = t.windows(size)
+                        if sizes is None:  # the windows that have enough words as they are, whatever else they may be
+                            kept = np.isin(starts, starts[forms == 0])
+                            starts, h, forms = starts[kept], h[kept], forms[kept]
+                    n = len(np.unique(starts)) if sizes is None else 0
+                    if wanted is not None and len(h):
                         near = np.minimum(np.searchsorted(wanted.value, h), len(wanted.value) - 1)
                         hit = wanted.value[near] == h
-                        starts, h = starts[hit], h[hit]
+                        starts, h, forms = starts[hit], h[hit], forms[hit]
                     row += [i] * len(starts)
                     total += [n] * len(starts)
                     pos += starts.tolist()
                     hashes.append(h)
-                    slots += [_slots(code, raw, s, size) for s in starts.tolist()]
+                    slots += [t.slots(s, size, f) for s, f in zip(starts.tolist(), forms.tolist(), strict=True)]
             take = pa.array(row, pa.int64())
             flat = np.concatenate([np.empty(0, dtype=np.uint64), *hashes]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -200,16 +272,18 @@ def _consistent(aligned: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, f"{kinds}, at array<int>")
 
 
-def _windows_sizes(items: DataFrame, window: int) -> list[int]:
-    """Window sizes that the items use: ``window`` and the lengths of shorter ones (at most ``window`` values)."""
+def _windows_sizes(items: DataFrame, window: int) -> list[tuple[int, bool]]:
+    """Window sizes that the items use (``window`` and the lengths of shorter ones) with whether by value: at most
+    ``2 * window`` pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for b in batches:
-            sizes = sorted({min(window, len(template(t, codes)[0])) for t in b.column(2).to_pylist()})
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32())], ["size"])
+            texts = [Template(t, codes) for t in b.column(2).to_pylist()]
+            sizes = sorted({(n := min(window, len(t.raw)), t.dense(n)) for t in texts})
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sizes], pa.int32()), pa.array([x for _, x in sizes], pa.bool_())], ["size", "by_value"])
 
-    return sorted(r["size"] for r in items.mapInArrow(run, "size int").distinct().collect() if r["size"])
+    return sorted((r["size"], r["by_value"]) for r in items.mapInArrow(run, "size int, by_value boolean").distinct().collect() if r["size"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -188,6 +188,17 @@ def test_decontamination_judges_slots_per_window(spark):
     assert decontaminate.agreeing([(0, [("5", "5")]), (1, [("5", "7")]), (2, []), (3, [("3", "5")])]) == [0, 2]
 
 
+def test_decontamination_of_items_dense_in_placeholders_or_after_a_heading(spark):
+    items = [(1, "Compute 12 + 7 - 3 * 5 ="), (2, "12 km 5 kg 3 cm 9 ml 4 hours 7 days 2 dollars 8 cents"), (3, "Name the longest river of this planet"),
+             (4, "Which animal sleeps standing up\nThen say why")]
+    rows = [(1, "Exercise one\nCompute 12 + 7 - 3 * 5 = and go on"), (2, "They got 12 km 5 kg 3 cm 9 ml 4 hours 7 days 2 dollars 8 cents there"),
+            (3, "Geography Quiz\n\nName the longest river of this planet"), (4, "Quiz Which animal sleeps standing up Then say why"),
+            (5, "Compute 12 + 7 - 3 * 6 = and 12 km 5 kg 3 cm"), (6, "a quiz - Name the longest river of this planet"), (7, "name the widest river of this planet")]
+    b = spark.createDataFrame(items, "item_id int, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.report(spark.createDataFrame(rows, "doc_id int, text string"), b).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [3], 7: []}
+
+
 def test_decontamination_finds_planted_items(spark, docs, texts):
     items = [r["text"] for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
     want = {i for i, t in texts.items() if any(x in (t or "") for x in items)}
