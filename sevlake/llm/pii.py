@@ -58,13 +58,13 @@ _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 _PHONE = r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
-_CREDENTIAL = r"\bAKIA[A-Z0-9]{16}\b|(?i:(?<=password=)|(?<=password: )|(?<=token = \")|(?<=token=\")|(?<=token=))[A-Za-z0-9+/_.-]{8,128}"
+_CREDENTIAL = r"\bAKIA[A-Z0-9]{16}\b|(?i:(?<=password=)|(?<=password: )|(?<=token = \")|(?<=token=\")|(?<=token=))[A-Za-z0-9+/_.-]{8,}+"
 _NAME = r"\b(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\b\.?[ \t]{1,3}[^\W\d_a-zа-яα-ω][^\W\d_]{1,40}(?:[ \t-][^\W\d_a-zа-яα-ω][^\W\d_]{1,40}){0,2}"
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in (
     ("email", _EMAIL), ("credential", _CREDENTIAL), ("iban", _IBAN), ("ip", _IP), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE))))
 _NAMES = re.compile(_NAME)
 _TITLE = re.compile("|".join(rf"\b{t}\b" for ts in TITLES.values() for t in ts))
-_HINT = re.compile(r"[@\d]")
+_HINT = re.compile(r"[@\d]|AKIA|(?i:password|token)")  # what each pattern of _FIND needs
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 
 
@@ -124,18 +124,20 @@ class _Stream:
     """Numbers from a keyed hash."""
 
     def __init__(self, key: bytes, *parts):
-        self.key, self.seed, self.n, self.left = key, "\x1f".join(map(str, parts)).encode("utf-8", "replace"), 0, b""
+        self.seeded, self.n, self.left = hmac.new(key, "\x1f".join(map(str, parts)).encode("utf-8", "replace"), hashlib.sha256), 0, b""
 
     def below(self, n: int) -> int:
         if len(self.left) < 4:
-            self.left += hmac.new(self.key, self.seed + self.n.to_bytes(4, "big"), hashlib.sha256).digest()
+            block = self.seeded.copy()
+            block.update(self.n.to_bytes(4, "big"))
+            self.left += block.digest()
             self.n += 1
         x, self.left = int.from_bytes(self.left[:4], "big"), self.left[4:]
         return x % n
 
     def like(self, text: str) -> str:
         """Letters for letters, digits for digits, hexadecimal digits for those; the rest stays."""
-        low, hexa = "abcdefghijklmnopqrstuvwxyz", re.fullmatch(r"[0-9a-f]*\d[0-9a-f]*", text) is not None
+        low, hexa = "abcdefghijklmnopqrstuvwxyz", re.fullmatch(r"[0-9a-f]+", text) is not None and re.search(r"\d", text) is not None
         out = []
         for c in text:
             if hexa:
