@@ -19,6 +19,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,6 +64,10 @@ _NAME = r"\b(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\b\.?[
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in (
     ("email", _EMAIL), ("credential", _CREDENTIAL), ("iban", _IBAN), ("ip", _IP), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE))))
 _NAMES = re.compile(_NAME)
+_LISTED = re.compile(r"\b(" + "|".join(n for ns in GIVEN.values() for n in ns) + r")((?:[ \t]{1,3}|-)[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ \t-][^\W\d_a-zа-яα-ω][^\W\d_]+)?)")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+_GENDER_OF = {n: g for (g, _), ns in GIVEN.items() for n in ns}
 _TITLE = re.compile("|".join(rf"\b{t}\b" for ts in TITLES.values() for t in ts))
 _HINT = re.compile(r"[@\d]|AKIA|(?i:password|token)")  # what each pattern of _FIND needs
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
@@ -100,19 +105,47 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 if kind == "phone" and len(entity) == 11 and entity[0] == "1":
                     entity = entity[1:]  # with or without the country's code
             out.append((m.start(), m.end(), kind, entity))
+    names = _name_mentions(text)
+    if names:
+        starts = [a for a, *_ in out]
+        for mention in names:
+            before = bisect_left(starts, mention[1]) - 1
+            if before < 0 or out[before][1] <= mention[0]:
+                out.append(mention)
+        out.sort()
+    return out
+
+
+def _name_mentions(text: str) -> list[tuple[int, int, str, str]]:
+    """Names after a title, listed given names before a capitalised word, and all other mentions of these words
+    that don't begin with a small letter.  A word that is a given name somewhere in the text is one wherever it has no
+    gender of its own."""
+    found = {}
     if _TITLE.search(text):
-        taken = [(a, b) for a, b, _, _ in out]
         for m in _NAMES.finditer(text):
             title, at = re.match(r"\w+", m.group()).group(), m.start()
-            words = list(re.finditer(r"[^\W\d_]+", m.group()))[1:]
+            words = list(_LETTERS.finditer(m.group()))[1:]
             for i, w in enumerate(words):
-                a, b = at + w.start(), at + w.end()
-                if any(x < b and a < y for x, y in taken):
-                    continue
                 given = len(words) > 1 and i == 0
-                out.append((a, b, f"given_{_gender(title, w.group())}" if given else "surname", w.group().lower()))
-        out.sort()
-    return out
+                found[at + w.start()] = (at + w.end(), f"given_{_gender(title, w.group())}" if given else "surname", w.group().lower())
+    for m in _LISTED.finditer(text):
+        words = list(_LETTERS.finditer(m[2]))
+        if not words[0].group()[0].isupper():
+            continue
+        found.setdefault(m.start(), (m.end(1), f"given_{_GENDER_OF[m[1]]}", m[1].lower()))
+        for w in words:
+            if w.group()[0].isupper():
+                found.setdefault(m.start(2) + w.start(), (m.start(2) + w.end(), "surname", w.group().lower()))
+    if not found:
+        return []
+    kinds: dict[str, str] = {}
+    for _, (_, kind, word) in sorted(found.items()):
+        if kinds.get(word, "surname") == "surname":
+            kinds[word] = kind
+    for w in _WORD.finditer(text):
+        if (word := w.group().lower()) in kinds and not w.group()[0].islower():
+            found.setdefault(w.start(), (w.end(), kinds[word], word))
+    return [(a, b, kinds[word] if kind == "surname" else kind, word) for a, (b, kind, word) in sorted(found.items())]
 
 
 def _gender(title: str, given: str) -> str:
@@ -270,7 +303,9 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts stay null, texts without entities stay as they are, the same
     row gives the same text wherever it stands; a column named ``count_name``
-    is replaced.  The key makes surrogates: keep it secret and keep it."""
+    is replaced.  Names are found after a title, as a listed given name before a
+    capitalised word, and wherever the text repeats the words of such a name;
+    no others.  The key makes surrogates: keep it secret and keep it."""
     small_batches(docs.sparkSession)
     given = assign(materialise(entities(docs, text_col), "pii-entities"), key)
     late = given.where("attempt > 0").select("kind", "entity", "attempt")

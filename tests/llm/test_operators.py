@@ -231,6 +231,17 @@ def test_pii_credentials_without_digits_and_of_any_length():
     assert value[128:] not in new and len(pii.rewrite("password=" + "0a" * 500_000 + "z", {})[0]) == 1_000_010
 
 
+def test_pii_bare_mentions_get_the_surrogate_of_the_name():
+    new, n = pii.rewrite("Mr John Smith came. Smith said SMITH's dog and John left, a smith stayed. Mr John too. Blacksmith John2", {})
+    given, surname = new.split()[1:3]
+    surname = surname.rstrip(".")
+    assert n == 6 and {given, surname}.isdisjoint({"John", "Smith"})
+    assert new == f"Mr {given} {surname} came. {surname} said {surname.upper()}'s dog and {given} left, a smith stayed. Mr {given} too. Blacksmith John2"
+    new, n = pii.rewrite("We saw Anna Weber and Иван Петров. Later Weber met Anna; Петров slept. Write a@weber.test", {})
+    assert n == 8 and not any(x in new for x in ("Anna", "Weber", "weber", "Иван", "Петров"))
+    assert pii.detect("Anna went home, Paul était là, a given name alone") == []
+
+
 def test_pii_collisions_are_resolved(spark):
     def few(kind, entity, attempt, key):
         return f"s{zlib.crc32(entity.encode()) % 3}-{attempt}" if entity != "e0" else ("e1" if attempt == 0 else f"z{attempt}")
