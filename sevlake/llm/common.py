@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """At most ``rows`` rows in an Arrow batch, for jobs that run inside the ``with``."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def part_of(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFrame:
     """A reproducible part of about ``rows`` rows (all, if there are fewer),
     chosen by a hash of ``key``: for fitting and estimating only."""

@@ -139,4 +139,55 @@ SELECT n.doc_id, n.size, r.source_size, r.target,
 FROM n JOIN r ON n.source IS NOT DISTINCT FROM r.source
 """
 
-ORACLE = {"op1_warc_index": OP1, "op5_quality_cascade": OP5, "op6_suffix_dedup": OP6, "op8_mix_sources": OP8}
+# crc32 of a decimal number, byte by byte over t, the table of the reflected polynomial
+_CRC32 = """xor(4294967295, list_reduce(
+         list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+         lambda crc, b: xor(crc >> 8, t[xor(crc & 255, b) + 1])))"""
+
+OP11 = f"""
+WITH crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), turns AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, left(text, 64), digest) AS pos FROM turns
+), convs AS (
+  SELECT c, size, {_CRC32.format("c")} % 6 AS h FROM (SELECT c, count(*) AS size FROM turns GROUP BY c), crc_table
+), plan AS (
+  SELECT a.*, a.c - a.c % 100 AS base, least(a.h, coalesce(b.size, 0)) AS taken FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 100
+), rebuilt AS (
+  SELECT c, pos - h + taken AS d, role, text FROM ranked JOIN plan USING (c) WHERE pos > h
+  UNION ALL
+  SELECT plan.c, pos AS d, role, text FROM plan JOIN ranked ON ranked.c = base WHERE pos <= taken
+), whole AS (
+  SELECT c, coalesce(list({{'role': role, 'text': text}} ORDER BY d) FILTER (d IS NOT NULL), []) AS seq
+  FROM convs LEFT JOIN rebuilt USING (c) GROUP BY c
+), paths AS (
+  SELECT c, d, len(seq) = d AS ends, seq[1:d] AS prefix, CASE WHEN d > 0 THEN length(seq[d].text) ELSE 0 END AS chars
+  FROM whole, LATERAL (SELECT unnest(range(len(seq) + 1)) AS d)
+), named AS (
+  SELECT *, min(c) OVER node AS conv_id, count(*) OVER node AS n_convs, bool_and(ends) OVER node AS leaf FROM paths WINDOW node AS (PARTITION BY prefix)
+), summed AS (
+  -- a node counts once below each of its ancestors: on the path of its least member
+  SELECT *, lag(conv_id) OVER (PARTITION BY c ORDER BY d) AS parent,
+         sum(CASE WHEN c = conv_id AND leaf THEN 1 ELSE 0 END) OVER down AS leaves,
+         sum(CASE WHEN c = conv_id THEN (n_convs - 1) * chars ELSE 0 END) OVER down AS saved
+  FROM named WINDOW down AS (PARTITION BY c ORDER BY d DESC ROWS UNBOUNDED PRECEDING)
+), nodes AS (
+  SELECT conv_id, d AS depth, max(parent) AS parent_conv_id, count(*) AS n_convs, sum(leaves) AS n_leaves, sum(saved) AS saved_tokens,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM summed GROUP BY conv_id, d
+), kids AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM nodes LEFT JOIN kids USING (conv_id, depth)
+"""
+
+ORACLE = {
+    "op1_warc_index": OP1, "op5_quality_cascade": OP5, "op6_suffix_dedup": OP6, "op8_mix_sources": OP8, "op11_prefix_trie": OP11,
+}

@@ -1,11 +1,11 @@
-"""Queries op1 to op10 over the shared tables, with DuckDB SQL where SQL can say it."""
+"""Queries op1 to op13 over the shared tables, with DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sevlake.llm import decontaminate, langid, mixing, pii, quality, secrets, simhash, suffix_dedup, toxicity, warc
+from sevlake.llm import decontaminate, langid, mixing, pii, prefix_trie, quality, secrets, simhash, suffix_dedup, toxicity, warc
 from sevlake.llm.common import crc_mod, materialise
 from sevlake.llm.oracle import ORACLE as ORACLE
 
@@ -64,7 +64,11 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "start", "length", "rule", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_index, op2_pii_surrogates, op3_language_id, op4_simhash, op5_quality_cascade, op6_suffix_dedup, op7_decontaminate, op8_mix_sources, op9_toxicity, op10_secret_scan)
+    for f in (op1_warc_index, op2_pii_surrogates, op3_language_id, op4_simhash, op5_quality_cascade, op6_suffix_dedup, op7_decontaminate, op8_mix_sources, op9_toxicity, op10_secret_scan, op11_prefix_trie)
 }
