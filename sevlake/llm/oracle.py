@@ -188,6 +188,43 @@ SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_chi
 FROM nodes LEFT JOIN kids USING (conv_id, depth)
 """
 
+OP12 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents
+), f AS (
+  SELECT part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)
+), m AS (
+  SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL
+), x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), o AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS filter_order FROM x p, x q, x r, x s, x t
+  WHERE len(list_distinct([p.l, q.l, r.l, s.l, t.l])) = 5
+), step AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS l, ascii(substr(filter_order, step, 1)) - 64 AS k,
+         list_transform(range(step - 1), lambda i: ascii(substr(filter_order, i + 1, 1)) - 64) AS earlier
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)
+), r AS (
+  SELECT part, filter_order, step, l, n, good, toxic, fails[k] AS own,
+         len(list_filter(earlier, lambda j: fails[j])) > 0 AS gone, len(list_filter(fails, lambda z: z)) = 1 AS alone
+  FROM m, step
+), g AS (
+  SELECT part, filter_order, step, l, sum(n) FILTER (NOT gone AND NOT own) AS kept, sum(n) FILTER (NOT gone AND own) AS removed,
+         sum(n) FILTER (gone AND own) AS redundant, sum(n) FILTER (own AND alone) AS unique_fails,
+         sum(good) FILTER (NOT gone AND own) AS good_lost, sum(toxic) FILTER (NOT gone AND own) AS toxic_lost
+  FROM r GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, l), 0)::BIGINT AS shapley
+FROM g
+"""
+
 ORACLE = {
     "op1_warc_index": OP1, "op5_quality_cascade": OP5, "op6_suffix_dedup": OP6, "op8_mix_sources": OP8, "op11_prefix_trie": OP11,
+    "op12_filter_audit": OP12,
 }

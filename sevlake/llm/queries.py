@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sevlake.llm import decontaminate, langid, mixing, pii, prefix_trie, quality, secrets, simhash, suffix_dedup, toxicity, warc
+from sevlake.llm import decontaminate, filter_audit, langid, mixing, pii, prefix_trie, quality, secrets, simhash, suffix_dedup, toxicity, url_templates, warc
 from sevlake.llm.common import crc_mod, materialise
 from sevlake.llm.oracle import ORACLE as ORACLE
 
@@ -68,7 +68,24 @@ def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf, "conversations"))
 
 
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    audited = filter_audit.audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+    return audited.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op13_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """A page is labelled if its path ends in the id of a document with a quality label: good if that is 1."""
+    pages, labels = _table(spark, sf, "pages"), _table(spark, sf, "labels")
+    number = F.regexp_extract(url_templates.split_url(F.col("url"))[1], r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    numbered = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id")).where("doc_id is not null")
+    labelled = numbered.join(labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("good")), "doc_id").select("url", "good")
+    return url_templates.judge(pages, url_templates.rule_table(spark, URL_RULES), labelled)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_index, op2_pii_surrogates, op3_language_id, op4_simhash, op5_quality_cascade, op6_suffix_dedup, op7_decontaminate, op8_mix_sources, op9_toxicity, op10_secret_scan, op11_prefix_trie)
+    for f in (op1_warc_index, op2_pii_surrogates, op3_language_id, op4_simhash, op5_quality_cascade, op6_suffix_dedup, op7_decontaminate, op8_mix_sources, op9_toxicity, op10_secret_scan, op11_prefix_trie, op12_filter_audit, op13_url_filter)
 }
