@@ -8,14 +8,6 @@ engine to be checked against.
 from __future__ import annotations
 
 from sevlake.schema import (
-    CRITICAL_KEYWORDS,
-    DEFAULT_SOURCE_SCORE,
-    DEFAULT_TYPE_SCORE,
-    HIGH_KEYWORDS,
-    KEYWORD_POINTS,
-    LEVEL_THRESHOLDS,
-    MEDIUM_KEYWORDS,
-    OBSERVATION_BUCKETS,
     PY_RULES,
     RuleSet,
 )
@@ -131,12 +123,12 @@ def source_key_sql(source: str) -> str:
 
 def source_score_sql(source: str, rules: RuleSet = PY_RULES) -> str:
     whens = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in rules.source_scores.items())
-    return f"(CASE {source_key_sql(source)} {whens} ELSE {DEFAULT_SOURCE_SCORE} END)"
+    return f"(CASE {source_key_sql(source)} {whens} ELSE {rules.default_source} END)"
 
 
 def type_score_sql(typ: str, rules: RuleSet = PY_RULES) -> str:
-    whens = " ".join(f"WHEN {q(k)} THEN {v[1]}" for k, v in rules.type_scores.items())
-    return f"(CASE coalesce({typ}, '') {whens} ELSE {DEFAULT_TYPE_SCORE[1]} END)"
+    whens = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in rules.type_scores.items())
+    return f"(CASE coalesce({typ}, '') {whens} ELSE {rules.default_type} END)"
 
 
 def contains_any_sql(text: str, words: list[str]) -> str:
@@ -147,9 +139,9 @@ def combined_text_sql(desc: str, tags_list: str) -> str:
     return f"(lower(coalesce({desc}, '')) || ' ' || lower(array_to_string({tags_list}, ' ')))"
 
 
-def level_sql(score: str) -> str:
-    whens = " ".join(f"WHEN {score} >= {t} THEN {q(level)}" for t, level in LEVEL_THRESHOLDS)
-    return f"(CASE {whens} ELSE 'info' END)"
+def level_sql(score: str, rules: RuleSet = PY_RULES) -> str:
+    whens = " ".join(f"WHEN {score} >= {t} THEN {q(level)}" for t, level in rules.levels)
+    return f"(CASE {whens} ELSE {q(rules.lowest_level)} END)"
 
 
 def obs_sql(obs_text: str) -> str:
@@ -173,11 +165,8 @@ def clamp_sql(x: str) -> str:
 
 def score_sql(typ, source, text, obs, conf, rules: RuleSet = PY_RULES) -> str:
     D = "CAST({} AS DOUBLE)".format
-    kw = (
-        f"(CASE WHEN {contains_any_sql(text, CRITICAL_KEYWORDS)} THEN {KEYWORD_POINTS['critical']} "
-        f"WHEN {contains_any_sql(text, HIGH_KEYWORDS)} THEN {KEYWORD_POINTS['high']} "
-        f"WHEN {contains_any_sql(text, MEDIUM_KEYWORDS)} THEN {KEYWORD_POINTS['medium']} ELSE 0 END)"
-    )
+    tiers = " ".join(f"WHEN {contains_any_sql(text, words)} THEN {points}" for _, points, words in rules.keywords)
+    kw = f"(CASE {tiers} ELSE 0 END)"
     given = given_conf_sql(conf, rules)
     s = D("50.0")
     s = f"({s} + ({source_score_sql(source, rules)} - 50) * {D('0.3')})"
@@ -198,8 +187,8 @@ def rule_confidence_sql(source, desc, tags_list, obs, rules: RuleSet = PY_RULES)
     return clamp_sql(round_sql(c, rules))
 
 
-def observation_bucket_sql(obs: str) -> str:
-    whens = " ".join(f"WHEN {obs} >= {t} THEN {q(b)}" for t, b in OBSERVATION_BUCKETS)
+def observation_bucket_sql(obs: str, rules: RuleSet = PY_RULES) -> str:
+    whens = " ".join(f"WHEN {obs} >= {t} THEN {q(b)}" for t, b in rules.buckets)
     return f"(CASE WHEN {obs} IS NULL THEN 'unknown' {whens} ELSE 'single' END)"
 
 
@@ -221,10 +210,8 @@ def classified_cte(src: str, rules: RuleSet = PY_RULES, name: str = "scored") ->
     {rule_confidence_sql('source', 'description', 'tags_list', 'obs', rules)} AS rule_confidence,
     {source_score_sql('source', rules)} AS source_reliability_bucket,
     {type_score_sql('type', rules)} AS type_risk_bucket,
-    {contains_any_sql('ctext', CRITICAL_KEYWORDS)} AS has_critical_keyword,
-    {contains_any_sql('ctext', HIGH_KEYWORDS)} AS has_high_keyword,
-    {contains_any_sql('ctext', MEDIUM_KEYWORDS)} AS has_medium_keyword,
-    {observation_bucket_sql('obs')} AS observation_bucket
+    {", ".join(f"{contains_any_sql('ctext', words)} AS has_{tier}_keyword" for tier, _, words in rules.keywords)},
+    {observation_bucket_sql('obs', rules)} AS observation_bucket
   FROM {name}_1
 )"""
 

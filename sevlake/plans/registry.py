@@ -4,6 +4,7 @@ oracle per operator ID of SURVEY section 2.  Keys are ``<id>_<name>``."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,7 @@ def _py_scored(spark, sf):
 SELECT row_id, CASE WHEN has_critical_keyword THEN 'critical' WHEN has_high_keyword THEN 'high'
   WHEN has_medium_keyword THEN 'medium' ELSE 'none' END AS keyword_tier FROM scored""")
 def c3_keyword_tier(spark, sf):
-    from sevlake.functions.parse import parse_tags
-    v = D.indicator_view(spark, sf)
-    return v.select("row_id", R.keyword_tier(R.combined_text(F.col("description"), parse_tags(F.col("tags")))).alias("keyword_tier"))
+    return R.with_hits(D.indicator_view(spark, sf)).select("row_id", R.keyword_tier(F.col("_hits")).alias("keyword_tier"))
 
 
 @register("j1_severity_score", f"{_PY_SCORED}\nSELECT row_id, severity_score FROM scored")
@@ -119,6 +118,64 @@ def j7_js_rules(spark, sf):
     )
 
 
+#: Rules of a user: one keyword tier more, another score for two sources, other levels.
+_OWN_RULES = replace(
+    PY_RULES, name="own", source_scores={**PY_RULES.source_scores, "unlisted": 20, "otx": 99}, default_type=45,
+    keywords=(*PY_RULES.keywords, ("watch", 3, ("alpha", "operation"))), levels=((80.0, "act"), (55.0, "look")), lowest_level="log",
+)
+_OWN_SCORED = O.with_ctes(O.IND_CTES, O.classified_cte("ind", _OWN_RULES))
+
+
+@register("j5_rules_from_tables", f"""{_OWN_SCORED}
+SELECT row_id, {O.level_sql('severity_score', _OWN_RULES)} AS severity_level, severity_score, confidence_out AS confidence,
+  has_watch_keyword FROM scored""")
+def j5_rules_from_tables(spark, sf):
+    from sevlake.operators.rule_tables import rule_set, rule_tables
+
+    tables = rule_tables(spark, PY_RULES)
+    sources = tables["sources"].where("source is null or source <> 'otx'")
+    tables["sources"] = sources.unionByName(spark.createDataFrame([("unlisted", 20), ("otx", 99)], sources.schema))
+    tables["types"] = tables["types"].withColumn("score", F.when(F.col("type").isNull(), 45).otherwise(F.col("score")))
+    words = spark.createDataFrame([("watch", 9, 3, w) for w in ("operation", "alpha")], tables["keywords"].schema)
+    tables["keywords"] = tables["keywords"].unionByName(words)
+    tables["levels"] = spark.createDataFrame([(None, "log"), (55.0, "look"), (80.0, "act")], tables["levels"].schema)
+    scored = R.classify(D.indicator_view(spark, sf), rule_set(tables), prefix="r_")
+    return scored.select(
+        "row_id", F.col("r_severity_level").alias("severity_level"), F.col("r_severity_score").alias("severity_score"),
+        F.col("r_confidence").alias("confidence"), F.col("r_concepts.has_watch_keyword").alias("has_watch_keyword"),
+    )
+
+
+_ODD_RAW = """
+odd AS (
+  SELECT * REPLACE (CASE WHEN row_id % 11 = 0 THEN '{"source": ' || observedCount || '}' WHEN row_id % 11 = 1 THEN '{"description": true}'
+                         WHEN row_id % 11 = 2 THEN '{"source": false, "type": null}' ELSE raw END AS raw) FROM ind WHERE observedCount <> 'n/a'
+), bad AS (
+  SELECT *, coalesce(json_type(raw, '$.source') IN ('UBIGINT', 'BIGINT') AND json_extract_string(raw, '$.source') <> '0', false)
+            OR coalesce(json_type(raw, '$.description') = 'BOOLEAN', false) AS malformed FROM odd
+)"""
+
+
+@register("j7_error_branch", f"""{O.with_ctes(O.IND_CTES, _ODD_RAW, O.classified_cte("bad", JS_RULES))}
+SELECT row_id, malformed, CASE WHEN malformed THEN 'medium' ELSE {O.level_sql('severity_score')} END AS severity_level,
+  CASE WHEN malformed THEN 50 ELSE severity_score END AS severity_score, CASE WHEN malformed THEN 50.0 ELSE confidence_out END AS confidence
+FROM scored""")
+def j7_error_branch(spark, sf):
+    """Payloads whose source is a number or whose description is a truth value can't be read by the script."""
+    m = F.col("row_id") % 11
+    raw = (
+        F.when(m == 0, F.concat(F.lit('{"source": '), F.col("observedCount"), F.lit("}"))).when(m == 1, F.lit('{"description": true}'))
+        .when(m == 2, F.lit('{"source": false, "type": null}')).otherwise(F.col("raw"))
+    )
+    v = D.indicator_view(spark, sf).where("observedCount <> 'n/a'").withColumn("raw", raw)
+    v = v.withColumn("malformed", R.not_text(F.col("raw"), "source", "description"))
+    scored = R.classify(v, JS_RULES, prefix="r_", malformed=F.col("malformed"))
+    return scored.select(
+        "row_id", "malformed", F.col("r_severity_level").alias("severity_level"), F.col("r_severity_score").alias("severity_score"),
+        F.col("r_confidence").alias("confidence"),
+    )
+
+
 _PARITY_SRC = """
 parity_src AS (
   SELECT row_id, value, CASE WHEN list_contains(json_keys(raw), 'type') THEN json_extract_string(raw, '$.type') ELSE type END AS type,

@@ -111,23 +111,23 @@ JS_SOURCE_SCORES = {
 DEFAULT_SOURCE_SCORE = 50
 
 PY_TYPE_SCORES = {
-    "hash": ("high", 80),
-    "ip": ("medium", 60),
-    "domain": ("medium", 65),
-    "url": ("high", 75),
-    "email": ("medium", 60),
-    "file": ("high", 80),
+    "hash": 80,
+    "ip": 60,
+    "domain": 65,
+    "url": 75,
+    "email": 60,
+    "file": 80,
 }
 JS_TYPE_SCORES = {
-    "hash": ("high", 80),
-    "ip": ("medium", 60),
-    "domain": ("medium", 65),
-    "url": ("high", 75),
-    "cve": ("high", 82),
-    "email": ("medium", 60),
-    "file": ("high", 80),
+    "hash": 80,
+    "ip": 60,
+    "domain": 65,
+    "url": 75,
+    "cve": 82,
+    "email": 60,
+    "file": 80,
 }
-DEFAULT_TYPE_SCORE = ("medium", 50)
+DEFAULT_TYPE_SCORE = 50
 
 CRITICAL_KEYWORDS = [
     "ransomware", "apt", "advanced persistent", "zero-day", "exploit",
@@ -140,6 +140,8 @@ HIGH_KEYWORDS = [
 ]
 MEDIUM_KEYWORDS = ["suspicious", "potentially unwanted", "pua", "pup", "unwanted"]
 
+KEYWORDS = {"critical": CRITICAL_KEYWORDS, "high": HIGH_KEYWORDS, "medium": MEDIUM_KEYWORDS}
+
 # Keyword tier points, score-level thresholds, observation buckets.
 KEYWORD_POINTS = {"critical": 20, "high": 10, "medium": 5}
 LEVEL_THRESHOLDS = [(85, "critical"), (70, "high"), (50, "medium"), (30, "low")]
@@ -150,6 +152,8 @@ OBSERVATION_BUCKETS = [(100, "very-high"), (10, "high"), (2, "multi")]
 class RuleSet:
     """One parameterisation of the rule scorer (J1-J5 and J7 share the code).
 
+    ``keywords``: ``(tier, points, words)``, the first tier that has a word in the text counts.
+    ``levels`` and ``buckets``: ``(least value, name)``, highest first.
     ``rounding``: ``half_even`` (Python) or ``half_up`` (JavaScript).
     ``zero_confidence_is_absent``: JavaScript treats 0 like a missing value.
     """
@@ -161,6 +165,12 @@ class RuleSet:
     obs_factor: float = 2.0
     rounding: str = "half_even"
     zero_confidence_is_absent: bool = False
+    default_source: int = DEFAULT_SOURCE_SCORE
+    default_type: int = DEFAULT_TYPE_SCORE
+    keywords: tuple = tuple((tier, KEYWORD_POINTS[tier], tuple(words)) for tier, words in KEYWORDS.items())
+    levels: tuple = tuple(LEVEL_THRESHOLDS)
+    lowest_level: str = "info"
+    buckets: tuple = tuple(OBSERVATION_BUCKETS)
 
 
 PY_RULES = RuleSet("py", PY_SOURCE_SCORES, PY_TYPE_SCORES, 10.0, 2.0, "half_even", False)
