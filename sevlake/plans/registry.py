@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sevlake.plans import oracle_sql as O
-from sevlake.schema import FEATURE_COLUMNS_NUMERIC, JS_RULES, PY_RULES
+from sevlake.operators.normalize import normalize
+from sevlake.schema import FEATURE_COLUMNS_CATEGORICAL, FEATURE_COLUMNS_NUMERIC, JS_RULES, PY_RULES
 from sevlake.sources import driver_tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1058,13 +1059,65 @@ def k7_logreg_predictions(spark, sf):
     return MO.predictions(model, s.where(F.col("split") == "test"))
 
 
+def _sweep_rows(spark, best, sweep):
+    rows = [(r["c"], r["macro_f1"], r["balanced_accuracy"], r["ece"], r["brier"], r["c"] == best) for r in sweep]
+    return spark.createDataFrame(rows, "c double, macro_f1 double, balanced_accuracy double, ece double, brier double, selected boolean")
+
+
 @register("k8_c_sweep")
 def k8_c_sweep(spark, sf):
     """K8 + G6: C sweep on validation over the tabular features; rows ``(c, macro_f1, balanced_accuracy, ece, brier, selected)``."""
     s = DS.materialize(_feature_split(spark, sf))
     best, sweep = MO.tune_c(s.where(F.col("split") == "train"), s.where(F.col("split") == "validation"), max_iter=1500)
-    rows = [(r["c"], r["macro_f1"], r["balanced_accuracy"], r["ece"], r["brier"], r["c"] == best) for r in sweep]
-    return spark.createDataFrame(rows, "c double, macro_f1 double, balanced_accuracy double, ece double, brier double, selected boolean")
+    return _sweep_rows(spark, best, sweep)
+
+
+def _text_split(spark, sf):
+    """The split feature table with the classifier's text column."""
+    return DS.materialize(_feature_split(spark, sf).select(
+        "row_id", "split", "severity_id", "value", "text_input", *FEATURE_COLUMNS_CATEGORICAL, *[c for c in FEATURE_COLUMNS_NUMERIC]))
+
+
+TEXT_ITERATIONS = 100  # of a fit with text features; the objective hardly moves any more
+
+
+@register("k7_text_predictions")
+def k7_text_predictions(spark, sf):
+    """K1-K5 + K7 + K12 on whole texts: TF-IDF of words and of the value's characters, categories and numbers (variant
+    ``value_char``); C=8, test predictions."""
+    model, table = MO.feature_table(_text_split(spark, sf), variant="value_char")
+    classifier = MO.fit_classifier(table.where(F.col("split") == "train"), 8.0, TEXT_ITERATIONS)
+    return MO.classified(classifier, table.where(F.col("split") == "test"))
+
+
+@register("k8_text_refit")
+def k8_text_refit(spark, sf):
+    """K8 + I1 + G6: the sweep over C with text features, and the test metrics of the chosen C refitted on train and validation."""
+    model, table, best, sweep = MO.sweep_and_refit(_text_split(spark, sf), "default", max_iter=TEXT_ITERATIONS)
+    test = EV.metrics_record(DS.materialize(MO.classified(model.classifier, table.where(F.col("split") == "test"))))
+    refit = F.col("selected")
+    return _sweep_rows(spark, best, sweep).withColumns({f"refit_{m}": F.when(refit, test.select(m).scalar()) for m in ("macro_f1", "ece")})
+
+
+@register("a17_scored_sink")
+def a17_scored_sink(spark, sf):
+    """K21 + K20 + A17: the text classifier fitted on train, saved and loaded; the rows of test as a JSON feed, scanned, scored
+    and written as CSV; what the sink holds."""
+    s = _text_split(spark, sf)
+    model, table = MO.feature_table(s, variant="default")
+    model.classifier = MO.fit_classifier(table.where(F.col("split") == "train"), 8.0, TEXT_ITERATIONS)
+    folder = FI.scratch_path(spark, "scored")
+    MO.save_model(model, f"{folder}/model")
+    test = s.where(F.col("split") == "test").select("row_id")
+    FI.write_json(D.indicator_view(spark, sf).join(test, "row_id"), f"{folder}/feed.json")
+
+    def features(df):
+        norm = DS.materialize(normalize(df))
+        exact, cidr = DS.ip_lists(spark, sf)
+        return EN.augment_features(norm, exact, cidr, DS.phishing(spark, sf))
+
+    MO.score_to_sink(f"{folder}/feed.json", MO.load_model(f"{folder}/model"), features, f"{folder}/scores", f"{folder}/rejected", "csv")
+    return spark.read.option("header", True).schema("row_id long, label string, max_probability double").csv(f"{folder}/scores")
 
 
 # ---------------------------------------------------------------------------

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from sevlake.functions.ip import int_to_ipv4, ipv4_to_int, is_ipv4, prefix_mask
 from sevlake.functions.parse import strip_ws
 from sevlake.functions.urls import strip_dots
+from sevlake.operators.ranking import global_position
 from sevlake.schema import PHISHING_SCHEMA
+from sevlake.sources.files import has_open_quotes
 
 EXACT_SCHEMA = "ip string"
 CIDR_SCHEMA = "network string, network_int bigint, prefix_len int, line_no bigint"
@@ -33,12 +35,15 @@ def _read_or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
 
 
 def read_ip_lines(spark: SparkSession, path: str | None) -> DataFrame:
-    """Text lines of an IP list with a line order key; no path or a path that
-    isn't there -> empty."""
+    """Text lines of an IP list with a line order key: files in order of their
+    paths, the blocks of a file in their order, the lines of a block in theirs.
+    No path or a path that isn't there -> empty."""
     lines = _read_or_none(lambda: spark.read.text(path)) if path else None
     if lines is None:
         return spark.createDataFrame([], "line_no long, line string")
-    return lines.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    place = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    # a block is read by one task, which numbers its lines upwards
+    return global_position(place, ["path", "block", "at"], "line_no").select("line_no", F.col("value").alias("line"))
 
 
 def parse_ip_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,8 +77,11 @@ def parse_ip_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_phishing(spark: SparkSession, path: str | None) -> DataFrame:
     """A7 scan; no path or a path that isn't there -> empty table with the schema."""
-    reader = spark.read.schema(PHISHING_SCHEMA).option("header", True).option("multiLine", True).option("escape", '"')
-    raw = _read_or_none(lambda: reader.csv(path)) if path else None
+    def read() -> DataFrame:
+        reader = spark.read.schema(PHISHING_SCHEMA).option("header", True).option("escape", '"')
+        return reader.option("multiLine", has_open_quotes(spark, path)).csv(path)
+
+    raw = _read_or_none(read) if path else None
     return normalize_phishing(spark.createDataFrame([], PHISHING_SCHEMA) if raw is None else raw)
 
 

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from sevlake.plans.registry import ORACLE, QUERIES
+from sevlake.schema import SEVERITY_ORDER
 from tests.conftest import SF_SMALL
 from tools.check_oracle import canon, duck_con
 
@@ -26,8 +27,15 @@ def _temperature(rows):
     assert len(rows) == 1 and 0.05 <= r["temperature"] <= 5 and 0 <= r["ece"] <= 1 and 0 <= r["brier"] <= 2
 
 
+def _scores(rows):
+    assert rows["row_id"].is_unique and set(rows["label"]) <= set(SEVERITY_ORDER) and rows["max_probability"].between(1 / 3, 1).all()
+
+
 #: What must hold of iterative fits, which have no SQL.
-PROPERTIES = {"k7_logreg_predictions": _shares, "k8_c_sweep": _sweep, "k15_calibration_report": _temperature}
+PROPERTIES = {
+    "k7_logreg_predictions": _shares, "k7_text_predictions": _shares, "k8_c_sweep": _sweep, "k8_text_refit": _sweep,
+    "k15_calibration_report": _temperature, "a17_scored_sink": _scores,
+}
 
 
 @pytest.fixture(scope="module")

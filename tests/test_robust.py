@@ -70,3 +70,39 @@ def test_sample_plan_has_no_constant_group(spark):
     plan = SA.balanced_sample(df, 10)._jdf.queryExecution().executedPlan().toString()
     assert "_g#" not in plan and "SinglePartition" not in plan
     assert SA.balanced_sample(df, 10).count() == 10 and SA.strata_sample(df, 7).count() == 7 and SA.proportional_sample(df, 9).count() == 9
+
+
+def test_lines_of_lists_are_in_the_order_of_files_and_blocks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n".join(f"10.{i // 250}.{i % 250}.0/24" for i in range(2000)))
+    (tmp_path / "b.txt").write_text("10.0.0.0/30\n172.16.0.0/12\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = sidecars.read_ip_lines(spark, str(tmp_path))
+        got = [r["line"] for r in lines.orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [line for f in ("a.txt", "b.txt") for line in (tmp_path / f).read_text().split()]
+    _, cidr = sidecars.parse_ip_lines(lines)
+    first = cidr.where("network = '10.0.0.0'").collect()
+    assert [(r["line_no"], r["prefix_len"]) for r in first] == [(0, 30)]  # the first place, the last prefix
+
+
+def test_csv_is_split_unless_quotes_span_lines(spark, tmp_path):
+    names = [f.name for f in files.INDICATOR_SCHEMA.fields]
+    row = dict.fromkeys(names, "x")
+    body = "".join(",".join({**row, "value": f'"v ""{i}"""'}.values()) + "\n" for i in range(500))
+    plain, spanning = tmp_path / "plain.csv", tmp_path / "spanning.csv"
+    plain.write_text(",".join(names) + "\n" + body + "short,row\n")
+    spanning.write_text(",".join(names) + "\n" + ",".join({**row, "value": '"two\nlines"'}.values()) + "\n")
+    assert not files.has_open_quotes(spark, str(plain)) and files.has_open_quotes(spark, str(spanning))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert files.load_indicators(spark, str(plain)).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    good, bad = files.load_with_rejects(spark, str(plain))
+    assert good.count() == 500 and [r["record"] for r in bad.collect()] == ["short,row"]
+    assert sorted(r["value"] for r in good.collect())[0] == 'v "0"'
+    assert [r["value"] for r in files.load_indicators(spark, str(spanning)).collect()] == ["two\nlines"]
