@@ -73,3 +73,12 @@ def sample_weights(df: DataFrame, label_col: str = "y_true", strategy: str = "in
     )
     j = df.join(F.broadcast(w), F.col(label_col).cast("int") == F.col("_cid"), "left").drop("_cid")
     return j.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0.0)))
+
+
+def dense_labels(df: DataFrame, label: str, k: int = 1000) -> DataFrame:
+    """``(class_id, dense_id)``, the classes that occur numbered from 0 in their order; joined on ``dense_id`` it is the
+    way back.  Null is no class.  Over ``k`` classes are refused: the numbering is one task's."""
+    present = df.where(F.col(label).isNotNull()).select(F.col(label).alias("class_id")).distinct()
+    listed = present.limit(k + 1).agg(F.array_sort(F.collect_set("class_id")).alias("ids"))
+    checked = F.when(F.size("ids") <= k, F.col("ids")).otherwise(F.raise_error(F.lit(f"{label} has over {k} classes")).cast(listed.schema["ids"].dataType))
+    return listed.select(F.posexplode(checked).alias("dense_id", "class_id")).select("class_id", "dense_id")

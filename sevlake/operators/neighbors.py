@@ -60,6 +60,65 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 20, block_rows: int =
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _projected(dim: int, tables: int, projections: int, bucket_length: float, seed: int):
+    """Bucket of a vector in each table: ``projections`` random directions, cut into steps of ``bucket_length``, make one key."""
+    rng = np.random.default_rng(seed)
+    directions = rng.normal(size=(dim, tables * projections))
+    directions /= np.linalg.norm(directions, axis=0)
+    shift = rng.random(tables * projections) * bucket_length
+
+    @F.pandas_udf("array<bigint>")
+    def keys(vectors: pd.Series) -> pd.Series:
+        steps = np.floor((np.stack(vectors.to_numpy()).astype(np.float64) @ directions + shift) / bucket_length).astype(np.int64)
+        steps = steps.reshape(len(vectors), tables, projections)
+        key = np.zeros(steps.shape[:2], np.int64)
+        for p in range(projections):
+            key = key * 1_000_003 + steps[:, :, p]  # wraps around
+        return pd.Series(list(key))
+
+    return keys
+
+
+def approximate_knn_join(
+    queries: DataFrame, base: DataFrame, k: int = 20, tables: int = 8, projections: int = 2, bucket_length: float = 0.25,
+    block_rows: int = 2048, seed: int = 7, id_col: str = "id", vec_col: str = "vec",
+) -> DataFrame:
+    """Up to ``k`` near base rows for every query, ``(query_id, base_id, distance, rank)``, by an index of random
+    projections: rows meet where they share a bucket in one of the ``tables``, and are ranked there by their exact squared L2
+    distance (ties -> smaller base id).
+
+    A bucket meets in blocks of at most about ``block_rows`` rows a side, of which each gives at most ``k`` rows per query: a
+    bucket of any size is dealt over many tasks and never becomes rows of all its pairs.  More tables and longer buckets find
+    more and read more; fewer projections too.  Null vectors ask and answer nothing.
+    """
+    def indexed(df: DataFrame) -> DataFrame:
+        rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+        return rows.select("id", "vec", F.posexplode(keys("vec")).alias("lsh", "bucket"))
+
+    first = base.where(F.col(vec_col).isNotNull()).select(F.size(vec_col)).first()
+    if first is None:
+        return base.sparkSession.createDataFrame([], PAIR_SCHEMA + ", rank int")
+    keys = _projected(first[0], tables, projections, bucket_length, seed)
+    q, b = indexed(queries), indexed(base)
+    slot = ["lsh", "bucket"]
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*slot).agg(F.ceil(F.count("id") / block_rows).cast("int").alias(name))
+
+    # buckets that both sides have, with the number of their blocks
+    plan = blocks(q, "nq").join(blocks(b, "nb"), slot).checkpoint()
+
+    def dealt(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        rows = df.join(plan, slot).withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_n)))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))).select(*slot, F.col("qb").cast("int"), F.col("bb").cast("int"), "id", "vec")
+
+    meet = [*slot, "qb", "bb"]
+    found = dealt(q, "qb", "nq", "bb", "nb").groupBy(*meet).cogroup(dealt(b, "bb", "nb", "qb", "nq").groupBy(*meet)).applyInPandas(_block_topk(k), PAIR_SCHEMA)
+    once = found.groupBy("query_id", "base_id").agg(F.min("distance").alias("distance"))
+    w = Window.partitionBy("query_id").orderBy("distance", "base_id")
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def neighbor_features(pairs: DataFrame, base_labels: DataFrame, label_col: str = "label_name",
                       score_col: str = "score", labels=("medium", "high", "critical")) -> DataFrame:
     """Per query, mean distance, mean neighbour score and the share of

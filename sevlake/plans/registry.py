@@ -901,14 +901,15 @@ def b24_align_proba(spark, sf):
     return _r9(al.select("row_id", *[F.element_at("al", i + 1).alias(f"a{i}") for i in range(3)]))
 
 
-@register("k11_dense_relabel", f"""{_PRED}
-SELECT y_true AS class_id, CAST(dense_rank() OVER (ORDER BY y_true) - 1 AS INTEGER) AS dense_id FROM (SELECT DISTINCT y_true FROM preds WHERE y_true <> 1)""")
+@register("k11_dense_relabel", f"""{_PRED},
+gap AS (SELECT row_id, 5 * y_true + 1 AS class_id FROM preds)
+SELECT row_id, class_id, CAST(dense_rank() OVER (ORDER BY class_id) - 1 AS INTEGER) AS dense_id, class_id AS back FROM gap""")
 def k11_dense_relabel(spark, sf):
-    """Present classes (class 1 removed to make a gap) -> dense ids; the
-    per-class table has at most ``num_classes`` rows."""
-    from pyspark.sql import Window as W
-    present = _preds(spark, sf).where(F.col("y_true") != 1).select(F.col("y_true").alias("class_id")).distinct()
-    return present.withColumn("dense_id", (F.dense_rank().over(W.orderBy("class_id")) - 1).cast("int"))
+    """Classes with gaps -> dense ids for the fit, and back."""
+    rows = _preds(spark, sf).select("row_id", (5 * F.col("y_true") + 1).alias("class_id"))
+    ids = DS.materialize(BA.dense_labels(rows, "class_id"))
+    dense = rows.join(ids, "class_id")
+    return dense.join(ids.withColumnRenamed("class_id", "back"), "dense_id").select("row_id", "class_id", "dense_id", "back")
 
 
 _GRID = CA.linspace(0.05, 5.0, 41)
@@ -934,9 +935,11 @@ def k14_apply_temperature(spark, sf):
 
 @register("k15_calibration_report")
 def k15_calibration_report(spark, sf):
-    """Fitted temperature with ECE/Brier before and after (no SQL form: the
-    fit is an iterative search)."""
-    return _r9(CA.calibration_report(_preds(spark, sf)))
+    """Temperature fitted on the rows of ``validation`` (every third by id), ECE and Brier of the others before and after (no
+    SQL form: the fit is an iterative search)."""
+    p = DS.materialize(_preds(spark, sf))
+    held = F.col("row_id") % 3 == 0
+    return _r9(CA.calibration_report(p.where(~held), p.where(held)))
 
 
 # ---------------------------------------------------------------------------
@@ -1032,6 +1035,14 @@ def k16_neighbor_features(spark, sf):
                     *[F.round(c, 9).alias(c) for c in ["knn_mean_teacher_score", "knn_medium_ratio", "knn_high_ratio", "knn_critical_ratio"]])
 
 
+@register("k16_approximate_neighbors")
+def k16_approximate_neighbors(spark, sf):
+    """K16 by a locality-sensitive index with exact distances in the buckets; no SQL form, recall is measured against d9."""
+    q, b = _knn_inputs(spark, sf)
+    pairs = NB.approximate_knn_join(q, b, k=20)
+    return pairs.select("query_id", "base_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 @register("k18_mean_pool", """WITH t AS (
   SELECT vec_id % 50 AS id, embedding AS vec FROM embeddings WHERE label % 4 <> 0
 ), d AS (SELECT id, CAST(i - 1 AS INTEGER) AS dim, CAST(vec[i] AS DOUBLE) AS x FROM t, range(1, 65) r(i))
