@@ -55,6 +55,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 20, block_rows: int =
     nb = max(1, math.ceil(b.count() / block_rows))
     qx = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     bx = b.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    # both sides must have the same key types: a cogroup deals each side by its own hash and doesn't cast
+    qx, bx = (x.withColumns({c: F.col(c).cast("int") for c in ("qb", "bb")}) for x in (qx, bx))
     cand = qx.groupBy("qb", "bb").cogroup(bx.groupBy("qb", "bb")).applyInPandas(_block_topk(k), PAIR_SCHEMA)
     w = Window.partitionBy("query_id").orderBy("distance", "base_id")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -80,7 +82,7 @@ def _projected(dim: int, tables: int, projections: int, bucket_length: float, se
 
 
 def approximate_knn_join(
-    queries: DataFrame, base: DataFrame, k: int = 20, tables: int = 8, projections: int = 2, bucket_length: float = 0.25,
+    queries: DataFrame, base: DataFrame, k: int = 20, tables: int = 16, projections: int = 2, bucket_length: float = 0.18,
     block_rows: int = 2048, seed: int = 7, id_col: str = "id", vec_col: str = "vec",
 ) -> DataFrame:
     """Up to ``k`` near base rows for every query, ``(query_id, base_id, distance, rank)``, by an index of random

@@ -40,3 +40,16 @@ def test_repeated_null_and_no_rows(spark):
     got = pairs(NB.approximate_knn_join(df, df, k=2))
     assert got[1, 1] == (0.0, 1) and got[1, 2] == (0.0, 2) and not any(3 in p for p in got)
     assert NB.approximate_knn_join(df, df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("join", [NB.knn_join, NB.approximate_knn_join])
+def test_blocks_meet_over_many_partitions(spark, join):
+    """With every block pair in a partition of its own, nothing is lost: each row is its own nearest."""
+    rng = np.random.default_rng(6)
+    df = table(spark, rng.normal(size=(300, 8)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = pairs(join(df, df, k=3, block_rows=40))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert all(got[i, i] == (0.0, 1) for i in range(300)) and len(got) == 900 if join is NB.knn_join else all((i, i) in got for i in range(300))
