@@ -1024,7 +1024,10 @@ SELECT query_id, round(avg(distance), 6) AS knn_mean_distance, round(avg(kb.labe
   round(avg(CAST(kb.label % 3 = 2 AS DOUBLE)), 9) AS knn_critical_ratio
 FROM knn JOIN kb ON knn.base_id = kb.id GROUP BY query_id""")
 def k16_neighbor_features(spark, sf):
-    q, b = _knn_inputs(spark, sf)
+    return _neighbor_features(*_knn_inputs(spark, sf))
+
+
+def _neighbor_features(q, b):
     pairs = NB.knn_join(q, b, k=20, block_rows=256)
     labels = b.select(
         "id", F.col("label").cast("double").alias("score"),
@@ -1035,6 +1038,29 @@ def k16_neighbor_features(spark, sf):
                     *[F.round(c, 9).alias(c) for c in ["knn_mean_teacher_score", "knn_medium_ratio", "knn_high_ratio", "knn_critical_ratio"]])
 
 
+_FEATS_SQL = ORACLE["k16_neighbor_features"].split("SELECT query_id, round(avg(distance), 6)", 1)[1]
+
+
+@register("d6_hybrid_matrix", f"""{O.with_ctes(O.IND_CTES, O.NORM_CTE)}, {_KNN_SRC.strip()},
+nf AS (SELECT query_id, round(avg(distance), 6){_FEATS_SQL})
+SELECT row_id, severity_id, type, source, round(list_sum(list_transform(kq.vec, lambda x: CAST(x AS DOUBLE))), 5) AS vector_sum, {", ".join(f"nf.{c}" for c in ["knn_mean_distance", "knn_mean_teacher_score", "knn_medium_ratio", "knn_high_ratio", "knn_critical_ratio"])}
+FROM norm JOIN kq ON kq.id = row_id % (SELECT count(*) FROM embeddings) JOIN nf ON nf.query_id = kq.id""")
+def d6_hybrid_matrix(spark, sf):
+    """D6 + K6 + C6: rows, their vector (that of ``row_id`` modulo the number of vectors) and its neighbour features, aligned."""
+    from pyspark.ml.functions import vector_to_array
+
+    from sevlake.operators import hybrid as H
+
+    q, b = _knn_inputs(spark, sf)
+    rows = DS.materialize(DS.normalized_view(spark, sf).select("row_id", "severity_id", "type", "source"))
+    places = rows.select("row_id", (F.col("row_id") % q.select(F.count(F.lit(1))).scalar()).alias("id"))
+    vectors = places.join(q.select("id", "vec"), "id").select("row_id", "vec")
+    near = DS.materialize(_neighbor_features(q, b)).withColumnRenamed("query_id", "id")
+    matrix = H.hybrid_rows(rows, vectors, places.join(near, "id").drop("id"), aligned=True)
+    total = F.aggregate(vector_to_array("embedding_vector"), F.lit(0.0), lambda a, x: a + x)
+    return matrix.select("row_id", "severity_id", "type", "source", F.round(total, 5).alias("vector_sum"), *H.NEIGHBOR_COLUMNS)
+
+
 @register("k16_approximate_neighbors")
 def k16_approximate_neighbors(spark, sf):
     """K16 by a locality-sensitive index with exact distances in the buckets; no SQL form, recall is measured against d9."""

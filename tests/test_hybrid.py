@@ -34,3 +34,22 @@ def test_absent_class(spark):
     rows = H.hybrid_rows(*tables(spark, 30)).where("severity_id < 2")
     got = H.predict_trees(H.train_trees(rows, rounds=1, depth=2), rows).collect()
     assert all(r["proba"][2] == 0 for r in got)
+
+
+def test_aligned_tables_fail_at_a_missing_row(spark):
+    tab, vec, nb = tables(spark, 20)
+    whole = vec.unionByName(spark.createDataFrame([(5, [1.0, 1.0])], vec.schema))
+    assert H.hybrid_rows(tab, whole, nb, aligned=True).count() == 20
+    with pytest.raises(Exception, match="row 5 is missing in the vectors"):
+        H.hybrid_rows(tab, vec, nb, aligned=True).count()
+    with pytest.raises(Exception, match="row 3 is missing in the rows and the neighbour features"):
+        H.hybrid_rows(tab.where("row_id <> 3"), whole, nb.where("row_id <> 3"), aligned=True).select("severity_id").collect()
+
+
+def test_history_of_the_rounds(spark):
+    rows = H.hybrid_rows(*tables(spark, 60)).checkpoint()
+    fitted = H.train_trees(rows.where("row_id < 40"), rounds=3, depth=2)
+    got = H.tree_history(fitted, train=rows.where("row_id < 40"), test=rows.where("row_id >= 40")).collect()
+    assert {(r["split"], r["class_id"], r["round"]) for r in got} == {(s, c, i) for s in ("train", "test") for c in range(3) for i in range(3)}
+    loss = {(r["split"], r["class_id"], r["round"]): r["loss"] for r in got}
+    assert all(loss["train", c, 2] < loss["train", c, 0] for c in range(3))
