@@ -412,7 +412,7 @@ FROM norm"""
 
 
 def _audit_inputs(spark, sf):
-    norm = DS.materialize(DS.normalized_view(spark, sf))
+    norm = DS.materialize(AU.audit_view(DS.normalized_view(spark, sf)))
     exact, cidr = DS.ip_lists(spark, sf, norm)
     return norm, exact, cidr, DS.phishing(spark, sf)
 
