@@ -47,8 +47,6 @@ def find(text: str | None) -> list[tuple[int, str, str, str, str]]:
         group = "value" if m["assigned"] else m.lastgroup
         a, b = m.span(group)
         rule = "assigned" if m["assigned"] else m.lastgroup
-        if rule == "token" and b - a > 200 and text.count(text[a], a, b) == b - a:
-            continue  # a filler line: one character over and over
         out.append((a, rule, text[a:b], text[max(0, a - 40) : a], text[b : b + 40]))
     return out
 

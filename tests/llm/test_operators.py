@@ -323,9 +323,19 @@ def test_odd_and_empty_tables_give_a_row_per_row(odd, spark, call):
     assert call(odd.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [200, 201])
+def test_filler_of_any_length_is_a_candidate(spark, n):
+    df = spark.createDataFrame([(1, "a " + "z" * n)], "doc_id int, text string")
+    assert [(r["start"], r["length"]) for r in secrets.findings(df, path_col=None).collect()] == [(2, n)]
+
+
 def test_odd_secrets_and_pages(odd, spark):
-    assert secrets.findings(odd).where("id = 5").count() == 0 and secrets.findings(odd.limit(0)).count() == 0
-    assert secrets.verdicts(secrets.findings(odd), None).count() >= 0
+    found = secrets.findings(odd).cache()
+    # a run of one character is a candidate like any other, whole, and its entropy and letters let the forest reject it
+    assert [(r["start"], r["length"], r["entropy"]) for r in found.where("id = 5").collect()] == [(0, 5000, 0.0)]
+    assert secrets.weak_labels(found).where("id = 5").first()["label"] == 0 and secrets.findings(odd.limit(0)).count() == 0
+    assert {r["score"] for r in secrets.verdicts(found, None).collect()} == {1.0}
+    assert {r["score"] for r in secrets.verdicts(found, 0.0).collect()} == {0.0}
     assert warc.archive_and_read(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
