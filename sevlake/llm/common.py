@@ -18,11 +18,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/sevlake-llm/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared folder and read it
-    back.  Survives lost executors, and gives Spark the table's true size, so
+@contextmanager
+def working_folder(spark: SparkSession, name: str):
+    """A fresh shared folder, deleted on leaving the ``with``: for tables that nothing reads afterwards."""
+    path = scratch(spark, name)
+    try:
+        yield path
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, underlined until no column has it in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet to the shared folder (or to ``folder``
+    in it) and read it back.  Survives lost executors, and gives Spark the table's true size, so
     a join with it is broadcast only if it is below the threshold."""
-    path = scratch(df.sparkSession, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

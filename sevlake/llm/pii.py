@@ -2,15 +2,18 @@
 
 Detected entities get replacements made with a keyed hash: the same entity gets
 the same surrogate in every document (coreference), of the same type and form
-(digits stay digits and separators stay, card numbers keep their check digit,
-e-mail addresses and IPv4 addresses stay valid, names keep gender, script and
-letter case).
+(digits stay digits, long hexadecimal tokens stay hexadecimal, separators stay,
+valid card numbers and IBANs get valid check digits, e-mail addresses and IPv4
+addresses stay valid, names keep gender, script and letter case).
 
 Distinctness is checked over all entities of the corpus: no two entities share
-a surrogate, and no surrogate is an entity that occurs.  Entities that fail are
-given their next candidate until none fails.  Texts are then rewritten where
-they lie: only the exceptions (entities beyond their first candidate) have to
-reach the texts, as a broadcast if they are few and by a join otherwise.
+a surrogate, and no surrogate is an entity that occurs; given names and surnames
+are one pool.  Entities that fail are given their next candidate until none
+fails.  Texts are then rewritten where they lie: only the exceptions (entities
+beyond their first candidate) have to reach the texts, as a broadcast if they are
+few and by a join otherwise.  Both carry keyed hashes of the entities; the tables
+of the rounds, which hold entities in clear, are deleted before the texts are
+rewritten.
 """
 
 from __future__ import annotations
@@ -25,13 +28,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
-from sevlake.llm.common import materialise, small_batches
+from sevlake.llm.common import free_name, materialise, small_batches, working_folder
 
-KEY = b"public demonstration key"
 BROADCAST_EXCEPTIONS = 100_000
 
+#: Words that make a preceding given name part of a place or institution.
+PLACES = frozenset("""street road avenue lane square park hill bridge university college school hospital church airport
+    station institute museum hall straße strasse platz allee""".split())
+#: Words that announce a card number, in whatever case.
+CARD_WORDS = "card visa mastercard amex credit carte karte tarjeta".split()
 #: Titles before names by gender, common given names by gender and script.
 TITLES = {
     "m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "Господин", "κύριος", "Κύριος"],
@@ -61,8 +68,11 @@ _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 _PHONE = r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
 _CREDENTIAL = r"\bAKIA[A-Z0-9]{16}\b|(?i:(?<=password=)|(?<=password: )|(?<=token = \")|(?<=token=\")|(?<=token=))[A-Za-z0-9+/_.-]{8,}+"
 _NAME = r"\b(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\b\.?[ \t]{1,3}[^\W\d_a-zа-яα-ω][^\W\d_]{1,40}(?:[ \t-][^\W\d_a-zа-яα-ω][^\W\d_]{1,40}){0,2}"
-_FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in (
-    ("email", _EMAIL), ("credential", _CREDENTIAL), ("iban", _IBAN), ("ip", _IP), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE))))
+_PATTERNS = {"email": _EMAIL, "credential": _CREDENTIAL, "iban": _IBAN, "ip": _IP, "ssn": _SSN, "card": _CARD, "phone": _PHONE}
+_FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
+_NOT_CARD = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items() if k != "card"))
+_CARD_WORD = re.compile(rf"(?i)\b(?:{'|'.join(CARD_WORDS)})\b")
+_HEX = re.compile(r"(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,}")
 _NAMES = re.compile(_NAME)
 _LISTED = re.compile(r"\b(" + "|".join(n for ns in GIVEN.values() for n in ns) + r")((?:[ \t]{1,3}|-)[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ \t-][^\W\d_a-zа-яα-ω][^\W\d_]+)?)")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -78,6 +88,46 @@ def luhn_ok(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_ok(iban: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def _card_in(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The card number in a run of digits: the whole run if its check digit is right or one of ``CARD_WORDS`` stands in the
+    40 characters before it, else the first, longest sequence of its groups of three digits or more that has a right one."""
+    if luhn_ok(re.sub(r"\D", "", text[start:end])):
+        return start, end
+    groups = [m.span() for m in re.finditer(r"\d+", text[start:end])]
+    for i in range(len(groups)):
+        for j in range(len(groups), i + 1, -1):
+            part = text[start + groups[i][0] : start + groups[j - 1][1]]
+            digits = re.sub(r"\D", "", part)
+            if len(digits) >= 13 and min(b - a for a, b in groups[i:j]) >= 3 and luhn_ok(digits):
+                return start + groups[i][0], start + groups[j - 1][1]
+    return (start, end) if _CARD_WORD.search(text[max(0, start - 40) : start]) else None
+
+
+def _mentions(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of what ``_FIND`` finds, with card numbers as :func:`_card_in` has them; a run of digits
+    without one may hold other kinds."""
+    at = 0
+    while m := _FIND.search(text, at):
+        start, at = m.span()
+        if m.lastgroup != "card":
+            yield start, at, m.lastgroup
+            continue
+        card, run_end = _card_in(text, start, at), at
+        if card:
+            yield *card, "card"
+            at = card[1]
+            continue
+        # no other kind that begins in the run goes on for longer than this
+        while (n := _NOT_CARD.search(text, start, run_end + 64)) and n.start() < run_end:
+            yield *n.span(), n.lastgroup
+            start = n.end()
+        at = max(at, start)
+
+
 def script_of(word: str) -> str:
     for c in word:
         if c.isalpha():
@@ -92,8 +142,8 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text:
         return out
     if _HINT.search(text):
-        for m in _FIND.finditer(text):
-            kind, raw = m.lastgroup, m.group()
+        for start, end, kind in _mentions(text):
+            raw = text[start:end]
             if kind == "email":
                 entity = raw.lower()
             elif kind in ("ip", "credential"):
@@ -104,7 +154,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 entity = re.sub(r"\D", "", raw)
                 if kind == "phone" and len(entity) == 11 and entity[0] == "1":
                     entity = entity[1:]  # with or without the country's code
-            out.append((m.start(), m.end(), kind, entity))
+            out.append((start, end, kind, entity))
     names = _name_mentions(text)
     if names:
         starts = [a for a, *_ in out]
@@ -130,7 +180,7 @@ def _name_mentions(text: str) -> list[tuple[int, int, str, str]]:
                 found[at + w.start()] = (at + w.end(), f"given_{_gender(title, w.group())}" if given else "surname", w.group().lower())
     for m in _LISTED.finditer(text):
         words = list(_LETTERS.finditer(m[2]))
-        if not words[0].group()[0].isupper():
+        if not words[0].group()[0].isupper() or words[0].group().lower() in PLACES:
             continue
         found.setdefault(m.start(), (m.end(1), f"given_{_GENDER_OF[m[1]]}", m[1].lower()))
         for w in words:
@@ -169,8 +219,8 @@ class _Stream:
         return x % n
 
     def like(self, text: str) -> str:
-        """Letters for letters, digits for digits, hexadecimal digits for those; the rest stays."""
-        low, hexa = "abcdefghijklmnopqrstuvwxyz", re.fullmatch(r"[0-9a-f]+", text) is not None and re.search(r"\d", text) is not None
+        """Letters for letters, digits for digits, and hexadecimal digits for tokens of 16 or more that have both; the rest stays."""
+        low, hexa = "abcdefghijklmnopqrstuvwxyz", _HEX.fullmatch(text) is not None
         out = []
         for c in text:
             if hexa:
@@ -185,7 +235,7 @@ class _Stream:
         return "".join(out)
 
 
-def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY) -> str:
+def surrogate(kind: str, entity: str, attempt: int, key: bytes) -> str:
     """The entity's candidate number ``attempt``, in the form of :func:`detect`.  Later candidates of short
     forms are longer, so that there is always a free one."""
     s = _Stream(key, kind, entity, attempt)
@@ -198,8 +248,12 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY) -> str:
         return s.like(local) + "".join(str(s.below(10)) for _ in range(longer)) + "@" + stem + ".example"
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
-    if kind in ("credential", "iban"):
-        keep = 4 if entity.startswith("AKIA") or kind == "iban" else 0
+    if kind == "iban":
+        land, body = entity[:2], s.like(entity[4:])
+        check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+        return f"{land}{check:02d}{body}" if iban_ok(entity) else land + s.like(entity[2:4]) + body
+    if kind == "credential":
+        keep = 4 if entity.startswith("AKIA") else 0
         return entity[:keep] + s.like(entity[keep:])
     if kind == "card":
         body = entity[0] + "".join(str(s.below(10)) for _ in entity[1:-1])
@@ -251,14 +305,21 @@ def _dressed(raw: str, entity: str, made: str, kind: str) -> str:
     return made
 
 
-def rewrite(text: str | None, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str | None, int]:
-    """The text with surrogates, and the number of mentions.  Null stays null."""
+def _tag(kind: str, entity: str, key: bytes) -> str:
+    """The keyed hash that stands for an entity in tables and broadcasts."""
+    return hmac.new(key, f"entity\x1f{kind}\x1f{entity}".encode("utf-8", "replace"), hashlib.sha256).hexdigest()
+
+
+def rewrite(text: str | None, attempts: dict[str, int], key: bytes) -> tuple[str | None, int]:
+    """The text with surrogates, and the number of mentions; ``attempts``: the candidate in use by :func:`_tag`,
+    where it isn't the first.  Null stays null."""
     found = detect(text)
     if not found:
         return text, 0
     out, at = [], 0
     for a, b, kind, entity in found:
-        out += [text[at:a], _dressed(text[a:b], entity, surrogate(kind, entity, attempts.get((kind, entity), 0), key), kind)]
+        attempt = attempts.get(_tag(kind, entity, key), 0) if attempts else 0
+        out += [text[at:a], _dressed(text[a:b], entity, surrogate(kind, entity, attempt, key), kind)]
         at = b
     return "".join([*out, text[at:]]), len(found)
 
@@ -275,9 +336,11 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "kind string, entity string").distinct()
 
 
-def assign(found: DataFrame, key: bytes = KEY, make=surrogate) -> DataFrame:
-    """``(kind, entity, attempt, made)`` such that no two entities of a kind share
-    a surrogate and none is itself an entity found."""
+def assign(found: DataFrame, key: bytes, make=surrogate, folder: str | None = None) -> DataFrame:
+    """``(kind, entity, attempt, made)`` such that no two entities of a pool share
+    a surrogate and none is itself an entity found there.  A pool is a kind, or all
+    kinds of names.  The tables of the rounds are written in ``folder`` (none: left
+    under the checkpoint folder) and hold the entities in clear."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,30 +348,46 @@ def assign(found: DataFrame, key: bytes = KEY, make=surrogate) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], ["kind", "entity", "attempt", "made"])
 
     schema = "kind string, entity string, attempt int, made string"
-    state = materialise(found.select("kind", "entity", F.lit(0).alias("attempt")).mapInArrow(run, schema), "pii")
+    named = F.col("kind").startswith("given_") | (F.col("kind") == "surname")
+    state = materialise(found.select("kind", "entity", F.lit(0).alias("attempt")).mapInArrow(run, schema), "pii", folder)
     while True:
+        pooled = state.withColumn("pool", F.when(named, "name").otherwise(F.col("kind")))
         # the one that has a surrogate longest keeps it; ties by order
-        keeper = state.groupBy("kind", "made").agg(F.max(F.struct("attempt", "entity")).alias("keeper"), F.count("entity").alias("n")).where("n > 1")
-        shared = state.join(keeper.drop("n"), ["kind", "made"]).where("entity <> keeper.entity").select("kind", "entity")
-        real = state.join(state.select("kind", F.col("entity").alias("made")), ["kind", "made"], "left_semi").select("kind", "entity")
-        bad = materialise(shared.unionByName(real).distinct(), "pii-bad")
+        keeper = pooled.groupBy("pool", "made").agg(F.max(F.struct("attempt", "entity", "kind")).alias("keeper"), F.count("entity").alias("n")).where("n > 1")
+        shared = pooled.join(keeper.drop("n"), ["pool", "made"]).where("entity <> keeper.entity or kind <> keeper.kind").select("kind", "entity")
+        real = pooled.join(pooled.select("pool", F.col("entity").alias("made")), ["pool", "made"], "left_semi").select("kind", "entity")
+        bad = materialise(shared.unionByName(real).distinct(), "pii-bad", folder)
         if bad.isEmpty():
             return state
         again = state.join(bad, ["kind", "entity"], "left_semi").select("kind", "entity", (F.col("attempt") + 1).cast("int").alias("attempt"))
-        state = materialise(state.join(bad, ["kind", "entity"], "left_anti").unionByName(again.mapInArrow(run, schema)), "pii")
+        state = materialise(state.join(bad, ["kind", "entity"], "left_anti").unionByName(again.mapInArrow(run, schema)), "pii", folder)
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY, count_name: str = "n_entities") -> DataFrame:
+def _tagged(rows: DataFrame, key: bytes) -> DataFrame:
+    """``rows`` (other columns, kind, entity) with :func:`_tag` in place of the last two."""
+    *others, _, _ = rows.schema.fields
+    schema = StructType(others).add("tag", StringType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *cols, kinds, found = b.columns
+            tags = [_tag(k, e, key) for k, e in zip(kinds.to_pylist(), found.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(tags, pa.string())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", count_name: str = "n_entities") -> DataFrame:
     """``docs`` with surrogates in ``text_col`` and ``count_name`` (mentions replaced) added.
 
     Null texts stay null, texts without entities stay as they are, the same
     row gives the same text wherever it stands; a column named ``count_name``
-    is replaced.  Names are found after a title, as a listed given name before a
-    capitalised word, and wherever the text repeats the words of such a name;
-    no others.  The key makes surrogates: keep it secret and keep it."""
-    small_batches(docs.sparkSession)
-    given = assign(materialise(entities(docs, text_col), "pii-entities"), key)
-    late = given.where("attempt > 0").select("kind", "entity", "attempt")
+    is replaced, other columns of whatever names stay.  Names are found after a
+    title, as a listed given name before a capitalised word that isn't one of
+    ``PLACES``, and wherever the text repeats the words of such a name; no others.
+    Whoever has the key can test guesses of the entities: keep it secret and keep it."""
+    spark = docs.sparkSession
+    small_batches(spark)
     kept = docs.select(*[c for c in docs.columns if c != count_name])
     schema = StructType([*kept.schema.fields]).add(count_name, IntegerType())
     at, width, names = kept.columns.index(text_col), len(kept.columns), schema.names
@@ -318,24 +397,29 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for b in batches:
                 tables = b.column(b.num_columns - 1).to_pylist() if attempts is None else None
                 texts = b.column(at).to_pylist()
-                made = [rewrite(t, attempts.value if tables is None else {(x["kind"], x["entity"]): x["attempt"] for x in tables[i] or ()}, key) for i, t in enumerate(texts)]
+                made = [rewrite(t, attempts.value if tables is None else {x["tag"]: x["attempt"] for x in tables[i] or ()}, key) for i, t in enumerate(texts)]
                 cols = list(b.columns[:width])
                 cols[at] = pa.array([t for t, _ in made], pa.string())
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in made], pa.int32())], names)
 
         return run
 
-    if late.count() <= BROADCAST_EXCEPTIONS:
-        shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in late.collect()})
-        return kept.mapInArrow(rewriter(shared), schema)
+    with working_folder(spark, "pii") as folder:
+        given = assign(materialise(entities(docs, text_col), "entities", folder), key, folder=folder)
+        late = _tagged(given.where("attempt > 0").select("attempt", "kind", "entity"), key)
+        few = given.where("attempt > 0").count() <= BROADCAST_EXCEPTIONS
+        late = late.collect() if few else materialise(late, "pii-late")
+    if few:
+        return kept.mapInArrow(rewriter(spark.sparkContext.broadcast({r["tag"]: r["attempt"] for r in late})), schema)
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = sorted({(h, k, e) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for _, _, k, e in detect(t)})
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), *(pa.array([x[i] for x in found], pa.string()) for i in (1, 2))], ["th", "kind", "entity"])
+            found = sorted({(h, _tag(k, e, key)) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for _, _, k, e in detect(t)})
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], ["th", "tag"])
 
     # a text's exceptions, by the hash of the text: what a table has beyond the text's own entities does nothing
-    per_text = docs.select(F.xxhash64(text_col).alias("th"), text_col).mapInArrow(mentions, "th bigint, kind string, entity string").distinct()
-    tables = materialise(per_text.join(late, ["kind", "entity"]).groupBy("th").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_late")), "pii-late")
-    joined = kept.withColumn("_th", F.xxhash64(text_col)).join(tables, F.col("_th") == F.col("th"), "left").select(*kept.columns, "_late")
+    per_text = docs.select(F.xxhash64(text_col).alias("th"), text_col).mapInArrow(mentions, "th bigint, tag string").distinct()
+    here, there, table = (free_name(kept.columns, x) for x in ("here", "there", "late"))
+    tables = materialise(per_text.join(late, "tag").groupBy(F.col("th").alias(there)).agg(F.collect_list(F.struct("tag", "attempt")).alias(table)), "pii-late")
+    joined = kept.withColumn(here, F.xxhash64(text_col)).join(tables, F.col(here) == F.col(there), "left").select(*kept.columns, table)
     return joined.mapInArrow(rewriter(None), schema)

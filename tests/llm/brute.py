@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 from xxhash import xxh64_intdigest
 
+from sevlake.llm import pii
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -80,3 +82,28 @@ def targets(sizes: dict) -> dict:
         if not over:
             return capped | share
         capped |= over
+
+
+def surrogates(texts: dict, key: bytes):
+    """Collision rounds of operator 2 over a dictionary, and texts rewritten mention by mention."""
+    pool = lambda kind: "name" if kind.startswith("given_") or kind == "surname" else kind
+    found = {i: pii.detect(t) for i, t in texts.items()}
+    attempts = {(k, e): 0 for mentions in found.values() for *_, k, e in mentions}
+    real = {(pool(k), e) for k, e in attempts}
+    while True:
+        made = {(k, e): pii.surrogate(k, e, n, key) for (k, e), n in attempts.items()}
+        owners: dict = {}
+        for (k, e), m in made.items():
+            owners.setdefault((pool(k), m), []).append((attempts[k, e], e, k))
+        bad = [(k, e) for (k, e), m in made.items() if (pool(k), m) in real or max(owners[pool(k), m]) != (attempts[k, e], e, k)]
+        if not bad:
+            break
+        for x in bad:
+            attempts[x] += 1
+    out = {}
+    for i, t in texts.items():
+        new = t
+        for a, b, k, e in reversed(found[i]):
+            new = new[:a] + pii._dressed(t[a:b], e, made[k, e], k) + new[b:]
+        out[i] = (new, len(found[i]))
+    return made, out
