@@ -26,15 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from sevlake.llm.common import materialise, part_of, small_batches
+from sevlake.llm.common import materialise, small_batches
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
 FIT_DOCS = 10_000  # labelled documents to learn from, at most about so many
+FIT_LANGUAGE = 500  # and of a rare language this many, or all it has
 ROUNDS = 2
 SMOOTHING = 0.05
+_DRAWS = 10**15
 _RUNS = re.compile(r"[^\W\d_]+")
-_LONG = 40  # longer words are scored with rescaling
+_LONG = 40  # longer words are summed one by one, in a range that can't underflow
 _CACHE, _CHUNK, _ROWS = 100_000, 5_000, 250  # words kept, words scored at once, texts in a batch
 
 
@@ -163,9 +165,11 @@ class Lattice:
         return total + np.log(window[len(word) + 1])
 
     def expected(self, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """Expected piece counts, pieces x languages; counts: words x languages.  Words over the
-        vectorised length don't teach."""
+        """Expected piece counts, pieces x languages; counts: words x languages."""
         out = np.zeros_like(probs)
+        for i, w in enumerate(words):
+            if len(w) > _LONG:
+                self._add_long(out, w, counts[i], probs)
         keep = [i for i, w in enumerate(words) if len(w) <= _LONG]
         for k in range(0, len(keep), _CHUNK):
             part = keep[k : k + _CHUNK]
@@ -179,6 +183,23 @@ class Lattice:
                 out[:, lang] += np.bincount(piece, weights=weight[:, lang], minlength=len(out))
         return out
 
+    def _add_long(self, out: np.ndarray, word: str, counts: np.ndarray, probs: np.ndarray) -> None:
+        """Adds what :meth:`expected` says of one word of any length, by logarithms."""
+        _, start, end, piece = self.arrays([word]).T
+        logs, n = np.log(probs[piece]), len(word) + 1
+        ahead, behind = np.zeros((2, n + 1, probs.shape[1]))
+
+        def add_up(into, at, other, places):
+            by = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[by], np.arange(n + 2))
+            for p in places:
+                k = by[cuts[p] : cuts[p + 1]]
+                into[p] = np.logaddexp.reduce(into[other[k]] + logs[k], axis=0)
+
+        add_up(ahead, end, start, range(1, n + 1))
+        add_up(behind, start, end, range(n - 1, -1, -1))
+        np.add.at(out, piece, np.exp(ahead[start] + logs + behind[end] - ahead[n]) * counts)
+
 
 @dataclass
 class LanguageModel:
@@ -244,17 +265,25 @@ def _word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 def fit(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    pieces_path: str = PIECES, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS,
+    pieces_path: str = PIECES, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS, fit_language: int = FIT_LANGUAGE,
 ) -> LanguageModel:
     """Learn from the rows with a language; over ``fit_docs`` of them, a part of
-    about that many, chosen by a hash of the id, teaches.  Rows without text or
-    language teach nothing; no labelled row: a model without languages."""
+    about that many, chosen by a hash of the id, teaches, and of a language that
+    has few about ``fit_language`` (all, if it has no more).  The shares of the
+    languages are those of all rows.  Words of any length teach.  Rows without text
+    or language teach nothing; no labelled row: a model without languages."""
     small_batches(labelled.sparkSession, _ROWS)
     pieces = load_pieces(pieces_path)
-    chosen = part_of(labelled.where(F.col(lang_col).isNotNull()), id_col, fit_docs).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
-    )
-    shares = sorted((r["lang"], r["n"]) for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
+    named = labelled.where(F.col(lang_col).isNotNull())
+    # a row a language
+    shares = sorted((r["lang"], r["n"]) for r in named.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect())
+    rows = sum(n for _, n in shares)
+    chosen = named.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(11)).alias("draw"))
+    if rows > fit_docs:
+        part = {lang: max(fit_docs / rows, min(1, fit_language / n)) for lang, n in shares}
+        quota = F.create_map(*[F.lit(x) for lang, share in part.items() for x in (lang, round(share * _DRAWS))])
+        chosen = chosen.where(F.pmod("draw", F.lit(_DRAWS)) < quota[F.col("lang")])
+    chosen = chosen.select("text", "lang")
     langs = [x for x, _ in shares]
     prior = np.log(np.array([n for _, n in shares], dtype=float) / max(1, sum(n for _, n in shares)))
     probs = np.full((len(pieces), len(langs)), 1 / len(pieces))

@@ -157,6 +157,30 @@ def test_language_forward_sums_all_segmentations():
     assert got[2] == pytest.approx((0.15 * 0.2 * 0.3 + 0.2 * 0.3) / want)
 
 
+def test_language_words_of_any_length_teach(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pieces = langid.load_pieces()
+    lattice = langid.Lattice(pieces)
+    probs = rng.dirichlet(np.ones(len(pieces)), 2).T
+    words, counts = ["banana", "straßenbahn", "ж", "unüblichkeiten"], rng.integers(1, 5, (4, 2)).astype(float)
+    want = lattice.expected(words, counts, probs)
+    monkeypatch.setattr(langid, "_LONG", 0)
+    np.testing.assert_allclose(lattice.expected(words, counts, probs), want, atol=1e-12)
+    # pieces of a word cover its letters and its mark, also where a plain product would underflow
+    long = "donaudampfschiff" * 500
+    got = lattice.expected([long], np.ones((1, 2)), probs)
+    sizes = np.array([max(1, len(p)) for p in pieces])
+    np.testing.assert_allclose(sizes @ got, len(long) + 1)
+
+
+def test_language_long_words_and_rare_languages_are_learned(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(400)] + [(1000 + i, "donaudampfschiff" * 4, "de") for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = langid.fit(d, fit_docs=20, fit_language=3)
+    assert model.langs == ["de", "en"] and np.exp(model.prior) == pytest.approx([3 / 403, 400 / 403])
+    assert model.predict(["donaudampfschiff" * 4, "the cat"])[0] == ["de", "en"]
+
+
 def test_language_held_out(spark, docs):
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
     got = QUERIES["op3_language_id"](spark, SF_SMALL).collect()
