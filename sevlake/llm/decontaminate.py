@@ -3,8 +3,11 @@
 Tokens of benchmark items and documents become a template: numbers, units and
 names turn into typed placeholders, other words are lower-cased and stripped of
 punctuation.  Windows of the template are hash-joined, so a question matches
-also with other numbers and names.  An item without a window of enough words has
-its windows matched by their exact values instead.  A word in title case that may
+also with other numbers and names.  An item without a window of enough words, one
+dense in placeholders, has longer windows: the first of a ladder of sizes at which
+one has enough words, or else the largest that it fills; these need one word.  Only
+items under ``DENSE_TOKENS`` tokens with too few words, and items without a word, are matched
+by their exact values instead.  A word in title case that may
 begin a sentence (after a line end, or first in a window) is tried as a word, too.
 The slots of the windows of one alignment
 are then checked: the value of the document that an item's value mostly stands
@@ -30,6 +33,7 @@ from sevlake.llm.common import materialise, small_batches
 WINDOW = 8  # template tokens
 COVER = 0.5  # least share of an item's windows
 LEAST_WORDS = 4  # tokens of a window that aren't placeholders
+DENSE_TOKENS = 5  # least tokens of a template of fewer words
 BROADCAST_WINDOWS = 1_000_000  # 8 MB of hashes; beyond, the windows are joined unfiltered
 
 #: Common units and number words.
@@ -49,6 +53,7 @@ _PUNCT = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B,
 _NUM, _UNIT, _NAME, _BASE = 1, 2, 3, 0x9E3779B97F4A7C15
 _EXACT, _BY_VALUE = 0x5851F42D4C957F2D, 4  # mark of hashes by value, and their form
 _CACHE = 500_000
+_PLAIN, _VALUES, _DENSE = 0, 1, 2  # how an item's windows match: templates, values, templates of few words
 
 
 class Codes(dict):
@@ -96,19 +101,19 @@ class Template:
         self.differs = name & after_line
         self.loose = np.where(self.differs, self.word, self.code) if self.differs.any() else self.code
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, hashes and forms of the windows of ``size`` tokens with enough words; form 0 is the strict one,
-        1 with its first token as a word, 2 and 3 the same of ``loose``."""
+    def windows(self, size: int, how: int = _PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, hashes and forms of the windows of ``size`` tokens with enough words (``_DENSE``: one); form 0 is the
+        strict one, 1 with its first token as a word, 2 and 3 the same of ``loose``."""
+        least = 1 if how == _DENSE else min(LEAST_WORDS, size)
         sums, words = _sums(self.code, size), _words(self.code, size)
-        found = [self._forms(sums, words, self.code, size, 0)]
+        found = [self._forms(sums, words, self.code, size, least, 0)]
         if len(sums) and self.loose is not self.code:
             near = np.append(0, np.cumsum(self.differs))
             near = near[size:] > near[:-size]
-            found.append(self._forms(_sums(self.loose, size), np.where(near, _words(self.loose, size), -1), self.loose, size, 2))
+            found.append(self._forms(_sums(self.loose, size), np.where(near, _words(self.loose, size), -1), self.loose, size, least, 2))
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
-    def _forms(self, sums, words, code, size, form):
-        least = min(LEAST_WORDS, size)
+    def _forms(self, sums, words, code, size, least, form):
         plain = np.flatnonzero(words >= least)
         first = np.flatnonzero((words + 1 >= least) & (words >= 0) & (code[: len(sums)] != self.word[: len(sums)]))
         weight = np.uint64(pow(_BASE, size - 1, 1 << 64))
@@ -119,10 +124,20 @@ class Template:
         """Hashes of the values of all windows of ``size`` tokens."""
         return _mixed(_sums(np.array([values[t] for t in self.raw], dtype=np.uint64), size), size) ^ np.uint64(_EXACT)
 
-    def dense(self, size: int) -> bool:
-        """Whether there are windows and none has enough words."""
-        words = _words(self.code, size)
-        return len(words) > 0 and int(words.max()) < min(LEAST_WORDS, size)
+    def kind(self, window: int) -> tuple[int, int]:
+        """Size of the windows of an item and how they match."""
+        size = min(window, len(self.raw))
+        if size == 0 or int(_words(self.code, size).max()) >= min(LEAST_WORDS, size):
+            return size, _PLAIN
+        if len(self.raw) < DENSE_TOKENS or not (self.code > 3).any():
+            return size, _VALUES
+        grown = size
+        while (more := _longer(grown)) <= len(self.raw) and size == window:
+            grown = more
+            if int(_words(self.code, grown).max()) >= LEAST_WORDS:
+                break
+        # the windows of a size cover all tokens, so one at least has a word
+        return grown, _DENSE
 
     def slots(self, start: int, size: int, form: int) -> list[str]:
         if form == _BY_VALUE:
@@ -131,6 +146,11 @@ class Template:
         return [_value(self.raw[i]) for i in range(start + (form & 1), start + size) if code[i] <= 3]
 
 
+def _longer(size: int) -> int:
+    """The next size of the ladder: a quarter more, so that items of all lengths have few sizes."""
+    return size + max(1, size // 4)
+
+
 def _value(raw: str) -> str:
     return raw.strip(_PUNCT).lower() or raw
 
@@ -147,15 +167,26 @@ class Values(dict):
 
 def _sums(code: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(code) - size + 1)
+    if n and size > 4 * WINDOW:  # in time that doesn't grow with the size
+        back = _powers(pow(_BASE, -1, 1 << 64), len(code))
+        upto = np.append(np.uint64(0), np.cumsum(code * back, dtype=np.uint64))
+        return (upto[size:] - upto[:-size]) * _powers(_BASE, len(code))[size - 1 :]
     total, base = np.zeros(n, dtype=np.uint64), np.uint64(_BASE)
     for k in range(size):
         total = total * base + code[k : k + n]
     return total
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, dtype=np.uint64)), dtype=np.uint64)
+
+
 def _words(code: np.ndarray, size: int) -> np.ndarray:
     """Tokens that aren't placeholders in each window."""
     n = max(0, len(code) - size + 1)
+    if n and size > 4 * WINDOW:
+        upto = np.append(0, np.cumsum(code > 3))
+        return upto[size:] - upto[:-size]
     words = np.zeros(n, dtype=np.int64)
     for k in range(size):
         words += code[k : k + n] > 3
@@ -166,10 +197,9 @@ def _mixed(total: np.ndarray, size: int) -> np.ndarray:
     return (total ^ total >> np.uint64(29)) + np.uint64(size)
 
 
-def _windows(df: DataFrame, sizes: list[tuple[int, bool]] | None, window: int, wanted=None) -> DataFrame:
+def _windows(df: DataFrame, sizes: list[tuple[int, int]] | None, window: int, wanted=None) -> DataFrame:
     """Rows (id, th, pos, hash, slots, n_windows) of ``df(id, th, text)``, one for each form of a window.  ``sizes``
-    with whether values are wanted (True) or templates; None: a text under ``window`` tokens is one window, by value
-    if it has too few words.  ``wanted``: a broadcast sorted array of hashes to keep."""
+    with how the windows match; None: of each text as :meth:`Template.kind` says.  ``wanted``: a broadcast sorted array of hashes to keep."""
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,15 +208,14 @@ def _windows(df: DataFrame, sizes: list[tuple[int, bool]] | None, window: int, w
             row, pos, hashes, slots, total = [], [], [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 t = Template(text, codes)
-                own = min(window, len(t.raw))
-                for size, by_value in [(own, t.dense(own))] if sizes is None else sizes:
+                for size, how in [t.kind(window)] if sizes is None else sizes:
                     if not size:
                         continue
-                    if by_value:
+                    if how == _VALUES:
                         h = t.exact(size, values)
                         starts, forms = np.arange(len(h)), np.full(len(h), _BY_VALUE)
                     else:
-                        starts, h, forms = t.windows(size)
+                        starts, h, forms = t.windows(size, how)
                         if sizes is None:  # the windows that have enough words as they are, whatever else they may be
                             kept = np.isin(starts, starts[forms == 0])
                             starts, h, forms = starts[kept], h[kept], forms[kept]
@@ -272,18 +301,17 @@ def _consistent(aligned: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, f"{kinds}, at array<int>")
 
 
-def _windows_sizes(items: DataFrame, window: int) -> list[tuple[int, bool]]:
-    """Window sizes that the items use (``window`` and the lengths of shorter ones) with whether by value: at most
-    ``2 * window`` pairs."""
+def _windows_sizes(items: DataFrame, window: int) -> list[tuple[int, int]]:
+    """Window sizes that the items use with how they match: ``window``, the lengths of shorter items, and sizes of the
+    ladder up to the longest item dense in placeholders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for b in batches:
-            texts = [Template(t, codes) for t in b.column(2).to_pylist()]
-            sizes = sorted({(n := min(window, len(t.raw)), t.dense(n)) for t in texts})
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sizes], pa.int32()), pa.array([x for _, x in sizes], pa.bool_())], ["size", "by_value"])
+            kinds = sorted({Template(t, codes).kind(window) for t in b.column(2).to_pylist()})
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kinds], pa.int32()) for i in (0, 1)], ["size", "how"])
 
-    return sorted((r["size"], r["by_value"]) for r in items.mapInArrow(run, "size int, by_value boolean").distinct().collect() if r["size"])
+    return sorted((r["size"], r["how"]) for r in items.mapInArrow(run, "size int, how int").distinct().collect() if r["size"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

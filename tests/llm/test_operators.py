@@ -223,7 +223,29 @@ def test_decontamination_of_items_dense_in_placeholders_or_after_a_heading(spark
             (5, "Compute 12 + 7 - 3 * 6 = and 12 km 5 kg 3 cm"), (6, "a quiz - Name the longest river of this planet"), (7, "name the widest river of this planet")]
     b = spark.createDataFrame(items, "item_id int, text string")
     got = {r["doc_id"]: r["item_ids"] for r in decontaminate.report(spark.createDataFrame(rows, "doc_id int, text string"), b).collect()}
-    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [3], 7: []}
+    # 5: the first item with another number; the second has no word, so its own numbers are asked for
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [1], 6: [3], 7: []}
+
+
+def test_decontamination_of_dense_items_with_other_numbers(spark):
+    table = lambda at, n: " ".join(str(at + 7 * k) for k in range(n))
+    items = [(1, "Compute 12 + 7 - 3 * 5"), (2, f"Sum the list {table(10, 60)} now"), (3, "page 5"), (4, f"Solve {table(3, 9)} for the least one of all"), (5, table(2, 12))]
+    rows = [(1, "please Compute 30 + 4 - 9 * 2 today"), (2, f"so sum the list {table(1000, 60)} now and"), (3, "see page 7"), (4, f"Solve {table(100, 9)} for the least one of all"),
+            (5, f"{table(500, 70)}"), (6, "Compute 30 + 4"), (7, "see page 5"), (8, f"x {table(2, 12)} y"), (9, "Compute 8 + 8 - 9 * 2")]
+    b = spark.createDataFrame(items, "item_id int, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.report(spark.createDataFrame(rows, "doc_id int, text string"), b).collect()}
+    # 9: one value can't stand for two of the item's
+    assert got == {1: [1], 2: [2], 3: [], 4: [4], 5: [], 6: [], 7: [3], 8: [5], 9: []}
+
+
+@pytest.mark.parametrize("size", [8, 33, 50, 77])
+def test_decontamination_window_hashes(size):
+    code = np.random.default_rng(size).integers(1, 1 << 61, 77).astype(np.uint64)
+    code[::3] = 1
+    want = [sum(int(c) * pow(decontaminate._BASE, size - 1 - k, 1 << 64) for k, c in enumerate(code[i : i + size])) % (1 << 64) for i in range(78 - size)]
+    assert decontaminate._sums(code, size).tolist() == want
+    assert decontaminate._words(code, size).tolist() == [int((code[i : i + size] > 3).sum()) for i in range(78 - size)]
+    assert len(decontaminate._sums(code, 78)) == len(decontaminate._words(code, 78)) == 0
 
 
 def test_decontamination_finds_planted_items(spark, docs, texts):
