@@ -62,8 +62,10 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
-    found = materialise(secrets.findings(_table(spark, sf, "documents")), "findings")
-    judged = secrets.verdicts(found, secrets.fit(secrets.weak_labels(found)))
+    docs = _table(spark, sf, "documents")
+    trans = secrets.transitions(docs)
+    labelled = materialise(secrets.planted_findings(docs, trans=trans), "planted")
+    judged = secrets.verdicts(secrets.findings(docs, trans=trans), secrets.fit(labelled))
     return judged.select(F.col("id").alias("doc_id"), "start", "length", "rule", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
 
 

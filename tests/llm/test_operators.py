@@ -411,6 +411,35 @@ def test_secret_scan(spark):
     assert all(text[i][r["start"] : r["start"] + r["length"]] == r["candidate"] for i, r in got.items())
 
 
+def test_secrets_are_told_from_planted_findings_held_out(spark, docs):
+    """Documents of another part of the table: at least 0.9 of the secrets found, at least 0.9 of the found are secrets,
+    also among the strings of one shape, where only the words and path around them tell."""
+    trans = secrets.transitions(docs)
+    planted = secrets.planted_findings(docs, trans=trans).withColumn("held_out", F.crc32(F.col("id").cast("string")) % 4 == 0).cache()
+    assert dict(planted.dtypes)["id"] == dict(docs.dtypes)["doc_id"] and planted.count() > 1000
+    got = secrets.verdicts(planted.where("held_out"), secrets.fit(planted.where("not held_out"))).select("candidate", "label", "is_secret").collect()
+    assert 0.4 < sum(r["label"] for r in got) / len(got) < 0.65
+    for rows in (got, [r for r in got if len(r["candidate"]) in (32, 40, 64) and set(r["candidate"]) <= set("0123456789abcdef")]):
+        hit = sum(r["label"] and r["is_secret"] for r in rows)
+        assert hit >= 0.9 * sum(r["label"] for r in rows) and hit >= 0.9 * sum(r["is_secret"] for r in rows)
+
+
+def test_planted_findings_of_odd_tables(spark, odd):
+    planted = secrets.planted_findings(odd)
+    assert planted.count() > 20 and {r[0] for r in planted.select("id").distinct().collect()} <= {r[0] for r in ODD if r[1]}
+    assert secrets.planted_findings(odd.limit(0)).count() == 0 and secrets.fit(secrets.planted_findings(odd.limit(0))) is None
+    assert sorted(planted.select("start", "candidate", "label").collect()) == sorted(secrets.planted_findings(odd).select("start", "candidate", "label").collect())
+
+
+def test_private_keys_and_passwords_of_urls_are_candidates(spark):
+    body = "\n" + "\n".join(hashlib.sha512(bytes([i])).hexdigest()[:64] for i in range(5)) + "\n"
+    user = "u" * 300
+    rows = [(1, f"-----BEGIN RSA PRIVATE KEY-----{body}-----END RSA PRIVATE KEY-----"), (2, f"see postgres://{user}:hunter2x@db/x and http://host:8080/a"),
+            (3, "-----BEGIN PRIVATE KEY-----" * 3 + "abc")]
+    found = secrets.findings(spark.createDataFrame(rows, "doc_id int, text string"), path_col=None).collect()
+    assert [(r["id"], r["rule"], r["candidate"]) for r in found if r["rule"] != "token"] == [(1, "pem", body), (2, "url", "hunter2x")]
+
+
 @pytest.mark.parametrize("n", [201, 5000])
 def test_secrets_of_any_length_are_whole(spark, n):
     value = (hashlib.sha512(b"v").hexdigest() * 40)[:n]
