@@ -396,7 +396,19 @@ def test_toxicity_does_not_learn_identity_terms(spark):
         toxicity.FAIRNESS = old
         gap[weight] = abs(m.score("the muslim person") - m.score("the christian person"))
         assert m.score(f"they are {bad}") > 0.7
-    assert gap[50.0] <= gap[0.0]
+    assert gap[50.0] < gap[0.0]
+
+
+def test_swap_penalty_closes_the_gap_that_labels_teach(spark, monkeypatch):
+    """Labels that follow the group alone: without the penalty the score does too."""
+    rows = [(i, f"the {'muslim' if i % 2 else 'christian'} person came today number w{i}", int((i % 2 == 1) == (i % 10 < 8))) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, y int")
+    gap = {}
+    for weight in (0.0, 50.0):
+        monkeypatch.setattr(toxicity, "FAIRNESS", weight)
+        m = toxicity.fit(d, d.select("doc_id", F.col("y").alias("toxic")))
+        gap[weight] = m.score("the muslim person came") - m.score("the christian person came")
+    assert gap[0.0] > 0.3 and abs(gap[50.0]) < 0.25 * gap[0.0], gap
 
 
 def test_secret_scan(spark):
