@@ -1,7 +1,10 @@
 """The approximate neighbours against the exact ones."""
 
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sevlake.operators import neighbors as NB
 from sevlake.plans.registry import QUERIES
@@ -53,3 +56,24 @@ def test_blocks_meet_over_many_partitions(spark, join):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert all(got[i, i] == (0.0, 1) for i in range(300)) and len(got) == 900 if join is NB.knn_join else all((i, i) in got for i in range(300))
+
+
+def test_a_row_is_sent_to_few_blocks(spark):
+    """The blocks grow with the rows, up to a bound: each row is sent as often as the other side has blocks."""
+    df = spark.range(6000).select("id", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.hash("id", i) / 2.0**31).alias("vec"))
+    joined = NB.knn_join(df, df, k=1)
+    assert re.findall(r"sequence\(0, (\d+)", joined._jdf.queryExecution().analyzed().toString()) == ["7", "7"]
+    assert joined.where("query_id = base_id and rank = 1").count() == 6000
+
+
+def test_copies_rank_by_id_and_distances_are_exact():
+    """Equal vectors tie, wherever they stand in their block; a small distance between long vectors isn't lost in rounding."""
+    rng = np.random.default_rng(8)
+    b = np.concatenate([np.repeat(rng.normal(size=(1, 64)), 500, axis=0), rng.normal(size=(500, 64))]) + 1e4
+    ids = rng.permutation(1000)
+    q = b[[0, 700]] + 1e-3
+    rows, cols, dist = NB._nearest(q, b, ids, 20)
+    d = np.square(q[:, None] - b[None]).sum(2)
+    for i in range(2):
+        want = np.lexsort((ids, d[i]))[:20]
+        assert ids[cols[rows == i]].tolist() == ids[want].tolist() and dist[rows == i] == pytest.approx(d[i][want], rel=1e-9)
