@@ -31,23 +31,44 @@ BLOCKS, LEAST_ROWS = 8, 256
 CHUNK = 1 << 20
 
 
+def _near_enough(q: np.ndarray, b: np.ndarray, k: int):
+    """For some queries at a time: their positions, and ``(query, base)`` of all pairs that may be among a query's ``k`` nearest.
+
+    A matrix product in single precision rules out rows that are surely too far, by more than it can be wrong."""
+    step = max(1, CHUNK // len(b))
+    if k >= len(b):
+        for i in range(0, len(q), step):
+            part = slice(i, min(i + step, len(q)))
+            yield part, *(x.ravel() for x in np.indices((part.stop - i, len(b))))
+        return
+    middle = b.mean(0)
+    x, y = q - middle, b - middle
+    yy = (y * y).sum(1)
+    wrong = 4.0 * (q.shape[1] + 8) * (np.finfo(np.float32).eps * ((x * x).sum(1) + 2.0 * yy.max()) + np.finfo(np.float32).tiny)
+    x, y = np.c_[x, np.ones(len(x))].astype(np.float32), np.c_[-2.0 * y, yy].astype(np.float32).T
+    groups = max(1, min(16, len(b) // (2 * k)))
+    for i in range(0, len(q), step):
+        part = slice(i, min(i + step, len(q)))
+        d = x[part] @ y  # the squared distance but for the query's own length
+        # at least k rows are as near as the k-th of the least distances of some rows each
+        least = d[:, : len(b) // groups * groups].reshape(len(d), groups, -1).min(axis=1)
+        most = np.nextafter((np.partition(least, k - 1, axis=1)[:, k - 1] + wrong[part]).astype(np.float32), np.float32(np.inf))
+        yield part, *divmod(np.flatnonzero(~(d > most[:, None])), len(b))  # what isn't a number is not ruled out
+
+
 def _nearest(q: np.ndarray, b: np.ndarray, bid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and distances ``(query, base, distance)`` of the ``k`` nearest base rows by (distance, id).  The matrix product only
-    rules out rows that are surely too far; what is left is ranked by the sum of the squared differences, in which equal vectors tie."""
-    d = (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (q @ b.T)
-    if k < b.shape[0]:
-        scale = (q * q).sum(1) + (b * b).sum(1).max()
-        most = np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-12 * q.shape[1] * scale
-        rows, cols = np.nonzero(~(d > most[:, None]))
-    else:
-        rows, cols = (x.ravel() for x in np.indices(d.shape))
-    step = max(1, CHUNK // max(1, q.shape[1]))
-    dist = np.concatenate([np.square(q[rows[i : i + step]] - b[cols[i : i + step]]).sum(1) for i in range(0, len(rows), step)])
-    order = np.lexsort((bid[cols], dist, rows))
-    rows, cols, dist = rows[order], cols[order], dist[order]
-    first = np.searchsorted(rows, np.arange(q.shape[0]))
-    keep = np.arange(len(rows)) - first[rows] < k
-    return rows[keep], cols[keep], dist[keep]
+    """Positions and distances ``(query, base, distance)`` of the ``k`` nearest base rows by (distance, id): what may be near enough
+    is ranked by the sum of the squared differences in double precision, in which equal vectors tie."""
+    found, step = [], max(1, CHUNK // max(1, q.shape[1]))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for part, rows, cols in _near_enough(q, b, k):
+            some = q[part]
+            dist = np.concatenate([np.square(some[rows[i : i + step]] - b[cols[i : i + step]]).sum(1) for i in range(0, len(rows), step)])
+            order = np.lexsort((bid[cols], dist, rows))
+            rows, cols, dist = rows[order], cols[order], dist[order]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(some)))[rows] < k
+            found.append((rows[keep] + part.start, cols[keep], dist[keep]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def _block_topk(k: int):
@@ -56,11 +77,8 @@ def _block_topk(k: int):
             return pd.DataFrame({"query_id": [], "base_id": [], "distance": []})
         q, b = (np.stack(x["vec"].to_numpy()).astype(np.float64) for x in (qdf, bdf))
         qid, bid = qdf["id"].to_numpy(), bdf["id"].to_numpy()
-        step, found = max(1, CHUNK // len(b)), []
-        for i in range(0, len(q), step):
-            rows, cols, dist = _nearest(q[i : i + step], b, bid, k)
-            found.append((qid[i + rows], bid[cols], dist))
-        return pd.DataFrame(dict(zip(("query_id", "base_id", "distance"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+        rows, cols, dist = _nearest(q, b, bid, k)
+        return pd.DataFrame({"query_id": qid[rows], "base_id": bid[cols], "distance": dist})
     return fn
 
 
@@ -103,7 +121,7 @@ def _projected(dim: int, tables: int, projections: int, bucket_length: float, se
 
 def approximate_knn_join(
     queries: DataFrame, base: DataFrame, k: int = 20, tables: int = 16, projections: int = 2, bucket_length: float = 0.18,
-    block_rows: int = 2048, seed: int = 7, id_col: str = "id", vec_col: str = "vec",
+    block_rows: int = 16_384, seed: int = 7, id_col: str = "id", vec_col: str = "vec",
 ) -> DataFrame:
     """Up to ``k`` near base rows for every query, ``(query_id, base_id, distance, rank)``, by an index of random
     projections: rows meet where they share a bucket in one of the ``tables``, and are ranked there by their exact squared L2
