@@ -30,6 +30,10 @@ from sevlake.functions.parse import (
 from sevlake.schema import PY_RULES, RuleSet
 
 
+#: Rows whose texts are searched at a time.
+SEARCHED_ROWS = 256
+
+
 def _score_of(scores: dict, key: Column, default: int) -> Column:
     if not scores:
         return F.lit(default)
@@ -51,8 +55,7 @@ def keyword_hits(description: Column, tags: Column, rules: RuleSet = PY_RULES) -
     if not any(patterns):
         return F.lit(0)
 
-    @F.arrow_udf("int")
-    def hits(text: pa.Array, tags: pa.Array) -> pa.Array:
+    def searched(text: pa.Array, tags: pa.Array) -> pa.Array:
         # of all letters only the dotted capital I has a longer lower case
         dotted = pc.replace_substring(pc.fill_null(text, ""), "\u0130", "i\u0307")
         combined = pc.binary_join_element_wise(pc.utf8_lower(dotted), tags, " ")
@@ -62,6 +65,13 @@ def keyword_hits(description: Column, tags: Column, rules: RuleSet = PY_RULES) -
                 mask = pc.add(mask, pc.multiply(pc.cast(pc.match_substring_regex(combined, pattern), pa.int32()), pa.scalar(1 << k, pa.int32())))
         return mask
 
+    @F.arrow_udf("int")
+    def hits(text: pa.Array, tags: pa.Array) -> pa.Array:
+        # the copies of the text that a search makes are of a part of the batch, and given back after it
+        parts = [searched(text[i : i + SEARCHED_ROWS], tags[i : i + SEARCHED_ROWS]) for i in range(0, len(text), SEARCHED_ROWS)]
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.int32())
+
     return hits(description, tags)
 
 
