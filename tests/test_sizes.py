@@ -50,3 +50,10 @@ def test_scaled_numbers_are_written_without_the_texts(spark, tables):
     before = kept(spark)
     assert QUERIES["k4_scale_numeric"](spark, tables).where("desc_len_scaled >= 0").count() == ROWS + 67
     assert kept(spark) - before < 2e6
+
+
+def test_terms_are_counted_within_their_rows(spark, tables):
+    DS.checkpoint_dir(spark)
+    before = kept(spark)
+    assert QUERIES["k1_word_tfidf"](spark, tables).agg(F.sum("n_terms")).first()[0] > 2e6
+    assert kept(spark) - before < 20e6
