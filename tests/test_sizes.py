@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from sevlake.plans import dataset as DS
 from sevlake.plans.registry import QUERIES
+from sevlake.sources import driver_tables as D
+from sevlake.sources import files
 
 TEXTS, WORDS, ROWS = 5, 6000, 400
 
@@ -57,3 +59,18 @@ def test_terms_are_counted_within_their_rows(spark, tables):
     before = kept(spark)
     assert QUERIES["k1_word_tfidf"](spark, tables).agg(F.sum("n_terms")).first()[0] > 2e6
     assert kept(spark) - before < 20e6
+
+
+@pytest.mark.parametrize("name", ["a3_jsonl_roundtrip"])
+def test_indicator_files_are_compressed(spark, tables, monkeypatch, name):
+    """Texts of random words that are longer than gzip looks back, with line breaks and quotes, in several files."""
+    monkeypatch.setattr(files, "ROWS_PER_FILE", 50)
+    view = D.indicator_view(spark, tables).withColumn("description", F.concat("description", F.lit(' "a\n", b\t\n"c')))
+    monkeypatch.setattr(D, "indicator_view", lambda spark, sf: view)
+    got = QUERIES[name](spark, tables)
+    written = [os.path.getsize(f.removeprefix("file://")) for f in got.inputFiles()]
+    assert sum(written) < 0.6 * view.agg(F.sum(F.length("description"))).first()[0]
+    assert len(written) >= 10
+    columns = ["row_id", "type", "value", "severity", "source", "description", "tags", "firstSeen", "lastSeen", "observedCount", "raw", "fingerprint", "confidence"]
+    want = view.select(F.col("row_id").cast(got.schema["row_id"].dataType).alias("row_id"), *columns[1:])
+    assert got.exceptAll(want.select(got.columns)).isEmpty() and got.count() == want.count() == ROWS + 67
