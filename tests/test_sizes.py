@@ -61,7 +61,7 @@ def test_terms_are_counted_within_their_rows(spark, tables):
     assert kept(spark) - before < 20e6
 
 
-@pytest.mark.parametrize("name", ["a3_jsonl_roundtrip", "a1_csv_roundtrip"])
+@pytest.mark.parametrize("name", ["a3_jsonl_roundtrip", "a1_csv_roundtrip", "a2_delimited_roundtrip"])
 def test_indicator_files_are_compressed(spark, tables, monkeypatch, name):
     """Texts of random words that are longer than gzip looks back, with line breaks and quotes, in several files."""
     monkeypatch.setattr(files, "ROWS_PER_FILE", 50)
